@@ -55,16 +55,18 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     alpha = F.lit(cfg.pagerank_alpha)
     rank = nodes.select("node", "outdeg", (F.lit(1.0) / n).alias("rank")).checkpoint()
     iters = cfg.pagerank_max_iter if cfg.pagerank_tol is not None else cfg.pagerank_iterations
-    for _ in range(iters):
-        contrib = edges.join(rank.select(F.col("node").alias("src"), (F.col("rank") / F.col("outdeg")).alias("share")),
-                             "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
+    for it in range(iters):
+        senders = rank.filter(F.col("outdeg") > 0).select(
+            F.col("node").alias("src"), F.try_divide(F.col("rank"), F.col("outdeg")).alias("share"))
+        contrib = edges.join(senders, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
         dangling = rank.select(F.coalesce(F.sum(F.when(F.col("outdeg") == 0, F.col("rank"))), F.lit(0.0))).scalar()
         new = rank.join(contrib, "node", "left").select(
             "node", "outdeg",
             (alpha * (F.coalesce(F.col("inflow"), F.lit(0.0)) + dangling * (F.lit(1.0) / n))
              + (F.lit(1.0) - alpha) * (F.lit(1.0) / n)).alias("rank"),
             F.col("rank").alias("prev"))
-        new = new.checkpoint()
+        if cfg.pagerank_tol is not None or (it + 1) % max(cfg.pagerank_checkpoint_every, 1) == 0 or it + 1 == iters:
+            new = new.checkpoint()
         if cfg.pagerank_tol is not None:
             err, cnt = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
             rank = new.drop("prev")

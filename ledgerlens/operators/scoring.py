@@ -77,7 +77,7 @@ def zscore_columns(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskC
         "customer_id", (F.abs(F.col("x") - F.col("m")) / F.col("div")).alias("z"))
     mz = z.groupBy("customer_id").agg(F.max(F.when(~F.isnan("z"), F.col("z"))).alias("max_z"))
     return feat.join(mz, "customer_id", "left") \
-        .withColumn("zscore_score", F.least(F.col("max_z"), F.lit(cfg.zscore_cap)) / F.lit(cfg.zscore_cap))
+        .withColumn("zscore_score", clip(F.col("max_z"), None, cfg.zscore_cap) / F.lit(cfg.zscore_cap))
 
 
 def zscore_summary(scored: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:

@@ -247,7 +247,7 @@ def zscore_ctes(cfg: RiskConfig, cols: list[str], src: str = "feat") -> list[str
     zs = ", ".join(f"abs(CAST(f.{c} AS DOUBLE) - st.m_{i}) / {_div(i)}" for i, c in enumerate(cols))
     return [f"st AS (SELECT {stats} FROM {src})",
             f"zs0 AS (SELECT f.customer_id, greatest({zs}) AS max_z FROM {src} f CROSS JOIN st)",
-            f"zs AS (SELECT customer_id, max_z, least(max_z, {d(cfg.zscore_cap)}) / {d(cfg.zscore_cap)} AS zscore_score FROM zs0)"]
+            f"zs AS (SELECT customer_id, max_z, CASE WHEN max_z IS NULL THEN NULL ELSE least(max_z, {d(cfg.zscore_cap)}) END / {d(cfg.zscore_cap)} AS zscore_score FROM zs0)"]
 
 
 def standardize_sql(cols: list[str], src: str = "feat") -> tuple[str, str]:
