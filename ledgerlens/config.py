@@ -61,7 +61,7 @@ class RiskConfig:
     pagerank_iterations: int = 10           # fixed-K mode (oracle comparable)
     pagerank_tol: Optional[float] = None    # set -> iterate to networkx-style convergence
     pagerank_max_iter: int = 100
-    pagerank_checkpoint_every: int = 3      # cut lineage every k iterations (reliable checkpoint)
+    pagerank_checkpoint_every: int = 1      # cut lineage every k iterations (reliable checkpoint)
     cycle_max_len: int = 4
     # forest
     forest_trees: int = 200

@@ -21,6 +21,14 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return out
 
 
+def attach_scalars(df: DataFrame, agg_of: DataFrame, name: str, *aggs: Column) -> DataFrame:
+    """Attach one-row aggregates of ``agg_of`` to every row of ``df`` as struct column
+    ``name``. The aggregates form ONE scalar subquery referenced once (Spark plans
+    every reference to a scalar subquery separately), so downstream expressions read
+    ``name.field`` instead of re-running the aggregate. No join, no collect."""
+    return df.withColumn(name, agg_of.select(F.struct(*aggs)).scalar())
+
+
 def money_sum(c: Column, scale: int | None = 2, wide: bool = False) -> Column:
     """Sum of money amounts, exact: summed as integer minor units (cents) and
     converted once. Deterministic for any partitioning or task order, unlike a

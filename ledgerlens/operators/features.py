@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import KYC_STATUS_CODES, RISK_CATEGORY_CODES, RiskConfig
-from ..functions.exprs import encode, hours_between, is_high_risk, money_avg, money_sum, whole_days
+from ..functions.exprs import attach_scalars, encode, hours_between, is_high_risk, money_avg, money_sum, whole_days
 
 MICROS_PER_DAY = 86400 * 1_000_000
 
@@ -55,8 +55,9 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     has_cash = "is_cash" in df.columns
     has_country = "counterparty_country" in df.columns
     ts, amt = F.col("timestamp"), F.col("amount")
-    now = df.select(F.max("timestamp")).scalar()
-    first = df.select(F.min("timestamp")).scalar()
+    # ledger-wide "now" and first timestamp: one scalar subquery, attached once
+    df = attach_scalars(df, df, "_glob", F.max("timestamp").alias("now"), F.min("timestamp").alias("first"))
+    now = F.col("_glob.now")
 
     if has_country:
         df = is_high_risk(df, cfg)
@@ -83,6 +84,7 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
             F.coalesce(money_sum(F.when(ts >= now - F.make_interval(days=F.lit(d)), amt), ms), F.lit(0.0))
              .alias(f"txn_volume_{lab}"))],
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(ts).alias("_n_ts"),
+        F.any_value("_glob").alias("_glob"),
         F.avg(F.when(ts.isNull(), None).when(unusual_time_flag(ts), 1.0).otherwise(0.0)).alias("unusual_time_pct"),
     ]
     if has_country:
@@ -94,7 +96,7 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     g = df.groupBy("customer_id").agg(*aggs)
 
     total = F.col("total_transactions")
-    span_days = F.greatest(whole_days(first, now), F.lit(1))
+    span_days = F.greatest(whole_days(F.col("_glob.first"), F.col("_glob.now")), F.lit(1))
     daily_avg = total / span_days
     daily_avg = F.when(daily_avg == 0, F.lit(0.001)).otherwise(daily_avg)
     n_near = F.col("cash_near_ctr_count")
@@ -172,9 +174,12 @@ def structuring_cluster(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     width = cfg.structuring_window_days * MICROS_PER_DAY
     near = _ledger(tx).filter(near_ctr_flag(cfg) & F.col("timestamp").isNotNull()).select(
         "customer_id", _micros(F.col("timestamp")).alias("us"))
-    near = near.withColumn("bucket", F.floor(F.col("us") / F.lit(width)))
-    both = near.select("customer_id", "us", "bucket", F.lit(True).alias("anchor")).unionByName(
-        near.select("customer_id", "us", (F.col("bucket") - 1).alias("bucket"), F.lit(False).alias("anchor")))
+    b0 = F.floor(F.col("us") / F.lit(width))
+    # one scan: each row is an anchor in its bucket and a follower in the previous one
+    both = near.select("customer_id", "us", F.explode(F.array(
+        F.struct(b0.alias("bucket"), F.lit(True).alias("anchor")),
+        F.struct((b0 - 1).alias("bucket"), F.lit(False).alias("anchor")))).alias("p")) \
+        .select("customer_id", "us", "p.bucket", "p.anchor")
     w = Window.partitionBy("customer_id", "bucket").orderBy("us").rangeBetween(0, width)
     counted = both.withColumn("n", F.count(F.lit(1)).over(w)).filter("anchor")
     return counted.groupBy("customer_id").agg(F.max("n").alias("structuring_cluster_max"))

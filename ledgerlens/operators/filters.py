@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FilterSpec, RiskConfig
+from ..functions.exprs import attach_scalars
 
 # Lists longer than this become a broadcast semi join instead of an IN list.
 ISIN_LIMIT = 1000
@@ -78,10 +79,11 @@ def last_n(df: DataFrame, n: int, unit: str = "days") -> DataFrame:
     """"last N days/weeks/months (30 d)" anchored on the data's own max
     timestamp; both ends truncated to dates, the end covering its whole day."""
     days = {"days": 1, "day": 1, "weeks": 7, "week": 7, "months": 30, "month": 30}[unit] * n
-    end = F.to_date(df.select(F.max("timestamp")).scalar())
-    start = F.date_sub(end, days)
+    d = attach_scalars(df, df, "_last", F.to_date(F.max("timestamp")).alias("end"))
+    end = F.col("_last.end")
     ts = F.col("timestamp")
-    return df.filter((ts >= start.cast("timestamp_ntz")) & (ts < F.date_add(end, 1).cast("timestamp_ntz")))
+    return d.filter((ts >= F.date_sub(end, days).cast("timestamp_ntz"))
+                    & (ts < F.date_add(end, 1).cast("timestamp_ntz"))).drop("_last")
 
 
 def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:

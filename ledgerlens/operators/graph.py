@@ -51,29 +51,46 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     outd = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
     nodes = nodes.join(outd, "node", "left").select("node", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
     nodes = nodes.checkpoint()
-    n = nodes.select(F.count(F.lit(1)).cast("double")).scalar()
+    # node count: one scalar subquery, stored as a constant column in the checkpoint
+    nodes = nodes.withColumn("inv_n", F.lit(1.0) / nodes.select(F.count(F.lit(1)).cast("double")).scalar())
     alpha = F.lit(cfg.pagerank_alpha)
-    rank = nodes.select("node", "outdeg", (F.lit(1.0) / n).alias("rank")).checkpoint()
+    inv_n = F.col("inv_n")
+    rank = nodes.select("node", "outdeg", "inv_n", inv_n.alias("rank"))
     iters = cfg.pagerank_max_iter if cfg.pagerank_tol is not None else cfg.pagerank_iterations
+    every = max(cfg.pagerank_checkpoint_every, 1)
+    prev_cached = None
     for it in range(iters):
         senders = rank.filter(F.col("outdeg") > 0).select(
             F.col("node").alias("src"), F.try_divide(F.col("rank"), F.col("outdeg")).alias("share"))
         contrib = edges.join(senders, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
         dangling = rank.select(F.coalesce(F.sum(F.when(F.col("outdeg") == 0, F.col("rank"))), F.lit(0.0))).scalar()
         new = rank.join(contrib, "node", "left").select(
-            "node", "outdeg",
-            (alpha * (F.coalesce(F.col("inflow"), F.lit(0.0)) + dangling * (F.lit(1.0) / n))
-             + (F.lit(1.0) - alpha) * (F.lit(1.0) / n)).alias("rank"),
+            "node", "outdeg", "inv_n",
+            (alpha * (F.coalesce(F.col("inflow"), F.lit(0.0)) + dangling * inv_n)
+             + (F.lit(1.0) - alpha) * inv_n).alias("rank"),
             F.col("rank").alias("prev"))
-        if cfg.pagerank_tol is not None or (it + 1) % max(cfg.pagerank_checkpoint_every, 1) == 0 or it + 1 == iters:
+        # every iteration is materialised once (rank is read three times by the next);
+        # every k-th and the last are reliable checkpoints that also cut the lineage
+        if (it + 1) % every == 0 or it + 1 == iters:
             new = new.checkpoint()
+        else:
+            new = new.persist()
+        done = it + 1 == iters
         if cfg.pagerank_tol is not None:
             err, cnt = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
-            rank = new.drop("prev")
-            if err < cnt * cfg.pagerank_tol:
-                break
+            done = done or err < cnt * cfg.pagerank_tol
+        elif not new.is_cached:
+            pass
         else:
-            rank = new.drop("prev")
+            new.count()
+        if prev_cached is not None:
+            prev_cached.unpersist()
+        prev_cached = new if new.is_cached else None
+        rank = new.drop("prev")
+        if done:
+            if cfg.pagerank_tol is not None and not (it + 1) % every == 0:
+                rank = rank.checkpoint()
+            break
     return rank.select("node", F.col("rank").alias("network_pagerank"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions.exprs import is_high_risk, money_avg, money_sum
+from ..functions.exprs import attach_scalars, is_high_risk, money_avg, money_sum
 
 
 def overview(tx: DataFrame, customers: Optional[DataFrame] = None) -> DataFrame:
@@ -59,15 +59,21 @@ def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None, clip_upper=N
     if clip_upper is not None:
         x = F.least(x, clip_upper)
     vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    lo_c = F.lit(float(lo)) if lo is not None else vals.select(F.min("x")).scalar()
-    hi_c = F.lit(float(hi)) if hi is not None else vals.select(F.max("x")).scalar()
+    spark = df.sparkSession
+    allb = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    if lo is None or hi is None:
+        aggs = [F.min("x").alias("lo") if lo is None else F.lit(float(lo)).alias("lo"),
+                F.max("x").alias("hi") if hi is None else F.lit(float(hi)).alias("hi")]
+        vals = attach_scalars(vals, vals, "_b", *aggs)
+        allb = attach_scalars(allb, vals, "_b", *aggs)
+        lo_c, hi_c = F.col("_b.lo"), F.col("_b.hi")
+    else:
+        lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
     width = hi_c - lo_c
     inrange = vals.filter((F.col("x") >= lo_c) & (F.col("x") <= hi_c))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - lo_c) / width * bins), F.lit(bins - 1)).cast("int"))
     counts = inrange.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    allb = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return allb.join(counts, "bin", "left").select(
         "bin", (lo_c + width * F.col("bin") / bins).alias("bin_lo"),
         (lo_c + width * (F.col("bin") + 1) / bins).alias("bin_hi"),

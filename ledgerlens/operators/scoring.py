@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RULE_OWNED_COLUMNS, RiskConfig
-from ..functions.exprs import clip, numeric_columns
+from ..functions.exprs import attach_scalars, clip, numeric_columns
 
 
 def ml_features(feat: DataFrame) -> list[str]:
@@ -55,18 +55,19 @@ def standardize(feat: DataFrame, cols: Sequence[str]) -> DataFrame:
 def minmax_invert(df: DataFrame, col: str, out: str) -> DataFrame:
     """1 - (x - min) / (max - min + 1e-10), so 1 = most anomalous for a
     'lower is more anomalous' score."""
-    lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.max(col)).scalar()
-    return df.withColumn(out, F.lit(1.0) - (F.col(col) - lo) / (hi - lo + F.lit(1e-10)))
+    d = attach_scalars(df, df, "_mm", F.min(col).alias("lo"), F.max(col).alias("hi"))
+    lo, hi = F.col("_mm.lo"), F.col("_mm.hi")
+    return d.withColumn(out, F.lit(1.0) - (F.col(col) - lo) / (hi - lo + F.lit(1e-10))).drop("_mm")
 
 
 def contamination_cut(df: DataFrame, col: str, contamination: float) -> DataFrame:
     """Clamp contamination to [0.01, 0.3]; rows scoring below that quantile of
     ``col`` (lower = more anomalous) are anomalies. Returns (threshold, anomalies)."""
     c = min(max(contamination, 0.01), 0.3)
-    thr = df.select(F.percentile(F.col(col), F.lit(c))).scalar()
-    return df.agg(F.count_if(F.col(col) < thr).alias("anomalies")).select(
-        thr.alias("threshold"), "anomalies", F.lit(c).alias("contamination"))
+    d = attach_scalars(df, df, "_q", F.percentile(F.col(col), F.lit(c)).alias("thr"))
+    return d.agg(F.count_if(F.col(col) < F.col("_q.thr")).alias("anomalies"),
+                 F.any_value("_q.thr").alias("threshold")).select(
+        "threshold", "anomalies", F.lit(c).alias("contamination"))
 
 
 def zscore_columns(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfig()) -> DataFrame:
