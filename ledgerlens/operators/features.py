@@ -255,15 +255,17 @@ def engineer_features(tx: DataFrame, customers: DataFrame | None = None, cfg: Ri
     has_cash = "is_cash" in tx.columns
     has_country = "counterparty_country" in tx.columns
 
-    feat = base.join(timing_features(tx, cfg), "customer_id", "left")
+    feat = base
+    if fams & {"velocity", "behavioral"}:   # min gap (A8) and dormancy (A12) need adjacency
+        feat = feat.join(timing_features(tx, cfg), "customer_id", "left")
+        feat = feat.withColumn("min_gap_hours", F.when(F.col("_n_ts") < 2, F.lit(999.0))
+                               .otherwise(F.col("min_gap_hours")))
+        feat = feat.withColumn("dormancy_flag", F.when(F.col("_n_ts") < 2, F.lit(0))
+                               .otherwise(F.col("dormancy_flag")))
     if "structuring" in fams and has_cash:
         feat = feat.join(structuring_cluster(tx, cfg), "customer_id", "left")
     if "behavioral" in fams:
         feat = feat.join(rapid_movement(tx, cfg), "customer_id", "left")
-    feat = feat.withColumn("min_gap_hours", F.when(F.col("_n_ts") < 2, F.lit(999.0))
-                           .otherwise(F.col("min_gap_hours")))
-    feat = feat.withColumn("dormancy_flag", F.when(F.col("_n_ts") < 2, F.lit(0))
-                           .otherwise(F.col("dormancy_flag")))
     cols = list(CORE)
     if "structuring" in fams:
         cols += STRUCT if has_cash else []

@@ -366,42 +366,53 @@ FEATURE_DBL = {"std_amount", "median_amount", "amount_cv", "network_pagerank"}
 
 
 def _feat_key(key: str, cols: list[str], graph: bool = False, customers: bool = False, digits: int = 6,
-              src: str = "t"):
+              src: str = "t", family: str | None = None):
+    """A feature key. With ``family`` it computes only that family (plus the core
+    aggregation that defines the customer rows); otherwise it reads the full matrix."""
     dbl = [c for c in cols if c in FEATURE_DBL]
     cfg = CFG_T if src == "t" else CFG_L
     sql = sql_t(f"SELECT customer_id, {', '.join(cols)} FROM feat", graph=graph, customers=customers, cfg=cfg, src=src)
 
     def fn(s, sf):
+        if family is not None:
+            tx, c = (T(s, sf), cfg_t(s, sf)) if src == "t" else (L(s, sf), cfg_l(s, sf))
+            f = _m(s, sf, f"FAM_{src}_{family}_{customers}", lambda: A.engineer_features(
+                tx, C(s, sf) if customers else None, c, feature_set=family, graph=False))
+            return f.select("customer_id", *cols)
         return (FEAT(s, sf) if src == "t" else FEAT_L(s, sf)).select("customer_id", *cols)
     register(key, sql, dbl=dbl, digits=digits)(fn)
 
 
-_feat_key("feat_core", A.CORE)
-_feat_key("feat_near_ctr", ["cash_near_ctr_count", "cash_near_ctr_total"])
-_feat_key("feat_structuring_cluster", ["structuring_cluster_max"])
-_feat_key("feat_near_ctr_gap", ["near_ctr_avg_gap_hours"])
-_feat_key("feat_cash", ["total_cash_transactions", "cash_transaction_pct"])
+_feat_key("feat_core", A.CORE, family="core")
+_feat_key("feat_near_ctr", ["cash_near_ctr_count", "cash_near_ctr_total"], family="structuring")
+_feat_key("feat_structuring_cluster", ["structuring_cluster_max"], family="structuring")
+_feat_key("feat_near_ctr_gap", ["near_ctr_avg_gap_hours"], family="structuring")
+_feat_key("feat_cash", ["total_cash_transactions", "cash_transaction_pct"], family="structuring")
 _feat_key("feat_window_counts", ["txn_count_1d", "txn_volume_1d", "txn_count_7d", "txn_volume_7d",
-                                 "txn_count_30d", "txn_volume_30d"])
-_feat_key("feat_velocity_ratio", ["velocity_ratio_7d", "velocity_ratio_30d"])
-_feat_key("feat_timing", ["mean_gap_hours", "min_gap_hours"])
-_feat_key("feat_geo_risk", ["high_risk_country_txns", "high_risk_country_volume", "high_risk_country_pct"])
-_feat_key("feat_unique_countries", ["unique_countries"])
-_feat_key("feat_rapid_movement", ["rapid_movement_count"])
-_feat_key("feat_dormancy", ["dormancy_flag"])
-_feat_key("feat_unusual_time", ["unusual_time_pct"])
-_feat_key("feat_amount_cv", ["amount_cv"])
-_feat_key("feat_enriched", ["risk_category", "pep_flag", "kyc_status", "account_type"], customers=True)
-_feat_key("feat_encoded", ["risk_category_encoded", "kyc_status_encoded", "pep_flag"], customers=True)
+                                 "txn_count_30d", "txn_volume_30d"], family="velocity")
+_feat_key("feat_velocity_ratio", ["velocity_ratio_7d", "velocity_ratio_30d"], family="velocity")
+_feat_key("feat_timing", ["mean_gap_hours", "min_gap_hours"], family="velocity")
+_feat_key("feat_geo_risk", ["high_risk_country_txns", "high_risk_country_volume", "high_risk_country_pct"],
+          family="geographic")
+_feat_key("feat_unique_countries", ["unique_countries"], family="geographic")
+_feat_key("feat_rapid_movement", ["rapid_movement_count"], family="behavioral")
+_feat_key("feat_dormancy", ["dormancy_flag"], family="behavioral")
+_feat_key("feat_unusual_time", ["unusual_time_pct"], family="behavioral")
+_feat_key("feat_amount_cv", ["amount_cv"], family="behavioral")
+_feat_key("feat_enriched", ["risk_category", "pep_flag", "kyc_status", "account_type"], customers=True,
+          family="core")
+_feat_key("feat_encoded", ["risk_category_encoded", "kyc_status_encoded", "pep_flag"], customers=True,
+          family="core")
 ALL_FEATS = A.CORE + A.STRUCT + A.VELOC + A.GEO + A.BEHAV + A.GRAPH + [
     "risk_category", "pep_flag", "kyc_status", "account_type", "risk_category_encoded", "kyc_status_encoded"]
 _feat_key("feature_matrix", ALL_FEATS, graph=True, customers=True, digits=8)
 L_FEATS = A.CORE + A.STRUCT + A.VELOC + A.GEO + A.BEHAV + [
     "risk_category", "pep_flag", "kyc_status", "account_type", "risk_category_encoded", "kyc_status_encoded"]
 _feat_key("feature_matrix_l", L_FEATS, customers=True, src="l")
-_feat_key("feat_rapid_movement_l", ["rapid_movement_count"], src="l")
-_feat_key("feat_dormancy_l", ["dormancy_flag"], src="l")
-_feat_key("feat_structuring_cluster_l", ["structuring_cluster_max", "cash_near_ctr_count"], src="l")
+_feat_key("feat_rapid_movement_l", ["rapid_movement_count"], src="l", family="behavioral")
+_feat_key("feat_dormancy_l", ["dormancy_flag"], src="l", family="behavioral")
+_feat_key("feat_structuring_cluster_l", ["structuring_cluster_max", "cash_near_ctr_count"], src="l",
+          family="structuring")
 
 
 @register("feature_alerts", sql_t("""SELECT count(*) FILTER (WHERE cash_near_ctr_count >= 3) AS structuring_suspects,
