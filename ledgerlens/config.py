@@ -38,6 +38,7 @@ RULE_OWNED_COLUMNS = (
 @dataclass(frozen=True)
 class RiskConfig:
     money_scale: Optional[int] = 2          # exact money sums in minor units; None = double sums
+    median_accuracy: Optional[int] = None   # None = exact median; k = percentile_approx sketch (bounded per customer)
     # structuring
     ctr_threshold: float = 10000.0          # exclusive upper end of the near-CTR band
     structuring_lower: float = 8000.0       # inclusive lower end

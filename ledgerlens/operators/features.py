@@ -70,7 +70,8 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
         F.coalesce(F.stddev_samp(amt), F.lit(0.0)).alias("std_amount"),
         F.max(amt).alias("max_amount"),
         F.min(amt).alias("min_amount"),
-        F.median(amt).alias("median_amount"),
+        (F.median(amt) if cfg.median_accuracy is None
+         else F.percentile_approx(amt, 0.5, cfg.median_accuracy).cast("double")).alias("median_amount"),
         # structuring
         F.count_if(near).alias("cash_near_ctr_count"),
         money_sum(F.when(near, amt), ms).alias("cash_near_ctr_total"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,11 @@ def analyse(tx: DataFrame, customers: Optional[DataFrame], cfg: RiskConfig, meth
     reference does."""
     if spec is not None and scope == "filtered":
         tx = apply_filters(tx, spec)
-    feat = features if features is not None else engineer_features(tx, customers, cfg)
+    if features is None:
+        # one row per customer, read by scoring, classification and explanation:
+        # persisted once (size bounded by the customer count, not the ledger)
+        features = engineer_features(tx, customers, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    feat = features
     scores = detect_anomalies(feat, cfg, method=method, forest=forest)
     classified = classify_risk(scores, feat, customers, cfg)
     return feat, scores, classified
