@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import RiskConfig
 from ..functions.exprs import attach_scalars, is_high_risk, money_avg, money_sum
+from ..functions.quantiles import exact_quantiles
 
 
 def overview(tx: DataFrame, customers: Optional[DataFrame] = None) -> DataFrame:
@@ -36,20 +37,22 @@ def null_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, col: str = "amount", decimals: int = 2) -> DataFrame:
     """Count, mean, sample std, min, linear quartiles, max; rounded."""
     c = F.col(col)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     mean = money_avg(c, wide=True) if col == "amount" else F.avg(c)
     out = df.agg(F.count(c).alias("count"), mean.alias("mean"), F.stddev_samp(c).alias("std"),
-                 F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
+                 F.min(c).alias("min"), F.max(c).alias("max"))
+    # exact quartiles without a one-task buffer (functions/quantiles.py)
+    qd = exact_quantiles(df, col, [0.25, 0.5, 0.75])
+    out = out.withColumn("_q", qd.select(F.struct("q_0", "q_1", "q_2")).scalar())
     r = lambda e: F.round(e.cast("double"), decimals)
     return out.select(F.col("count"), r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                      r(F.col("min")).alias("min"), r(F.col("_q")[0]).alias("p25"),
-                      r(F.col("_q")[1]).alias("p50"), r(F.col("_q")[2]).alias("p75"),
+                      r(F.col("min")).alias("min"), r(F.col("_q.q_0")).alias("p25"),
+                      r(F.col("_q.q_1")).alias("p50"), r(F.col("_q.q_2")).alias("p75"),
                       r(F.col("max")).alias("max"))
 
 
 def clip_bound(df: DataFrame, col: str = "amount", q: float = 0.99, cap: float = 50000.0):
     """P4 clip: min(q-quantile, cap) as a scalar-subquery column."""
-    return df.select(F.least(F.percentile(F.col(col), F.lit(q)), F.lit(cap))).scalar()
+    return exact_quantiles(df, col, [q]).select(F.least(F.col("q_0"), F.lit(cap))).scalar()
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None, clip_upper=None) -> DataFrame:
@@ -87,8 +90,8 @@ def box_stats(df: DataFrame, by: str = "transaction_type", col: str = "amount",
     if clip_upper is not None:
         x = F.least(x, clip_upper)
     v = df.select(F.col(by).alias("grp"), x.alias("x")).filter(F.col("x").isNotNull())
-    q = v.groupBy("grp").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("grp", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(v, "x", [0.25, 0.5, 0.75], by=["grp"])
+    q = q.select("grp", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     # the per-group quartiles are one row per group: tiny, so the join back is a broadcast
@@ -172,10 +175,11 @@ def describe_features(feat: DataFrame, cols: Sequence[str], decimals: int = 4) -
     long = feat.select("customer_id", *[F.col(c).cast("double").alias(c) for c in cols]) \
         .unpivot(["customer_id"], list(cols), "feature", "value")
     r = lambda e: F.round(e, decimals)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                                    q.alias("q"), F.max("value").alias("max"))
+                                    F.max("value").alias("max"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["feature"])
+    g = g.join(q.drop("n"), "feature")   # one row per feature column: tiny
     return g.select("feature", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                    r(F.col("min")).alias("min"), r(F.col("q")[0]).alias("p25"), r(F.col("q")[1]).alias("p50"),
-                    r(F.col("q")[2]).alias("p75"), r(F.col("max")).alias("max"))
+                    r(F.col("min")).alias("min"), r(F.col("q_0")).alias("p25"), r(F.col("q_1")).alias("p50"),
+                    r(F.col("q_2")).alias("p75"), r(F.col("max")).alias("max"))

@@ -64,7 +64,8 @@ def contamination_cut(df: DataFrame, col: str, contamination: float) -> DataFram
     """Clamp contamination to [0.01, 0.3]; rows scoring below that quantile of
     ``col`` (lower = more anomalous) are anomalies. Returns (threshold, anomalies)."""
     c = min(max(contamination, 0.01), 0.3)
-    d = attach_scalars(df, df, "_q", F.percentile(F.col(col), F.lit(c)).alias("thr"))
+    from ..functions.quantiles import exact_quantiles
+    d = df.withColumn("_q", exact_quantiles(df, col, [c]).select(F.struct(F.col("q_0").alias("thr"))).scalar())
     return d.agg(F.count_if(F.col(col) < F.col("_q.thr")).alias("anomalies"),
                  F.any_value("_q.thr").alias("threshold")).select(
         "threshold", "anomalies", F.lit(c).alias("contamination"))
