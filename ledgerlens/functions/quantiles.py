@@ -16,8 +16,8 @@ buffer -- for a ledger-wide quantile that is the whole column in one task. Here:
    are grouped by value, and a running count finds the exact order statistics;
 4. linear interpolation lo + (h - k) (hi - lo) (numpy/pandas "linear").
 
-All steps are aggregations and equi-joins on the group keys (a constant key for
-a global quantile); group-level frames are tiny when the groups are few.
+All steps are aggregations and equi-joins on the group keys; a global quantile
+reads its one-row bracket frame as a scalar subquery referenced once (no join).
 """
 
 from __future__ import annotations
@@ -36,58 +36,60 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
                     accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Per group (``by``; empty = one global row): columns ``q_0 .. q_{m-1}``
     (exact, linearly interpolated) and ``n`` (non-null count)."""
-    keys = list(by) or ["_g"]
+    keys = list(by)
     eps = 1.0 / accuracy
-    vals = df.select(*by, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if not by:
-        vals = vals.withColumn("_g", F.lit(0))
+    vals = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     margins = (3 * eps,) + WIDE_MARGINS
     probes: list[float] = []
     for q in qs:
         probes += [min(max(q - m, 0.0), 1.0) for m in margins] + [min(max(q + m, 0.0), 1.0) for m in margins]
-    st = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("_mn"),
-                                 F.max("_x").alias("_mx"), F.percentile_approx("_x", probes, accuracy).alias("_pa"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"),
+            F.percentile_approx("_x", probes, accuracy).alias("_pa")]
+    st = vals.groupBy(*keys).agg(*aggs) if keys else vals.agg(*aggs)
     n = F.col("n").cast("double")
     br = []
     per_q = 2 * len(margins)
     for i, q in enumerate(qs):
-        lo = F.col("_mn")
-        hi = F.col("_mx")
-        # widest first, so the tightest valid probe wins
-        for j in reversed(range(len(margins))):
-            m = margins[j]
+        lo, hi = F.col("_mn"), F.col("_mx")
+        for j in reversed(range(len(margins))):        # widest first: the tightest valid probe wins
             p_lo = probes[i * per_q + j]
             p_hi = probes[i * per_q + len(margins) + j]
             if p_lo > 0.0:
-                lo = F.when(F.lit(p_lo) <= F.lit(q) - F.lit(q) / n - F.lit(2 * eps), F.col("_pa")[i * per_q + j]).otherwise(lo)
+                lo = F.when(F.lit(p_lo) <= F.lit(q) - F.lit(q) / n - F.lit(2 * eps),
+                            F.col("_pa")[i * per_q + j]).otherwise(lo)
             if p_hi < 1.0:
                 hi = F.when(F.lit(p_hi) >= F.lit(q) + F.lit(1.0 - q) / n + F.lit(2 * eps),
                             F.col("_pa")[i * per_q + len(margins) + j]).otherwise(hi)
-            del m
         br += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     st = st.select(*keys, "n", *br)
-    j = vals.join(st, keys, "inner")   # group-level frame: broadcast when small (AQE / size check)
-    below = j.groupBy(*keys).agg(*[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_below{i}")
-                                   for i in range(len(qs))])
+    if keys:
+        j = vals.join(st, keys, "inner")   # group-level frame: AQE broadcasts it when small
+    else:                                 # one row: a scalar subquery referenced once, no join
+        j = vals.withColumn("_st", st.select(F.struct("n", *[c for i in range(len(qs))
+                                                            for c in (f"_lo{i}", f"_hi{i}")])).scalar())
+        j = j.select("_x", *[F.col(f"_st.{c}").alias(c) for c in
+                             ["n"] + [c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")]])
+    below_aggs = [F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(qs))]
+    below_aggs.append(F.max("n").alias("n"))
+    below = j.groupBy(*keys).agg(*below_aggs) if keys else j.agg(*below_aggs)
     inside = j.select(*keys, "_x", F.explode(F.array_compact(F.array(*[
         F.when((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")), F.lit(i))
         for i in range(len(qs))]))).alias("_qi"))
     vc = inside.groupBy(*keys, "_qi", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    meta = st.select(*keys, "n").join(below, keys, "inner")
-    meta_long = meta.select(*keys, "n", F.explode(F.array(*[
+    meta_long = below.select(*keys, "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("_qi"), F.col(f"_below{i}").alias("_below"),
                  ((F.col("n") - 1) * F.lit(float(q))).alias("_h"))
         for i, q in enumerate(qs)])).alias("_m")).select(*keys, "n", "_m.*")
+    # equi-join on (keys, quantile index); meta has one row per group and quantile
     vc = vc.join(meta_long, keys + ["_qi"], "inner")
     w = Window.partitionBy(*keys, "_qi").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vc = vc.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
     k1, k2 = F.floor(F.col("_h")), F.ceil(F.col("_h"))
-    res = vc.groupBy(*keys, "_qi", "_h").agg(
+    res = vc.groupBy(*keys, "_qi", "_h", "n").agg(
         F.min(F.when(F.col("_cum") > k1, F.col("_x"))).alias("_v1"),
         F.min(F.when(F.col("_cum") > k2, F.col("_x"))).alias("_v2"))
-    res = res.select(*keys, "_qi",
+    res = res.select(*keys, "n", "_qi",
                      (F.col("_v1") + (F.col("_h") - F.floor(F.col("_h"))) * (F.col("_v2") - F.col("_v1"))).alias("_q"))
-    wide = res.groupBy(*keys).pivot("_qi", list(range(len(qs)))).agg(F.first("_q"))
-    wide = wide.select(*keys, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(qs))])
-    out = wide.join(st.select(*keys, "n"), keys, "inner")
-    return out.drop("_g") if not by else out
+    grp = res.groupBy(*keys, "n")
+    wide = grp.pivot("_qi", list(range(len(qs)))).agg(F.first("_q"))
+    return wide.select(*keys, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(qs))], "n")
