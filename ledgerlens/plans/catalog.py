@@ -867,3 +867,20 @@ def top_entities(s, sf):
     dbl=["precision", "recall", "f1"])
 def eval_metrics(s, sf):
     return H.eval_metrics(CLS(s, sf), T(s, sf))
+
+
+# ============================================================ Q2 / D5 additions
+@register("amount_stats_filtered", sql_plain(B.T_SQL, """tf AS (SELECT * FROM t WHERE "timestamp" >= TIMESTAMP '2024-01-03'
+  AND "timestamp" < TIMESTAMP '2024-01-21' AND amount >= 500 AND amount <= 15000
+  AND transaction_type IN ('deposit', 'transfer') AND channel IN ('branch', 'online', 'atm'))""",
+    DESCRIBE_SQL.format(src="tf")))
+def amount_stats_filtered(s, sf):
+    """Q2: amount statistics of the rows a filter spec keeps."""
+    return P.describe(Fl.apply_filters(T(s, sf), SPEC), "amount")
+
+
+@register("forest_anomalies")
+def forest_anomalies(s, sf):
+    """D5 on the forest scores: threshold and number of anomalies at the clamped contamination."""
+    from ..operators.iforest import forest_anomalies as fa, isolation_forest_scores
+    return fa(isolation_forest_scores(FEAT(s, sf), ML, cfg_t(s, sf)), cfg_t(s, sf))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("customer_id", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("amount", T.DoubleType()),
     T.StructField("transaction_type", T.StringType()),
     T.StructField("channel", T.StringType()),
@@ -29,7 +29,7 @@ CUSTOMER_SCHEMA = T.StructType([
     T.StructField("age", T.IntegerType()),
     T.StructField("occupation", T.StringType()),
     T.StructField("account_type", T.StringType()),
-    T.StructField("account_open_date", T.StringType()),
+    T.StructField("account_open_date", T.DateType()),
     T.StructField("country", T.StringType()),
     T.StructField("risk_category", T.StringType()),
     T.StructField("pep_flag", T.BooleanType()),
@@ -44,25 +44,25 @@ FEEDBACK_SCHEMA = T.StructType([
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parquet as stored; CSV by header name: every known column is ``try_cast`` to its
+    declared type (a bad value becomes NULL, never a failed job), unknown columns
+    stay strings, absent optional columns stay absent."""
     if path.endswith(".parquet") or ".parquet" in path:
         return spark.read.parquet(path)
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    types = {f.name: f.dataType for f in schema.fields}
+    return raw.select(*[F.expr(f"try_cast(`{c}` AS {types[c].simpleString()})").alias(c) if c in types
+                        else F.col(c) for c in raw.columns])
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (explicit schema) or Parquet; bad timestamps become NULL (try_cast)."""
-    df = _read(spark, path, TRANSACTION_SCHEMA)
-    if dict(df.dtypes).get("timestamp") == "string":
-        df = df.withColumn("timestamp", F.expr("try_cast(`timestamp` AS timestamp_ntz)"))
-    return df
+    """CSV or Parquet; bad timestamps become NULL."""
+    return _read(spark, path, TRANSACTION_SCHEMA)
 
 
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
     """Customers; account_open_date coerced to DATE, bad -> NULL."""
-    df = _read(spark, path, CUSTOMER_SCHEMA)
-    if dict(df.dtypes).get("account_open_date") == "string":
-        df = df.withColumn("account_open_date", F.expr("try_cast(account_open_date AS date)"))
-    return df
+    return _read(spark, path, CUSTOMER_SCHEMA)
 
 
 def write_sample(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -197,3 +197,36 @@ def test_csv_source_coerces_bad_timestamps(spark, tmp_path):
     df = io.read_transactions(spark, str(p))
     ts = [r["timestamp"] for r in df.orderBy("transaction_id").collect()]
     assert ts[0] == dt.datetime(2024, 1, 1, 10) and ts[1] is None
+
+
+def test_customer_csv_and_sample_writer(spark, tmp_path):
+    p = tmp_path / "cust.csv"
+    p.write_text("customer_id,name,age,account_open_date,pep_flag\nC-1,Ann,40,2020-02-03,true\nC-2,Bo,31,bad,false\n")
+    c = io.read_customers(spark, str(p)).orderBy("customer_id").collect()
+    assert c[0]["account_open_date"] == dt.date(2020, 2, 3) and c[1]["account_open_date"] is None
+    out = str(tmp_path / "sample")
+    io.write_sample(spark.createDataFrame([(1, "a")], "id int, v string"), out)
+    io.write_sample(spark.createDataFrame([(2, "b")], "id int, v string"), out)   # overwrite
+    assert [r["id"] for r in spark.read.parquet(out).collect()] == [2]
+
+
+def test_ml_feature_choice(spark):
+    from ledgerlens.plans import catalog as K
+    feat = K.FEAT(spark, "/root/testdata/sf0.001")
+    cols = D.ml_features(feat)
+    assert len(cols) == 33 and not set(cols) & {"pep_flag", "dormancy_flag", "rapid_movement_count",
+                                                "risk_category_encoded", "kyc_status_encoded"}
+    only_text = spark.createDataFrame([("a", 1, 2, 3, 4, 5, 6)],
+                                      "customer_id string, pep_flag int, dormancy_flag int, rapid_movement_count int, "
+                                      "risk_category_encoded int, kyc_status_encoded int, x int")
+    assert D.ml_features(only_text.drop("x")) == ["pep_flag", "dormancy_flag", "rapid_movement_count",
+                                                  "risk_category_encoded", "kyc_status_encoded"]
+
+
+def test_sample_without_truth_and_shuffle(spark):
+    df = spark.createDataFrame([(f"t{i}", i) for i in range(100)], "transaction_id string, v int")
+    s = M.stratified_sample(df, 30)
+    assert s.count() == 30
+    assert sorted(r["v"] for r in s.collect()) == sorted(r["v"] for r in M.stratified_sample(df.repartition(4), 30).collect())
+    sh = M.stratified_sample(df, 30, shuffle=True)
+    assert sorted(r["v"] for r in sh.collect()) == sorted(r["v"] for r in s.collect())
