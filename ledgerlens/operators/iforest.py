@@ -79,9 +79,10 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
-def fit_forest(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfig()) -> DataFrame:
+def fit_forest(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfig(),
+               n: int | None = None) -> DataFrame:
     """Train; returns the node table (tree, node, feat, thr, left, right, size)."""
-    n = feat.count()
+    n = feat.count() if n is None else n
     psi = min(cfg.forest_sample, max(n, 1))
     trees = cfg.forest_trees
     # oversample 2x (plus slack) so each tree almost surely gets psi candidates
@@ -129,8 +130,8 @@ def _path_lengths(xs: np.ndarray, model: dict) -> np.ndarray:
 def isolation_forest_scores(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """D3 + D4: customer_id, isolation_forest_score in [0, 1] (1 = most anomalous)."""
     spark = feat.sparkSession
-    nodes = fit_forest(feat, cols, cfg).toPandas()  # bounded: trees * (2 psi - 1) rows
     n = feat.count()
+    nodes = fit_forest(feat, cols, cfg, n).toPandas()  # bounded: trees * (2 psi - 1) rows
     psi = min(cfg.forest_sample, max(n, 1))
     model = {}
     for t, g in nodes.groupby("tree"):

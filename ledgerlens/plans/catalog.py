@@ -884,3 +884,18 @@ def forest_anomalies(s, sf):
     """D5 on the forest scores: threshold and number of anomalies at the clamped contamination."""
     from ..operators.iforest import forest_anomalies as fa, isolation_forest_scores
     return fa(isolation_forest_scores(FEAT(s, sf), ML, cfg_t(s, sf)), cfg_t(s, sf))
+
+
+# ============================================================ Q5 with the reference's filter-first scope
+WIRE_ONLY = FilterSpec(transaction_types=("wire_transfer",))
+
+
+@register("full_analysis_filtered", with_(*feature_ctes(
+    "tw", CFG_T, source_ctes=[B.T_SQL, "tw AS (SELECT * FROM t WHERE transaction_type IN ('wire_transfer'))"]),
+    *CLS_SQL) + "\nSELECT customer_id, anomaly_score, risk_level, escalation_action FROM cls",
+    dbl=["anomaly_score"], digits=9)
+def full_analysis_filtered(s, sf):
+    """Q5 with scope='filtered': the filter spec applies before the features, so
+    'wire only' leaves no deposits for structuring or rapid movement."""
+    _, _, cls = Q.analyse(T(s, sf), C(s, sf), cfg_t(s, sf), spec=WIRE_ONLY, scope="filtered")
+    return cls.select("customer_id", "anomaly_score", "risk_level", "escalation_action")

@@ -29,10 +29,12 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)
 
 
-def feature_ctes(src: str, cfg: RiskConfig, graph: bool = True, customers: bool = True) -> list[str]:
-    """CTEs ending in ``feat``: the full feature matrix of binding ``src``."""
+def feature_ctes(src: str, cfg: RiskConfig, graph: bool = True, customers: bool = True,
+                 source_ctes: list[str] | None = None) -> list[str]:
+    """CTEs ending in ``feat``: the full feature matrix of binding ``src`` (or of a
+    view ``src`` defined by ``source_ctes``, e.g. a filtered ledger)."""
     lo, hi = d(cfg.structuring_lower), d(cfg.ctr_threshold)
-    ctes = [BINDINGS[src], HR_SQL]
+    ctes = (list(source_ctes) if source_ctes else [BINDINGS[src]]) + [HR_SQL]
     if customers:
         ctes.append(C_SQL)
     ctes += [
