@@ -43,6 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(iterative operators cut their lineage there)")
+        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")   # local mode only (tests, laptops)
     sc.setCheckpointDir(configured)
     return configured
