@@ -30,13 +30,14 @@ def register(key: str, sql: Optional[str] = None, dbl: Sequence[str] = (), digit
 def _round_spark(df: DataFrame, dbl: Sequence[str], digits: int) -> DataFrame:
     if not dbl:
         return df
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in dbl})
+    # "+ 0.0" turns a rounded -0.0 into 0.0, so both engines print and hash the same zero
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in dbl})
 
 
 def _round_sql(sql: str, dbl: Sequence[str], digits: int) -> str:
     if not dbl:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in dbl)
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in dbl)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 

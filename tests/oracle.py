@@ -22,9 +22,9 @@ def duck(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, decimal.Decimal):
-        return float(v)
-    if isinstance(v, float) and math.isnan(v):
-        return "NaN"
+        return repr(float(v))
+    if isinstance(v, float):
+        return "NaN" if math.isnan(v) else repr(v)     # exact bits, sign of zero included
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dt.datetime):
