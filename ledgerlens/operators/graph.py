@@ -76,12 +76,10 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
         else:
             new = new.persist()
         done = it + 1 == iters
-        if cfg.pagerank_tol is not None:
+        if cfg.pagerank_tol is not None:       # one 1-row aggregate per iteration (also materialises)
             err, cnt = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
             done = done or err < cnt * cfg.pagerank_tol
-        elif not new.is_cached:
-            pass
-        else:
+        elif new.is_cached:                    # persisted (not checkpointed) iteration: materialise now
             new.count()
         if prev_cached is not None:
             prev_cached.unpersist()

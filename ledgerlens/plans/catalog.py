@@ -74,7 +74,7 @@ def FEAT(s, sf):
 
 
 def FEAT_L(s, sf):
-    return _m(s, sf, "FEAT_L", lambda: A.engineer_features(L(s, sf), C(s, sf), cfg_l(s, sf), graph=False).persist())
+    return _m(s, sf, "FEAT_L", lambda: A.engineer_features(L(s, sf), C(s, sf), cfg_l(s, sf)).persist())
 
 
 def SCORES(s, sf):
@@ -406,9 +406,7 @@ _feat_key("feat_encoded", ["risk_category_encoded", "kyc_status_encoded", "pep_f
 ALL_FEATS = A.CORE + A.STRUCT + A.VELOC + A.GEO + A.BEHAV + A.GRAPH + [
     "risk_category", "pep_flag", "kyc_status", "account_type", "risk_category_encoded", "kyc_status_encoded"]
 _feat_key("feature_matrix", ALL_FEATS, graph=True, customers=True, digits=8)
-L_FEATS = A.CORE + A.STRUCT + A.VELOC + A.GEO + A.BEHAV + [
-    "risk_category", "pep_flag", "kyc_status", "account_type", "risk_category_encoded", "kyc_status_encoded"]
-_feat_key("feature_matrix_l", L_FEATS, customers=True, src="l")
+_feat_key("feature_matrix_l", ALL_FEATS, graph=True, customers=True, src="l", digits=8)
 _feat_key("feat_rapid_movement_l", ["rapid_movement_count"], src="l", family="behavioral")
 _feat_key("feat_dormancy_l", ["dormancy_flag"], src="l", family="behavioral")
 _feat_key("feat_structuring_cluster_l", ["structuring_cluster_max", "cash_near_ctr_count"], src="l",
@@ -469,6 +467,17 @@ def graph_cycles_3_l(s, sf):
     return G.cycle_counts(EDGES_L(s, sf), 3)
 
 
+@register("graph_pagerank_l", _graph_sql("SELECT node, rank AS network_pagerank FROM pr", src="l", cfg=CFG_L),
+          dbl=["network_pagerank"], digits=8)
+def graph_pagerank_l(s, sf):
+    return G.pagerank(EDGES_L(s, sf), cfg_l(s, sf))
+
+
+@register("graph_circular_flow_l", _graph_sql("SELECT node, circular_flow_count FROM cf", src="l", cfg=CFG_L))
+def graph_circular_flow_l(s, sf):
+    return G.circular_flow(EDGES_L(s, sf), 4)
+
+
 @register("graph_degree_l", _graph_sql("SELECT node, network_in_degree, network_out_degree FROM dg", src="l", cfg=CFG_L))
 def graph_degree_l(s, sf):
     return G.degrees(EDGES_L(s, sf))
