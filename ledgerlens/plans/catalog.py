@@ -362,14 +362,15 @@ def feature_describe(s, sf):
 # ============================================================ A: features
 # Only statistics whose last bits depend on evaluation order are rounded; money sums
 # are exact (integer cents) and ratios of counts are the same IEEE operations in both engines.
-FEATURE_DBL = {"std_amount", "median_amount", "amount_cv", "network_pagerank"}
+# digits per column, scaled to magnitude: std ~1e4 (6), ratios ~1 (9), PageRank ~1e-4 (12)
+FEATURE_DBL = {"std_amount": 6, "median_amount": 6, "amount_cv": 9, "network_pagerank": 12}
 
 
 def _feat_key(key: str, cols: list[str], graph: bool = False, customers: bool = False, digits: int = 6,
               src: str = "t", family: str | None = None):
     """A feature key. With ``family`` it computes only that family (plus the core
     aggregation that defines the customer rows); otherwise it reads the full matrix."""
-    dbl = [c for c in cols if c in FEATURE_DBL]
+    dbl = [(c, FEATURE_DBL[c]) for c in cols if c in FEATURE_DBL]
     cfg = CFG_T if src == "t" else CFG_L
     sql = sql_t(f"SELECT customer_id, {', '.join(cols)} FROM feat", graph=graph, customers=customers, cfg=cfg, src=src)
 
@@ -405,8 +406,8 @@ _feat_key("feat_encoded", ["risk_category_encoded", "kyc_status_encoded", "pep_f
           family="core")
 ALL_FEATS = A.CORE + A.STRUCT + A.VELOC + A.GEO + A.BEHAV + A.GRAPH + [
     "risk_category", "pep_flag", "kyc_status", "account_type", "risk_category_encoded", "kyc_status_encoded"]
-_feat_key("feature_matrix", ALL_FEATS, graph=True, customers=True, digits=8)
-_feat_key("feature_matrix_l", ALL_FEATS, graph=True, customers=True, src="l", digits=8)
+_feat_key("feature_matrix", ALL_FEATS, graph=True, customers=True)
+_feat_key("feature_matrix_l", ALL_FEATS, graph=True, customers=True, src="l")
 _feat_key("feat_rapid_movement_l", ["rapid_movement_count"], src="l", family="behavioral")
 _feat_key("feat_dormancy_l", ["dormancy_flag"], src="l", family="behavioral")
 _feat_key("feat_structuring_cluster_l", ["structuring_cluster_max", "cash_near_ctr_count"], src="l",

@@ -27,17 +27,22 @@ def register(key: str, sql: Optional[str] = None, dbl: Sequence[str] = (), digit
     return deco
 
 
-def _round_spark(df: DataFrame, dbl: Sequence[str], digits: int) -> DataFrame:
+def _digits(dbl: Sequence, digits: int) -> list[tuple[str, int]]:
+    """``dbl`` entries are column names (use ``digits``) or (name, digits) pairs."""
+    return [(c, digits) if isinstance(c, str) else (c[0], c[1]) for c in dbl]
+
+
+def _round_spark(df: DataFrame, dbl: Sequence, digits: int) -> DataFrame:
     if not dbl:
         return df
     # "+ 0.0" turns a rounded -0.0 into 0.0, so both engines print and hash the same zero
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in dbl})
+    return df.withColumns({c: F.round(F.col(c).cast("double"), d) + F.lit(0.0) for c, d in _digits(dbl, digits)})
 
 
-def _round_sql(sql: str, dbl: Sequence[str], digits: int) -> str:
+def _round_sql(sql: str, dbl: Sequence, digits: int) -> str:
     if not dbl:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in dbl)
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}" for c, d in _digits(dbl, digits))
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 
