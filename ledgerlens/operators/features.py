@@ -201,7 +201,9 @@ def rapid_movement(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
         F.col("amount").alias("d_amt"))
     dep = dep.withColumn("d_bucket", F.explode(F.array(
         F.floor(F.col("d_us") / F.lit(width)), F.floor(F.col("d_us") / F.lit(width)) + 1)))
-    outs = df.filter(F.col("transaction_type").isin("transfer", "wire_transfer")).select(
+    # exact pre-filter: a qualifying out is at least ratio * min_deposit (pushed to the scan)
+    outs = df.filter(F.col("transaction_type").isin("transfer", "wire_transfer")
+                     & (F.col("amount") >= cfg.rapid_ratio * cfg.rapid_min_deposit)).select(
         F.col("customer_id").alias("o_cust"), _micros(F.col("timestamp")).alias("o_us"),
         F.col("amount").alias("o_amt"))
     outs = outs.withColumn("o_bucket", F.floor(F.col("o_us") / F.lit(width)))

@@ -118,10 +118,10 @@ def daily_series(df: DataFrame) -> DataFrame:
     """Count and volume per calendar day, zero-filled from first to last day."""
     d = df.filter(F.col("timestamp").isNotNull()).groupBy(F.to_date("timestamp").alias("day")).agg(
         F.count("amount").alias("count"), F.coalesce(money_sum(F.col("amount")), F.lit(0.0)).alias("total"))
-    first = d.select(F.min("day")).scalar()
-    last = d.select(F.max("day")).scalar()
+    bounds = d.select(F.struct(F.min("day").alias("first"), F.max("day").alias("last"))).scalar()
     spark = df.sparkSession
-    cal = spark.range(1).select(F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("day"))
+    cal = spark.range(1).select(bounds.alias("_b")).select(
+        F.explode(F.sequence(F.col("_b.first"), F.col("_b.last"), F.expr("INTERVAL 1 DAY"))).alias("day"))
     return cal.join(d, "day", "left").select(
         "day", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
@@ -163,11 +163,11 @@ def truth_profile(df: DataFrame) -> DataFrame:
     """Rows per ground-truth pattern other than 'none' (null counts as a
     pattern, like pandas), with flagged-row totals and share %."""
     pat = F.col("ground_truth_pattern")
-    total = df.select(F.count(F.lit(1))).scalar()
-    flagged = df.select(F.count_if(F.coalesce(F.col("ground_truth_flag"), F.lit(False)))).scalar()
     g = df.filter(~pat.eqNullSafe("none")).groupBy(pat.alias("pattern")).agg(F.count(F.lit(1)).alias("rows"))
-    return g.select("pattern", "rows", flagged.alias("flagged_rows"),
-                    F.round(flagged * 100.0 / total, 4).alias("flagged_pct"))
+    g = attach_scalars(g, df, "_t", F.count(F.lit(1)).alias("total"),
+                       F.count_if(F.coalesce(F.col("ground_truth_flag"), F.lit(False))).alias("flagged"))
+    return g.select("pattern", "rows", F.col("_t.flagged").alias("flagged_rows"),
+                    F.round(F.col("_t.flagged") * 100.0 / F.col("_t.total"), 4).alias("flagged_pct"))
 
 
 def describe_features(feat: DataFrame, cols: Sequence[str], decimals: int = 4) -> DataFrame:
