@@ -230,3 +230,42 @@ def test_sample_without_truth_and_shuffle(spark):
     assert sorted(r["v"] for r in s.collect()) == sorted(r["v"] for r in M.stratified_sample(df.repartition(4), 30).collect())
     sh = M.stratified_sample(df, 30, shuffle=True)
     assert sorted(r["v"] for r in sh.collect()) == sorted(r["v"] for r in s.collect())
+
+
+def _naive_cycles(pairs, k):
+    adj = {}
+    for a, b in set(pairs):
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+    found = set()
+
+    def walk(path):
+        if len(path) == k:
+            if path[0] in adj.get(path[-1], ()):
+                i = path.index(min(path))
+                found.add(tuple(path[i:] + path[:i]))
+            return
+        for nxt in adj.get(path[-1], ()):
+            if nxt not in path:
+                walk(path + [nxt])
+    for start in adj:
+        walk([start])
+    return found
+
+
+def test_cycles_match_naive_enumeration_with_a_hub(spark):
+    import random
+    rng = random.Random(3)
+    nodes = [f"n{i:02d}" for i in range(30)]
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(160)]
+    pairs += [("hub", n) for n in nodes[::2]] + [(n, "hub") for n in nodes[1::3]]   # a high-degree node
+    e = edges(spark, pairs)
+    for k in (2, 3, 4):
+        want = _naive_cycles(pairs, k)
+        got = G.cycles(e, k).collect()
+        canon = set()
+        for r in got:
+            m = list(r["members"])
+            i = m.index(min(m))
+            canon.add(tuple(m[i:] + m[:i]))
+        assert len(got) == len(canon) == len(want) and canon == want, k
