@@ -94,8 +94,8 @@ def box_stats(df: DataFrame, by: str = "transaction_type", col: str = "amount",
     q = q.select("grp", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    # the per-group quartiles are one row per group: tiny, so the join back is a broadcast
-    j = v.join(F.broadcast(q), "grp")
+    # one row per group: AQE broadcasts it when small (few groups), else shuffles on the key
+    j = v.join(q, "grp")
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
     w = j.groupBy("grp").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
                              F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
