@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def _above(d1, n1, d2, n2):
     return (d1 > d2) | ((d1 == d2) & (n1 > n2))
 
 
-def cycles(edges: DataFrame, length: int) -> DataFrame:
+def cycles(edges: DataFrame, length: int, ranked: DataFrame | None = None) -> DataFrame:
     """Directed simple cycles of one length, one row each, as ``members`` (cycle
     order). Self loops are not cycles here.
 
@@ -127,7 +128,7 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
         return c.select(F.array("a", "b").alias("members"))
     if length not in (3, 4):
         raise ValueError("cycle length must be 2, 3 or 4")
-    r = _ranked_edges(edges)
+    r = ranked if ranked is not None else _ranked_edges(edges)
     # v -> u with v above u (the apex leaves towards a lower-ranked centre)
     down = r.filter(_above(F.col("ds"), F.col("src"), F.col("dd"), F.col("dst"))) \
         .select(F.col("src").alias("v"), F.col("ds").alias("dv"), F.col("dst").alias("u"))
@@ -154,8 +155,11 @@ def cycle_counts(edges: DataFrame, length: int) -> DataFrame:
 
 
 def circular_flow(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Per node, simple cycles of length 2..max_len through it."""
-    parts = [cycles(edges, k) for k in range(2, max_len + 1)]
+    """Per node, simple cycles of length 2..max_len through it. The ranked edge
+    table is read about a dozen times, so it is materialised once (it is the size of
+    the edge list, not of the ledger; recomputable on executor loss)."""
+    ranked = _ranked_edges(edges).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = [cycles(edges, k, ranked) for k in range(2, max_len + 1)]
     allc = parts[0]
     for p in parts[1:]:
         allc = allc.unionByName(p)
@@ -166,7 +170,8 @@ def circular_flow(edges: DataFrame, max_len: int = 4) -> DataFrame:
 def graph_features(tx: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """A16-A18 keyed by customer_id (nodes that are only counterparties drop out
     at the caller's left join)."""
-    edges = transfer_edges(tx)
+    # distinct edges are read by PageRank, degrees and the cycle search: materialise once
+    edges = transfer_edges(tx).persist(StorageLevel.MEMORY_AND_DISK)
     pr = pagerank(edges, cfg)
     deg = degrees(edges)
     cyc = circular_flow(edges, cfg.cycle_max_len)
