@@ -47,11 +47,11 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = edges.persist(StorageLevel.MEMORY_AND_DISK).checkpoint()
+    edges = edges.checkpoint()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     outd = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
     nodes = nodes.join(outd, "node", "left").select("node", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
-    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK).checkpoint()
+    nodes = nodes.checkpoint()
     # node count: one scalar subquery, stored as a constant column in the checkpoint
     nodes = nodes.withColumn("inv_n", F.lit(1.0) / nodes.select(F.count(F.lit(1)).cast("double")).scalar())
     alpha = F.lit(cfg.pagerank_alpha)
@@ -73,11 +73,9 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
         # every iteration is materialised once (rank is read three times by the next);
         # every k-th and the last are reliable checkpoints that also cut the lineage
         if (it + 1) % every == 0 or it + 1 == iters:
-            # persisted first: writing the checkpoint then reads the cache instead of
-            # recomputing the iteration (a reliable checkpoint evaluates its input twice)
-            cached = new.persist(StorageLevel.MEMORY_AND_DISK)
-            new = cached.checkpoint()
-            cached.unpersist()
+            # the file write re-runs only the last stage: the iteration's shuffle
+            # outputs from the materialising job are reused
+            new = new.checkpoint()
         else:
             new = new.persist()
         done = it + 1 == iters
