@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import chat, line_dedup, pii
+from ledgerlens.llm import automaton_dedup, chat, line_dedup, pii, suffix_dedup
 
 QUERIES = {
     "op1_chat_formatting": chat.op1,
     "op2_pii": pii.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op6_suffix_array_dedup": suffix_dedup.op6,
+    "op8_substring_dedup": automaton_dedup.op8,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op8_substring_dedup": automaton_dedup.SQL,
 }
