@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import automaton_dedup, chat, line_dedup, pii, suffix_dedup
+from ledgerlens.llm import automaton_dedup, chat, line_dedup, ngram_join, pii, suffix_dedup
 
 QUERIES = {
     "op1_chat_formatting": chat.op1,
     "op2_pii": pii.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op5_ngram_jaccard_join": ngram_join.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op8_substring_dedup": automaton_dedup.op8,
 }
