@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import automaton_dedup, chat, line_dedup, ngram_join, pii, suffix_dedup
+from ledgerlens.llm import automaton_dedup, chat, decontaminate, language_id, line_dedup, ngram_join, pii, suffix_dedup
 
 QUERIES = {
     "op1_chat_formatting": chat.op1,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3,
     "op5_ngram_jaccard_join": ngram_join.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
+    "op7_language_id": language_id.op7,
     "op8_substring_dedup": automaton_dedup.op8,
+    "op10_decontamination": decontaminate.op10,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op8_substring_dedup": automaton_dedup.SQL,
+    "op10_decontamination": decontaminate.SQL,
 }
