@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import automaton_dedup, chat, decontaminate, language_id, line_dedup, ngram_join, pii, suffix_dedup
+from ledgerlens.llm import automaton_dedup, chat, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, sentencepieces, suffix_dedup
 
 QUERIES = {
     "op1_chat_formatting": chat.op1,
     "op2_pii": pii.op2,
     "op3_line_dedup": line_dedup.op3,
+    "op4_document_fingerprints": fingerprints.op4,
     "op5_ngram_jaccard_join": ngram_join.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op7_language_id": language_id.op7,
     "op8_substring_dedup": automaton_dedup.op8,
+    "op9_sentencepiece": sentencepieces.op9,
     "op10_decontamination": decontaminate.op10,
 }
 ORACLE_SQL = {
