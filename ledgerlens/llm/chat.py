@@ -70,7 +70,7 @@ def flatten_parts(parts: Column) -> Column:
     """
     parts = F.filter(F.coalesce(parts, F.expr(f"cast(array() as {PART_TYPE})")), lambda p: p.isNotNull())
     media = lambda p: F.coalesce(p["type"].isin("image", "audio", "document"), F.lit(False))
-    number = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), media))
+    number = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i + F.lit(1)), media))
     mark = lambda p, i: F.concat(F.lit("<|"), p["type"], F.lit(":"), number(i).cast("string"), F.lit("|>"))
     body = F.array_join(F.transform(parts, lambda p, i: F.when(media(p), mark(p, i)).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
     found = F.filter(F.transform(parts, lambda p, i: F.when(media(p), F.struct(

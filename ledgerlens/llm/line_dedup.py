@@ -50,20 +50,19 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` (appended; the text column itself is left alone)."""
-    late = later_windows(docs, id_col, text_col).select(F.col("doc_id").alias("_ll_id"), F.col("starts").alias("_ll_starts"))
-    joined = docs.join(late, docs[id_col].eqNullSafe(late["_ll_id"]), "left")
-    lines, starts = F.col("_ll_lines"), F.col("_ll_marks")
+    """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` (appended, or replaced where ``docs`` has such a column)."""
+    # own columns travel in one struct, so that none of them can clash with a name used here
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"))
+    late = later_windows(docs, id_col, text_col).select(F.col("doc_id").alias("late_id"), "starts")
+    lines, marks = F.col("lines"), F.col("marks")
+    marked = own.join(late, F.col("id").eqNullSafe(F.col("late_id")), "left").withColumn("marks", F.concat(
+        F.array(F.lit(-WINDOW)), F.coalesce("starts", F.expr("cast(array() as array<int>)")), F.array(F.size(lines))))
     # the kept runs lie between one covered window's end and the next one's start
-    runs = F.transform(F.sequence(F.lit(0), F.size(starts) - 2), lambda j: F.slice(
-        lines, F.get(starts, j) + F.lit(WINDOW + 1), F.greatest(F.lit(0), F.get(starts, j + 1) - F.get(starts, j) - F.lit(WINDOW))))
-    marked = (joined.withColumn("_ll_lines", _lines(F.col(text_col)))
-              .withColumn("_ll_marks", F.concat(F.array(F.lit(-WINDOW)), F.coalesce("_ll_starts", F.expr("array()").cast("array<int>")), F.array(F.size("_ll_lines")))))
-    kept = marked.withColumn("_ll_kept", F.flatten(runs))
-    return (kept.withColumn("kept_text", F.concat_ws("\n", "_ll_kept"))
-            .withColumn("n_lines", F.size("_ll_lines").cast("long"))
-            .withColumn("n_removed", (F.size("_ll_lines") - F.size("_ll_kept")).cast("long"))
-            .drop("_ll_id", "_ll_starts", "_ll_lines", "_ll_marks", "_ll_kept"))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks) - 2), lambda j: F.slice(
+        lines, F.get(marks, j) + F.lit(WINDOW + 1), F.greatest(F.lit(0), F.get(marks, j + 1) - F.get(marks, j) - F.lit(WINDOW)))))
+    out = marked.withColumn("kept", kept)
+    new = {"kept_text": F.concat_ws("\n", "kept"), "n_lines": F.size("lines").cast("long"), "n_removed": (F.size("lines") - F.size("kept")).cast("long")}
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *[x.alias(c) for c, x in new.items()])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
