@@ -11,10 +11,7 @@ from typing import Optional, Sequence
 
 # Fixed values that must equal the reference's defaults for identical results.
 DEFAULT_HIGH_RISK_COUNTRIES = (
-    "KY", "PA", "VG", "BS", "BZ",
-    "MM", "KP", "IR", "SY",
-    "AF", "YE", "SO",
-    "MT", "CY",
+    "KY", "PA", "VG", "BS", "BZ", "MM", "KP", "IR", "SY", "AF", "YE", "SO", "MT", "CY",
 )
 
 # Ordinal encodings, level order and level -> action map.
@@ -37,7 +34,6 @@ RULE_OWNED_COLUMNS = (
 
 @dataclass(frozen=True)
 class RiskConfig:
-    money_scale: Optional[int] = 2          # exact money sums in minor units; None = double sums
     median_accuracy: Optional[int] = None   # None = exact median; k = percentile_approx sketch (bounded per customer)
     # structuring
     ctr_threshold: float = 10000.0          # exclusive upper end of the near-CTR band
@@ -59,9 +55,8 @@ class RiskConfig:
     high_risk_countries: Sequence[str] = DEFAULT_HIGH_RISK_COUNTRIES
     # graph
     pagerank_alpha: float = 0.85
-    pagerank_iterations: int = 10           # fixed-K mode (oracle comparable)
-    pagerank_tol: Optional[float] = None    # set -> iterate to networkx-style convergence
-    pagerank_max_iter: int = 100
+    pagerank_tol: float = 1e-6              # iterate until the L1 change is below nodes * tol
+    pagerank_iterations: Optional[int] = None   # set -> exactly so many steps (comparable with an unrolled oracle)
     pagerank_checkpoint_every: int = 1      # cut lineage every k iterations (reliable checkpoint)
     cycle_max_len: int = 4
     # forest
@@ -81,10 +76,20 @@ class RiskConfig:
     rule_geo_w: float = 0.15
     rule_dormancy_add: float = 0.20
     rule_circular_w: float = 0.25
+    # a rule's strength: count / full, between floor and 1
+    structuring_full: float = 10.0
+    structuring_floor: float = 0.3
+    velocity_full: float = 20.0
+    velocity_floor: float = 0.3
+    rapid_full: float = 5.0
+    rapid_floor: float = 0.4
+    circular_full: float = 2.0
+    circular_floor: float = 0.5
     pep_multiplier: float = 1.3
     kyc_add: float = 0.05
     zscore_cap: float = 10.0
     zscore_alert: float = 3.0
+    noise_std: float = 1e-12                # a deviation this small relative to the mean is rounding noise of a constant
     # explanation cuts (the explanation keeps its own velocity cut of 5)
     explain_velocity_cut: float = 5.0
     unusual_time_cut: float = 0.4

@@ -29,19 +29,9 @@ def attach_scalars(df: DataFrame, agg_of: DataFrame, name: str, *aggs: Column) -
     return df.withColumn(name, agg_of.select(F.struct(*aggs)).scalar())
 
 
-def money_sum(c: Column, scale: int | None = 2, wide: bool = False) -> Column:
-    """Sum of money amounts, exact: summed as integer minor units (cents) and
-    converted once. Deterministic for any partitioning or task order, unlike a
-    double sum. ``scale=None`` falls back to a plain double sum."""
-    if scale is None:
-        return F.sum(c)
-    m = 10 ** scale
-    t = "decimal(38,0)" if wide else "bigint"   # wide: ledger-wide totals, no overflow
-    return F.sum(F.round(c * m).cast(t)).cast("double") / F.lit(float(m))
-
-
-def money_avg(c: Column, scale: int | None = 2, wide: bool = False) -> Column:
-    return money_sum(c, scale, wide) / F.count(c)
+def known_number(c: Column) -> Column:
+    """NaN counts as missing: pandas skips it, Spark's aggregates and comparisons do not."""
+    return F.when(~F.isnan(c.cast("double")), c)
 
 
 def hours_between(a: Column, b: Column) -> Column:
@@ -65,12 +55,11 @@ def is_high_risk(df: DataFrame, cfg: RiskConfig, country_col: str = "counterpart
 
     The set is either a literal list (default) or a one-column ``country`` frame
     (e.g. nations of a region). A frame is a country dimension -- bounded by the
-    number of jurisdictions -- so it is de-duplicated and broadcast.
+    number of jurisdictions -- so Spark broadcasts it when its measured size allows.
     """
     hr = cfg.high_risk_countries
     if isinstance(hr, DataFrame):
-        dim = F.broadcast(hr.select(F.col("country").alias("_hr_country")).distinct()
-                          .withColumn("_hr_hit", F.lit(True)))
+        dim = hr.select(F.col("country").alias("_hr_country")).distinct().withColumn("_hr_hit", F.lit(True))
         j = df.join(dim, F.col(country_col) == F.col("_hr_country"), "left")
         return j.withColumn(out, F.coalesce(F.col("_hr_hit"), F.lit(False))).drop("_hr_country", "_hr_hit")
     return df.withColumn(out, F.coalesce(F.col(country_col).isin(list(hr)), F.lit(False)))

@@ -8,7 +8,7 @@ Plan shape, designed for a skewed ledger on many executors:
 * adjacency features (A8 min gap, A12 dormancy) run a two-level window: first
   within (customer, day), then over the per-day summary, so a customer holding a
   third of the ledger is still spread over many tasks;
-* the 7-day structuring cluster (A3) is a RANGE frame partitioned by
+* the 7-day structuring cluster (A3) is a running count partitioned by
   (customer, week bucket) with next-week rows copied in, again skew-safe;
 * the rapid-movement pair count (A11) is a range join: equi-join on
   (customer, 24 h bucket) plus the residual time/amount predicate.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import KYC_STATUS_CODES, RISK_CATEGORY_CODES, RiskConfig
-from ..functions.exprs import attach_scalars, encode, hours_between, is_high_risk, money_avg, money_sum, whole_days
+from ..functions.exprs import attach_scalars, encode, hours_between, is_high_risk, known_number, whole_days
 
 MICROS_PER_DAY = 86400 * 1_000_000
 
@@ -54,19 +54,18 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     df = _ledger(tx)
     has_cash = "is_cash" in df.columns
     has_country = "counterparty_country" in df.columns
-    ts, amt = F.col("timestamp"), F.col("amount")
-    # ledger-wide "now" and first timestamp: one scalar subquery, attached once
-    df = attach_scalars(df, df, "_glob", F.max("timestamp").alias("now"), F.min("timestamp").alias("first"))
+    ts, amt = F.col("timestamp"), known_number(F.col("amount"))
+    # ledger-wide "now" and first timestamp, of all rows (also those without a customer): one scalar subquery
+    df = attach_scalars(df, tx, "_glob", F.max("timestamp").alias("now"), F.min("timestamp").alias("first"))
     now = F.col("_glob.now")
 
     if has_country:
         df = is_high_risk(df, cfg)
     near = near_ctr_flag(cfg) if has_cash else F.lit(False)
-    ms = cfg.money_scale
     aggs = [
         F.count("transaction_id").alias("total_transactions"),
-        money_sum(amt, ms).alias("total_amount"),
-        money_avg(amt, ms).alias("avg_amount"),
+        F.sum(amt).alias("total_amount"),
+        F.avg(amt).alias("avg_amount"),
         F.coalesce(F.stddev_samp(amt), F.lit(0.0)).alias("std_amount"),
         F.max(amt).alias("max_amount"),
         F.min(amt).alias("min_amount"),
@@ -74,7 +73,7 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
          else F.percentile_approx(amt, 0.5, cfg.median_accuracy).cast("double")).alias("median_amount"),
         # structuring
         F.count_if(near).alias("cash_near_ctr_count"),
-        money_sum(F.when(near, amt), ms).alias("cash_near_ctr_total"),
+        F.sum(F.when(near, amt)).alias("cash_near_ctr_total"),
         F.min(F.when(near, ts)).alias("_near_first"),
         F.max(F.when(near, ts)).alias("_near_last"),
         F.count_if(F.coalesce(F.col("is_cash"), F.lit(False)) if has_cash else F.lit(False))
@@ -82,17 +81,19 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
         # velocity windows anchored on the ledger's own max timestamp
         *[x for d, lab in ((1, "1d"), (7, "7d"), (30, "30d")) for x in (
             F.count_if(ts >= now - F.make_interval(days=F.lit(d))).alias(f"txn_count_{lab}"),
-            F.coalesce(money_sum(F.when(ts >= now - F.make_interval(days=F.lit(d)), amt), ms), F.lit(0.0))
+            F.coalesce(F.sum(F.when(ts >= now - F.make_interval(days=F.lit(d)), amt)), F.lit(0.0))
              .alias(f"txn_volume_{lab}"))],
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(ts).alias("_n_ts"),
         F.any_value("_glob").alias("_glob"),
-        F.avg(F.when(ts.isNull(), None).when(unusual_time_flag(ts), 1.0).otherwise(0.0)).alias("unusual_time_pct"),
+        # a row without a timestamp counts as a usual time
+        F.avg(F.when(unusual_time_flag(ts), 1.0).otherwise(0.0)).alias("unusual_time_pct"),
     ]
     if has_country:
         aggs += [
             F.count_if(F.col("_high_risk")).alias("high_risk_country_txns"),
-            F.coalesce(money_sum(F.when(F.col("_high_risk"), amt), ms), F.lit(0.0)).alias("high_risk_country_volume"),
-            F.count_distinct(F.col("counterparty_country")).alias("unique_countries"),
+            F.coalesce(F.sum(F.when(F.col("_high_risk"), amt)), F.lit(0.0)).alias("high_risk_country_volume"),
+            # as many values as there are countries; a distinct count would shuffle every buffer twice
+            F.size(F.collect_set("counterparty_country")).cast("long").alias("unique_countries"),
         ]
     g = df.groupBy("customer_id").agg(*aggs)
 
@@ -163,27 +164,33 @@ def timing_features(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 # -------------------------------------------------------- A3 structuring cluster
+ROW, FOLLOWER, PROBE = 0, 1, 2
+
+
 def structuring_cluster(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Max number of near-threshold cash rows in any [t, t + window] (both ends
     inclusive), anchored at each such row. One row -> 1.
 
-    Rows are bucketed by window-length buckets; every row also joins the previous
-    bucket as a follower, so each anchor's whole frame lives in its own partition.
+    Rows are bucketed by window-length buckets; every row also counts in the previous
+    bucket, so each anchor's window lives in one partition. Running counts at the
+    anchor and at a probe at its window's end give the window's count: one sort, no
+    frame is ever re-counted.
     """
     if "is_cash" not in tx.columns:
-        return tx.sparkSession.createDataFrame([], "customer_id bigint, structuring_cluster_max bigint")
+        return tx.filter(F.lit(False)).select("customer_id", F.lit(0).cast("bigint").alias("structuring_cluster_max"))
     width = cfg.structuring_window_days * MICROS_PER_DAY
     near = _ledger(tx).filter(near_ctr_flag(cfg) & F.col("timestamp").isNotNull()).select(
         "customer_id", _micros(F.col("timestamp")).alias("us"))
-    b0 = F.floor(F.col("us") / F.lit(width))
-    # one scan: each row is an anchor in its bucket and a follower in the previous one
-    both = near.select("customer_id", "us", F.explode(F.array(
-        F.struct(b0.alias("bucket"), F.lit(True).alias("anchor")),
-        F.struct((b0 - 1).alias("bucket"), F.lit(False).alias("anchor")))).alias("p")) \
-        .select("customer_id", "us", "p.bucket", "p.anchor")
-    w = Window.partitionBy("customer_id", "bucket").orderBy("us").rangeBetween(0, width)
-    counted = both.withColumn("n", F.count(F.lit(1)).over(w)).filter("anchor")
-    return counted.groupBy("customer_id").agg(F.max("n").alias("structuring_cluster_max"))
+    us, b0 = F.col("us"), F.floor(F.col("us") / F.lit(width))
+    point = lambda bucket, at, kind: F.struct(bucket.alias("bucket"), at.alias("at"), F.lit(kind).alias("kind"), us.alias("anchor"))
+    # one scan: a row counts in its own bucket and the one before; a probe at the window's end reads the count there
+    points = near.select("customer_id", F.explode(F.array(
+        point(b0, us, ROW), point(b0 - 1, us, FOLLOWER), point(b0, us + F.lit(width), PROBE))).alias("p")).select("customer_id", "p.*")
+    running = Window.partitionBy("customer_id", "bucket").orderBy("at", F.col("kind") == PROBE).rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.withColumn("n", F.count_if(F.col("kind") != PROBE).over(running))
+    each = counted.groupBy("customer_id", "bucket", "anchor").agg(
+        F.max(F.when(F.col("kind") == PROBE, F.col("n"))).alias("upto"), F.min(F.when(F.col("kind") == ROW, F.col("n"))).alias("first"))
+    return each.groupBy("customer_id").agg(F.max(F.col("upto") - F.col("first") + 1).alias("structuring_cluster_max"))
 
 
 # ------------------------------------------------------------ A11 rapid movement
@@ -196,14 +203,15 @@ def rapid_movement(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     """
     width = cfg.rapid_hours * 3600 * 1_000_000
     df = _ledger(tx).filter(F.col("timestamp").isNotNull())
-    dep = df.filter((F.col("transaction_type") == "deposit") & (F.col("amount") >= cfg.rapid_min_deposit)).select(
+    dep = df.filter((F.col("transaction_type") == "deposit") & (F.col("amount") >= cfg.rapid_min_deposit)
+                    & ~F.isnan("amount")).select(
         F.col("customer_id").alias("d_cust"), _micros(F.col("timestamp")).alias("d_us"),
         F.col("amount").alias("d_amt"))
     dep = dep.withColumn("d_bucket", F.explode(F.array(
         F.floor(F.col("d_us") / F.lit(width)), F.floor(F.col("d_us") / F.lit(width)) + 1)))
     # exact pre-filter: a qualifying out is at least ratio * min_deposit (pushed to the scan)
     outs = df.filter(F.col("transaction_type").isin("transfer", "wire_transfer")
-                     & (F.col("amount") >= cfg.rapid_ratio * cfg.rapid_min_deposit)).select(
+                     & (F.col("amount") >= cfg.rapid_ratio * cfg.rapid_min_deposit) & ~F.isnan("amount")).select(
         F.col("customer_id").alias("o_cust"), _micros(F.col("timestamp")).alias("o_us"),
         F.col("amount").alias("o_amt"))
     outs = outs.withColumn("o_bucket", F.floor(F.col("o_us") / F.lit(width)))

@@ -3,6 +3,7 @@ and pushes them into the Parquet scan."""
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame
@@ -11,13 +12,10 @@ from pyspark.sql import functions as F
 from ..config import FilterSpec, RiskConfig
 from ..functions.exprs import attach_scalars
 
-# Lists longer than this become a broadcast semi join instead of an IN list.
-ISIN_LIMIT = 1000
-
 
 def by_customers(df: DataFrame, ids: Sequence | DataFrame | None) -> DataFrame:
-    """keep listed customers; empty list = no filter. A frame of ids is a
-    left-semi join (Spark picks broadcast only when its size is under the limit)."""
+    """keep listed customers; empty list = no filter. Ids, listed or in a frame, are
+    a left-semi join of any size (Spark broadcasts when the measured size allows)."""
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
@@ -25,11 +23,18 @@ def by_customers(df: DataFrame, ids: Sequence | DataFrame | None) -> DataFrame:
     ids = list(ids)
     if not ids:
         return df
-    if len(ids) > ISIN_LIMIT:
-        spark = df.sparkSession
-        frame = spark.createDataFrame([(i,) for i in ids], ["customer_id"])
-        return df.join(frame, "customer_id", "left_semi")
-    return df.filter(F.col("customer_id").isin(ids))
+    kind = df.schema["customer_id"].dataType.simpleString()
+    listed = df.sparkSession.createDataFrame([(str(i),) for i in ids if i is not None], "customer_id string")
+    return df.join(listed.select(F.col("customer_id").try_cast(kind).alias("customer_id")), "customer_id", "left_semi")
+
+
+def _is_date_only(text: str) -> bool:
+    """Does the text name a day without a time of day?"""
+    try:
+        dt.datetime.strptime(text.strip(), "%Y-%m-%d")
+    except ValueError:
+        return False
+    return True
 
 
 def by_dates(df: DataFrame, start: Optional[str] = None, end: Optional[str] = None,
@@ -40,7 +45,7 @@ def by_dates(df: DataFrame, start: Optional[str] = None, end: Optional[str] = No
     if start:
         df = df.filter(ts >= F.lit(start).cast("timestamp_ntz"))
     if end:
-        if end_of_day and len(end.strip()) == 10:
+        if end_of_day and _is_date_only(end):
             df = df.filter(ts < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
         else:
             df = df.filter(ts <= F.lit(end).cast("timestamp_ntz"))

@@ -4,7 +4,7 @@
 * degrees: two ``groupBy`` counts (self loops count in both);
 * PageRank: iterative join + aggregate; lineage cut with ``checkpoint()`` into the
   session's ``spark.checkpoint.dir`` (reliable storage, survives executor loss);
-* cycles of length 2..max_len: each directed simple cycle is enumerated once from
+* cycles of length 2..max_len: each directed simple cycle belongs to
   its highest (degree, id)-ranked node; all 2-paths are wedges centred below that
   node (O(m^1.5) for any degree skew) and 4-cycles meet in the middle.
 """
@@ -41,13 +41,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """PageRank with uniform teleport and dangling mass spread evenly.
 
-    Fixed ``cfg.pagerank_iterations`` iterations by default (oracle-comparable);
-    with ``cfg.pagerank_tol`` it stops like networkx: L1 change < N * tol, at most
-    ``cfg.pagerank_max_iter`` iterations (one 1-row aggregate per iteration).
+    Iterates until the L1 change is below nodes * ``cfg.pagerank_tol`` (one 1-row aggregate per step; with a damping
+    of 0.85 some 90 steps at most). ``cfg.pagerank_iterations`` sets a fixed number of steps instead. Edges are
+    partitioned on their source once, so that no step shuffles them; each step ends in a reliable checkpoint.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = edges.checkpoint()
+    edges = edges.repartition("src").checkpoint()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     outd = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
     nodes = nodes.join(outd, "node", "left").select("node", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
@@ -57,10 +57,8 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     alpha = F.lit(cfg.pagerank_alpha)
     inv_n = F.col("inv_n")
     rank = nodes.select("node", "outdeg", "inv_n", inv_n.alias("rank"))
-    iters = cfg.pagerank_max_iter if cfg.pagerank_tol is not None else cfg.pagerank_iterations
-    every = max(cfg.pagerank_checkpoint_every, 1)
-    prev_cached = None
-    for it in range(iters):
+    step = 0
+    while cfg.pagerank_iterations is None or step < cfg.pagerank_iterations:
         senders = rank.filter(F.col("outdeg") > 0).select(
             F.col("node").alias("src"), F.try_divide(F.col("rank"), F.col("outdeg")).alias("share"))
         contrib = edges.join(senders, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
@@ -69,29 +67,13 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
             "node", "outdeg", "inv_n",
             (alpha * (F.coalesce(F.col("inflow"), F.lit(0.0)) + dangling * inv_n)
              + (F.lit(1.0) - alpha) * inv_n).alias("rank"),
-            F.col("rank").alias("prev"))
-        # every iteration is materialised once (rank is read three times by the next);
-        # every k-th and the last are reliable checkpoints that also cut the lineage
-        if (it + 1) % every == 0 or it + 1 == iters:
-            # the file write re-runs only the last stage: the iteration's shuffle
-            # outputs from the materialising job are reused
-            new = new.checkpoint()
-        else:
-            new = new.persist()
-        done = it + 1 == iters
-        if cfg.pagerank_tol is not None:       # one 1-row aggregate per iteration (also materialises)
-            err, cnt = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
-            done = done or err < cnt * cfg.pagerank_tol
-        elif new.is_cached:                    # persisted (not checkpointed) iteration: materialise now
-            new.count()
-        if prev_cached is not None:
-            prev_cached.unpersist()
-        prev_cached = new if new.is_cached else None
+            F.col("rank").alias("prev")).checkpoint()
         rank = new.drop("prev")
-        if done:
-            if cfg.pagerank_tol is not None and not (it + 1) % every == 0:
-                rank = rank.checkpoint()
-            break
+        step += 1
+        if cfg.pagerank_iterations is None:
+            change, n = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
+            if not n or change < n * cfg.pagerank_tol:
+                break
     return rank.select("node", F.col("rank").alias("network_pagerank"))
 
 
@@ -131,42 +113,79 @@ def cycles(edges: DataFrame, length: int, ranked: DataFrame | None = None) -> Da
     if length not in (3, 4):
         raise ValueError("cycle length must be 2, 3 or 4")
     r = ranked if ranked is not None else _ranked_edges(edges)
-    # v -> u with v above u (the apex leaves towards a lower-ranked centre)
-    down = r.filter(_above(F.col("ds"), F.col("src"), F.col("dd"), F.col("dst"))) \
-        .select(F.col("src").alias("v"), F.col("ds").alias("dv"), F.col("dst").alias("u"))
-    # u -> w, keeping w's rank for the apex test
-    step = r.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col("dd").alias("dw"))
-    p1 = down.join(step, "u").filter(_above(F.col("dv"), F.col("v"), F.col("dw"), F.col("w")))
+    p1 = _down_paths(r)
     if length == 3:
         close = r.select(F.col("src").alias("w"), F.col("dst").alias("v"))
         c = p1.join(close, ["w", "v"])
         return c.select(F.array("v", "u", "w").alias("members"))
+    first, second = _four_cycle_halves(r, p1)
+    c = first.join(second, ["v", "w"]).filter(F.col("u") != F.col("x"))
+    return c.select(F.array("v", "u", "w", "x").alias("members"))
+
+
+def _four_cycle_halves(r: DataFrame, p1: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, u, w) and (w, x, v): the 2-paths from the highest-ranked node v to w and back."""
     # second half w -> x -> v: a wedge centred on x, ranked below v
     up = r.filter(_above(F.col("dd"), F.col("dst"), F.col("ds"), F.col("src"))) \
         .select(F.col("src").alias("x"), F.col("dst").alias("v"), F.col("dd").alias("dv2"))
     into = r.select(F.col("src").alias("w"), F.col("ds").alias("dw2"), F.col("dst").alias("x"))
     p2 = into.join(up, "x").filter(_above(F.col("dv2"), F.col("v"), F.col("dw2"), F.col("w")))
-    c = p1.select("v", "u", "w").join(p2.select("w", "x", "v"), ["v", "w"]).filter(F.col("u") != F.col("x"))
-    return c.select(F.array("v", "u", "w", "x").alias("members"))
+    return p1.select("v", "u", "w"), p2.select("w", "x", "v")
+
+
+def _down_paths(r: DataFrame) -> DataFrame:
+    """v -> u -> w with v ranked above u and w."""
+    down = r.filter(_above(F.col("ds"), F.col("src"), F.col("dd"), F.col("dst"))) \
+        .select(F.col("src").alias("v"), F.col("ds").alias("dv"), F.col("dst").alias("u"))
+    step = r.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col("dd").alias("dw"))
+    return down.join(step, "u").filter(_above(F.col("dv"), F.col("v"), F.col("dw"), F.col("w")))
+
+
+def _four_cycle_counts(r: DataFrame) -> DataFrame:
+    """(node, n): 4-cycles through each node, without listing one.
+
+    With a = the 2-paths v -> u -> w and b = the 2-paths w -> x -> v of a pair (v, w), its cycles number
+    |a| * |b| less those with u = x; a centre u lies in as many as there are x, less one if u is among them.
+    """
+    first, second = _four_cycle_halves(r, _down_paths(r))
+    one = F.count(F.lit(1))
+    a = first.groupBy("v", "w").agg(one.alias("na"))
+    b = second.groupBy("v", "w").agg(one.alias("nb"))
+    both = first.join(second.withColumnRenamed("x", "u"), ["v", "w", "u"])   # centres on both ways
+    same = both.groupBy("v", "w").agg(one.alias("ns"))
+    pair = a.join(b, ["v", "w"]).join(same, ["v", "w"], "left").withColumn(
+        "n", F.col("na") * F.col("nb") - F.coalesce("ns", F.lit(0)))
+    parts = [pair.select(F.col("v").alias("node"), "n"), pair.select(F.col("w").alias("node"), "n"),
+             first.join(b, ["v", "w"]).select(F.col("u").alias("node"), F.col("nb").alias("n")),
+             second.join(a, ["v", "w"]).select(F.col("x").alias("node"), F.col("na").alias("n")),
+             both.select(F.col("u").alias("node"), F.lit(-2).cast("long").alias("n"))]   # once as u, once as x
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("node").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _cycle_counts(r: DataFrame, length: int) -> DataFrame:
+    """(node, n) for one length; 2- and 3-cycles are at most as many as the edges and wedges they come from."""
+    if length == 4:
+        return _four_cycle_counts(r)
+    return cycles(r, length, r).select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cycle_counts(edges: DataFrame, length: int) -> DataFrame:
     """Per node: number of simple cycles of exactly this length through it."""
-    return cycles(edges, length).select(F.explode("members").alias("node")) \
-        .groupBy("node").agg(F.count(F.lit(1)).alias("cycles"))
+    return _cycle_counts(_ranked_edges(edges), length).select("node", F.col("n").alias("cycles"))
 
 
 def circular_flow(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Per node, simple cycles of length 2..max_len through it. The ranked edge
-    table is read about a dozen times, so it is materialised once (it is the size of
-    the edge list, not of the ledger; recomputable on executor loss)."""
-    ranked = _ranked_edges(edges).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = [cycles(edges, k, ranked) for k in range(2, max_len + 1)]
-    allc = parts[0]
-    for p in parts[1:]:
-        allc = allc.unionByName(p)
-    return allc.select(F.explode("members").alias("node")).groupBy("node") \
-        .agg(F.count(F.lit(1)).alias("circular_flow_count"))
+    """Per node, simple cycles of length 2..max_len through it. The ranked edges are read about a dozen times:
+    checkpointed once (the size of the edge list, not of the ledger)."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    ranked = _ranked_edges(edges).checkpoint()
+    total = _cycle_counts(ranked, 2)
+    for k in range(3, max_len + 1):
+        total = total.unionByName(_cycle_counts(ranked, k))
+    return total.groupBy("node").agg(F.sum("n").alias("circular_flow_count"))
 
 
 def graph_features(tx: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:

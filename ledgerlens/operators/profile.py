@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions.exprs import attach_scalars, is_high_risk, money_avg, money_sum
+from ..functions.exprs import attach_scalars, is_high_risk, known_number
 from ..functions.quantiles import exact_quantiles
 
 
@@ -36,9 +36,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, col: str = "amount", decimals: int = 2) -> DataFrame:
     """Count, mean, sample std, min, linear quartiles, max; rounded."""
+    c = known_number(F.col(col))
+    df = df.withColumn(col, c)
     c = F.col(col)
-    mean = money_avg(c, wide=True) if col == "amount" else F.avg(c)
-    out = df.agg(F.count(c).alias("count"), mean.alias("mean"), F.stddev_samp(c).alias("std"),
+    out = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                  F.min(c).alias("min"), F.max(c).alias("max"))
     # exact quartiles without a one-task buffer (functions/quantiles.py)
     qd = exact_quantiles(df, col, [0.25, 0.5, 0.75])
@@ -107,9 +108,9 @@ def box_stats(df: DataFrame, by: str = "transaction_type", col: str = "amount",
 def value_counts(df: DataFrame, col: str, share: bool = False, top: Optional[int] = None) -> DataFrame:
     """Counts per value (nulls dropped), descending; optional share %."""
     c = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    if share:
-        total = df.filter(F.col(col).isNotNull()).select(F.count(F.lit(1))).scalar()
-        c = c.withColumn("share_pct", F.round(F.col("count") * 100.0 / total, 4))
+    if share:   # the total is the sum of the counts: one read of the ledger
+        c = attach_scalars(c, c, "_all", F.sum("count").alias("n"))
+        c = c.withColumn("share_pct", F.round(F.col("count") * 100.0 / F.col("_all.n"), 4)).drop("_all")
     c = c.orderBy(F.col("count").desc(), F.col(col).asc())
     return c.limit(top) if top else c
 
@@ -117,7 +118,7 @@ def value_counts(df: DataFrame, col: str, share: bool = False, top: Optional[int
 def daily_series(df: DataFrame) -> DataFrame:
     """Count and volume per calendar day, zero-filled from first to last day."""
     d = df.filter(F.col("timestamp").isNotNull()).groupBy(F.to_date("timestamp").alias("day")).agg(
-        F.count("amount").alias("count"), F.coalesce(money_sum(F.col("amount")), F.lit(0.0)).alias("total"))
+        F.count(known_number(F.col("amount"))).alias("count"), F.coalesce(F.sum(known_number(F.col("amount"))), F.lit(0.0)).alias("total"))
     bounds = d.select(F.struct(F.min("day").alias("first"), F.max("day").alias("last"))).scalar()
     spark = df.sparkSession
     cal = spark.range(1).select(bounds.alias("_b")).select(
@@ -129,8 +130,8 @@ def daily_series(df: DataFrame) -> DataFrame:
 def top_customers(df: DataFrame, n: int = 10) -> DataFrame:
     """Top n customers by total amount with count and mean."""
     g = df.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        money_sum(F.col("amount")).alias("total_amount"), F.count("amount").alias("txn_count"),
-        money_avg(F.col("amount")).alias("avg_amount"))
+        F.sum(known_number(F.col("amount"))).alias("total_amount"), F.count(known_number(F.col("amount"))).alias("txn_count"),
+        F.avg(known_number(F.col("amount"))).alias("avg_amount"))
     return g.orderBy(F.col("total_amount").desc(), F.col("customer_id").asc()).limit(n)
 
 
@@ -138,8 +139,8 @@ def cash_split(df: DataFrame) -> DataFrame:
     """P10: per is_cash class count, sum, mean, and the cash share of all rows (%, 1 decimal)."""
     share = df.select(F.round(F.avg(F.coalesce(F.col("is_cash"), F.lit(False)).cast("double")) * 100, 1)).scalar()
     g = df.filter(F.col("is_cash").isNotNull()).groupBy("is_cash").agg(
-        F.count("amount").alias("count"), money_sum(F.col("amount"), wide=True).alias("total"),
-        money_avg(F.col("amount"), wide=True).alias("mean"))
+        F.count(known_number(F.col("amount"))).alias("count"), F.sum(known_number(F.col("amount"))).alias("total"),
+        F.avg(known_number(F.col("amount"))).alias("mean"))
     return g.withColumn("cash_pct", share)
 
 

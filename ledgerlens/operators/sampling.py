@@ -1,17 +1,16 @@
 """Stratified sampling.
 
-Row selection is by a seeded 64-bit hash of the row key, so it is deterministic,
-partition-count independent and needs no driver-side sampling. "Take k rows in
-hash order" is a global top-k (TakeOrderedAndProject) -- each task keeps k rows.
-For a target k beyond what one task should hold, use ``fraction_sample`` (a
-hash threshold, no ordering at all).
+Row selection is by a seeded hash of the row key, so it is deterministic, independent of the number of partitions
+and needs no driver-side sampling. "The k rows with the lowest hashes" is exact for any k without a global top-k:
+rows are counted per hash bucket, the buckets below the cut-off one are kept whole and only the cut-off bucket's
+rows (1/65,536 of the table) are ordered.
 """
 
 from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,8 +24,27 @@ def positive_mask(df: DataFrame) -> Optional[Column]:
     return None
 
 
+_BUCKET_SHIFT = 44   # 60 hash bits, 16 of them number the bucket
+
+
 def _hash(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """60 bits of an MD5 of key and seed (the same in any SQL engine)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("bigint")
+
+
+def take_lowest(df: DataFrame, k: Column, key: str, seed: int) -> DataFrame:
+    """The ``k`` rows with the lowest (hash, key); all rows if there are fewer."""
+    rows = df.withColumn("_h", _hash(key, seed)).withColumn("_bucket", F.shiftright("_h", _BUCKET_SHIFT))
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))   # 65,536 rows at most
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("_bucket"))).withColumn("k", k)
+    cut = upto.select(F.struct(F.coalesce(F.min(F.when(F.col("upto") >= F.col("k"), F.col("_bucket"))), F.lit(1 << 60)).alias("bucket"),
+                               F.coalesce(F.max(F.when(F.col("upto") < F.col("k"), F.col("upto"))), F.lit(0)).alias("below"), F.max("k").alias("k")))
+    marked = rows.withColumn("_cut", cut.scalar())
+    whole = marked.filter(F.col("_bucket") < F.col("_cut.bucket"))
+    nth = F.row_number().over(Window.orderBy("_h", key))
+    part = marked.filter(F.col("_bucket") == F.col("_cut.bucket")).withColumn("_nth", nth) \
+        .filter(F.col("_nth") <= F.col("_cut.k") - F.col("_cut.below")).drop("_nth")
+    return whole.unionByName(part).drop("_h", "_bucket", "_cut")
 
 
 def stratified_sample(df: DataFrame, target: int, seed: int = 42, key: str = "transaction_id",
@@ -35,17 +53,13 @@ def stratified_sample(df: DataFrame, target: int, seed: int = 42, key: str = "tr
     too few normals -> all of them; fewer slots than positives -> hash-chosen
     positives only. ``shuffle`` (M4) orders the result by a second hash."""
     mask = positive_mask(df)
-    h = _hash(key, seed)
     if mask is None:
-        out = df.orderBy(h, F.col(key)).limit(target)
+        out = take_lowest(df, F.lit(target), key, seed)
     else:
-        pos = df.filter(mask)
-        normal = df.filter(~mask)
-        n_pos = pos.select(F.count(F.lit(1))).first()[0]
-        if target <= n_pos:
-            out = pos.orderBy(h, F.col(key)).limit(target)
-        else:
-            out = pos.unionByName(normal.orderBy(h, F.col(key)).limit(target - n_pos))
+        pos, normal = df.filter(mask), df.filter(~mask)
+        n_pos = pos.select(F.count(F.lit(1))).scalar()
+        out = take_lowest(pos, F.lit(target), key, seed).unionByName(
+            take_lowest(normal, F.greatest(F.lit(target) - n_pos, F.lit(0)), key, seed))
     if shuffle:
         out = out.orderBy(_hash(key, seed + 1), F.col(key))
     return out
@@ -53,7 +67,7 @@ def stratified_sample(df: DataFrame, target: int, seed: int = 42, key: str = "tr
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int = 42, key: str = "transaction_id") -> DataFrame:
     """Hash-threshold Bernoulli sample: no shuffle, no ordering, any size."""
-    u = (F.abs(_hash(key, seed)) % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    u = _hash(key, seed) / F.lit(float(1 << 60))
     return df.filter(u < fraction)
 
 

@@ -23,33 +23,26 @@ def ml_features(feat: DataFrame) -> list[str]:
     return cols or num[:5]
 
 
-# A standard deviation this small relative to the mean is floating-point noise of a
-# constant column (e.g. a ratio that is the same for everyone); it is treated as 0,
-# i.e. the column divides by 1, so z-scores never become noise / noise.
-NOISE_STD = 1e-12
+def _with_stats(feat: DataFrame, cols: Sequence[str], std_fn, cfg: RiskConfig) -> tuple[DataFrame, list[tuple[Column, Column, Column]]]:
+    """The frame with one struct of all means and deviations, and per column (x, mean, divisor).
 
+    One wide aggregate; nothing is unpivoted or shuffled. A deviation that is rounding noise of a constant column
+    counts as 0, and a zero deviation divides by 1."""
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
+    aggs = [a for i, e in enumerate(x) for a in (F.avg(e).alias(f"m{i}"), std_fn(e).alias(f"s{i}"))]
+    out = attach_scalars(feat, feat, "_stats", *aggs)
+    terms = []
+    for i, e in enumerate(x):
+        m, s = F.col(f"_stats.m{i}"), F.col(f"_stats.s{i}")
+        noise = s <= F.lit(cfg.noise_std) * F.greatest(F.lit(1.0), F.abs(m))
+        terms.append((e, m, F.when(noise, F.lit(1.0)).otherwise(s)))
+    return out, terms
 
-def _long_stats(feat: DataFrame, cols: Sequence[str], std_fn):
-    """Long form (customer_id, feature, x) and per-feature mean / std.
 
-    The stats frame has one row per feature column -- bounded by the schema, not the
-    data -- so joining it back is a broadcast hash join on ``feature``."""
-    x = feat.select("customer_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    long = x.unpivot(["customer_id"], list(cols), "feature", "x")
-    stats = long.groupBy("feature").agg(F.avg("x").alias("m"), std_fn("x").alias("s"))
-    s = F.col("s")
-    stats = stats.withColumn("div", F.when(s <= F.lit(NOISE_STD) * F.greatest(F.lit(1.0), F.abs(F.col("m"))),
-                                           F.lit(1.0)).otherwise(s))
-    return long, F.broadcast(stats)
-
-
-def standardize(feat: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x - mean) / population std; a zero std divides by 1 (scikit-learn).
-    Long form, then pivoted back with the known column list (no extra job)."""
-    long, stats = _long_stats(feat, cols, F.stddev_pop)
-    z = long.join(stats, "feature").select("customer_id", "feature",
-                                           ((F.col("x") - F.col("m")) / F.col("div")).alias("z"))
-    return z.groupBy("customer_id").pivot("feature", list(cols)).agg(F.first("z"))
+def standardize(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfig()) -> DataFrame:
+    """(x - mean) / population std; a zero std divides by 1 (scikit-learn)."""
+    out, terms = _with_stats(feat, cols, F.stddev_pop, cfg)
+    return out.select("customer_id", *[((x - m) / s).alias(c) for c, (x, m, s) in zip(cols, terms)])
 
 
 def minmax_invert(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -74,11 +67,10 @@ def contamination_cut(df: DataFrame, col: str, contamination: float) -> DataFram
 def zscore_columns(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """|x - mean| / sample std (0 std -> 1) per column; row max; capped / cap.
     A single-row population has no sample std: max_z is NULL (scored 0 later)."""
-    long, stats = _long_stats(feat, cols, F.stddev_samp)
-    z = long.join(stats, "feature").select(
-        "customer_id", (F.abs(F.col("x") - F.col("m")) / F.col("div")).alias("z"))
-    mz = z.groupBy("customer_id").agg(F.max(F.when(~F.isnan("z"), F.col("z"))).alias("max_z"))
-    return feat.join(mz, "customer_id", "left") \
+    out, terms = _with_stats(feat, cols, F.stddev_samp, cfg)
+    z = [F.abs(x - m) / s for x, m, s in terms]
+    z = [F.when(~F.isnan(e), e) for e in z] + [F.lit(None).cast("double")]   # greatest skips nulls
+    return out.withColumn("max_z", F.greatest(F.lit(None).cast("double"), *z)).drop("_stats") \
         .withColumn("zscore_score", clip(F.col("max_z"), None, cfg.zscore_cap) / F.lit(cfg.zscore_cap))
 
 
@@ -99,15 +91,15 @@ def rule_terms(df: DataFrame, cfg: RiskConfig) -> dict[str, tuple[Column, Column
         hit = F.col("cash_near_ctr_count") >= cfg.structuring_count
         if _has(df, "structuring_cluster_max"):
             hit = hit | (F.col("structuring_cluster_max") >= cfg.structuring_count)
-        terms["structuring"] = (hit, F.when(hit, clip(F.col("cash_near_ctr_count") / 10, 0.3, 1.0))
+        terms["structuring"] = (hit, F.when(hit, clip(F.col("cash_near_ctr_count") / cfg.structuring_full, cfg.structuring_floor, 1.0))
                                 .otherwise(0.0) * cfg.rule_structuring_w)
     if _has(df, "velocity_ratio_7d"):
         hit = F.col("velocity_ratio_7d") >= cfg.velocity_multiplier
-        terms["velocity_spike"] = (hit, F.when(hit, clip(F.col("velocity_ratio_7d") / 20, 0.3, 1.0))
+        terms["velocity_spike"] = (hit, F.when(hit, clip(F.col("velocity_ratio_7d") / cfg.velocity_full, cfg.velocity_floor, 1.0))
                                    .otherwise(0.0) * cfg.rule_velocity_w)
     if _has(df, "rapid_movement_count"):
         hit = F.col("rapid_movement_count") > 0
-        terms["rapid_movement"] = (hit, F.when(hit, clip(F.col("rapid_movement_count") / 5, 0.4, 1.0))
+        terms["rapid_movement"] = (hit, F.when(hit, clip(F.col("rapid_movement_count") / cfg.rapid_full, cfg.rapid_floor, 1.0))
                                    .otherwise(0.0) * cfg.rule_rapid_w)
     if _has(df, "high_risk_country_pct"):
         hit = F.col("high_risk_country_pct") > cfg.geo_rule_cut
@@ -118,7 +110,7 @@ def rule_terms(df: DataFrame, cfg: RiskConfig) -> dict[str, tuple[Column, Column
         terms["dormancy_activation"] = (hit, F.when(hit, F.lit(cfg.rule_dormancy_add)).otherwise(0.0))
     if _has(df, "circular_flow_count"):
         hit = F.col("circular_flow_count") > 0
-        terms["round_tripping"] = (hit, F.when(hit, clip(F.col("circular_flow_count") / 2, 0.5, 1.0))
+        terms["round_tripping"] = (hit, F.when(hit, clip(F.col("circular_flow_count") / cfg.circular_full, cfg.circular_floor, 1.0))
                                    .otherwise(0.0) * cfg.rule_circular_w)
     return terms
 
@@ -176,11 +168,17 @@ def ensemble(scores: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
 
 
 def detect_anomalies(feat: DataFrame, cfg: RiskConfig = RiskConfig(), method: str = "ensemble",
-                     forest: bool = True) -> DataFrame:
-    """D1-D17 composed: returns customer_id plus the score columns and ``anomaly_score``.
+                     forest: bool = True, ordered: bool = True) -> DataFrame:
+    """D1-D18 composed: returns customer_id plus the score columns and ``anomaly_score``.
 
     ``method`` in {ensemble, isolation_forest, zscore, rules}; ``forest=False``
-    drops the forest from the ensemble (legal: the weights renormalise)."""
+    drops the forest from the ensemble (legal: the weights renormalise). Highest scores first; ``ordered=False``
+    for callers that join the scores on."""
+    out = _scores(feat, cfg, method, forest)
+    return out.orderBy(F.col("anomaly_score").desc(), "customer_id") if ordered else out
+
+
+def _scores(feat: DataFrame, cfg: RiskConfig, method: str, forest: bool) -> DataFrame:
     cols = ml_features(feat)
     out = feat.select("customer_id", *[c for c in feat.columns if c != "customer_id"])
     keep = ["customer_id"]

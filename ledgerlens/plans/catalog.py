@@ -17,14 +17,15 @@ from ..operators import risk as R
 from ..operators import sampling as M
 from ..operators import scoring as D
 from ..sources import bindings as B
+from ..sources import io as S
 from . import compose as Q
 from .registry import register
 from .sql import (FEATURE_NUMERIC, classify_ctes, d, feature_ctes, graph_ctes, level_sql, action_sql,
-                  ml_feature_names, rule_score_sql, rule_terms_sql, standardize_sql, with_, zscore_ctes)
+                  ml_feature_names, rule_score_sql, rule_terms_sql, sentence_sql, standardize_sql, with_, zscore_ctes)
 
 # Static twins of the binding configs for SQL generation (the high-risk set is the `hr` CTE).
-CFG_T = RiskConfig(rapid_min_deposit=5000.0, dormancy_days=2, velocity_multiplier=1.2)
-CFG_L = RiskConfig(velocity_multiplier=1.2)
+CFG_T = RiskConfig(rapid_min_deposit=5000.0, dormancy_days=2, velocity_multiplier=1.2, pagerank_iterations=10)
+CFG_L = RiskConfig(velocity_multiplier=1.2, pagerank_iterations=10)
 
 # ------------------------------------------------------------------ memo
 _MEMO: dict = {}
@@ -73,13 +74,18 @@ def FEAT(s, sf):
     return _m(s, sf, "FEAT", lambda: A.engineer_features(T(s, sf), C(s, sf), cfg_t(s, sf)).persist())
 
 
+def FEAT_OWN(s, sf):
+    """Features of T that need no graph, for the keys that read no graph column."""
+    return _m(s, sf, "FEAT_OWN", lambda: A.engineer_features(T(s, sf), C(s, sf), cfg_t(s, sf), graph=False).persist())
+
+
 def FEAT_L(s, sf):
     return _m(s, sf, "FEAT_L", lambda: A.engineer_features(L(s, sf), C(s, sf), cfg_l(s, sf)).persist())
 
 
 def SCORES(s, sf):
     """Rules mode: anomaly_score = rule_score."""
-    return _m(s, sf, "SCORES", lambda: D.detect_anomalies(FEAT(s, sf), cfg_t(s, sf), method="rules"))
+    return _m(s, sf, "SCORES", lambda: D.detect_anomalies(FEAT(s, sf), cfg_t(s, sf), method="rules", ordered=False))
 
 
 def CLS(s, sf):
@@ -125,6 +131,19 @@ def scan_customers(s, sf):
     return C(s, sf)
 
 
+@register("read_transactions", """SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(user_id AS VARCHAR) AS customer_id,
+  CAST(ts AS TIMESTAMP) AS "timestamp", CAST(value AS DOUBLE) AS amount, event_type AS transaction_type FROM events""")
+def read_transactions(s, sf):
+    df = S.read_transactions(s, f"{sf}/events.parquet", "parquet", {
+        "event_id": "transaction_id", "user_id": "customer_id", "ts": "timestamp", "value": "amount", "event_type": "transaction_type"})
+    return df.select("transaction_id", "customer_id", "timestamp", "amount", "transaction_type")
+
+
+@register("read_customers", """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name FROM customer""")
+def read_customers(s, sf):
+    return S.read_customers(s, f"{sf}/customer.parquet", "parquet", {"c_custkey": "customer_id", "c_name": "name"}).select("customer_id", "name")
+
+
 # ============================================================ F: filters
 IDS = [3, 7, 11, 42, 99, 120]
 
@@ -210,7 +229,7 @@ def profile_nulls(s, sf):
     return P.null_counts(T(s, sf))
 
 
-DESCRIBE_SQL = """SELECT count(amount) AS count, round(CAST(sum(CAST(round(amount * 100) AS DECIMAL(38,0))) AS DOUBLE) / 100::DOUBLE / count(amount), 2) AS mean, round(stddev_samp(amount), 2) AS std,
+DESCRIBE_SQL = """SELECT count(amount) AS count, round(avg(amount), 2) AS mean, round(stddev_samp(amount), 2) AS std,
   round(min(amount), 2) AS min, round(quantile_cont(amount, 0.25), 2) AS p25, round(quantile_cont(amount, 0.5), 2) AS p50,
   round(quantile_cont(amount, 0.75), 2) AS p75, round(max(amount), 2) AS max FROM {src}"""
 
@@ -278,7 +297,7 @@ def channel_share(s, sf):
     return P.value_counts(T(s, sf), "channel", share=True)
 
 
-DAILY_SQL = """d AS (SELECT CAST("timestamp" AS DATE) AS day, count(amount) AS count, coalesce(CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100::DOUBLE, 0)::DOUBLE AS total
+DAILY_SQL = """d AS (SELECT CAST("timestamp" AS DATE) AS day, count(amount) AS count, coalesce(sum(amount), 0)::DOUBLE AS total
   FROM {src} WHERE "timestamp" IS NOT NULL GROUP BY 1)"""
 
 
@@ -289,36 +308,35 @@ FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) F
 LEFT JOIN d ON d.day = CAST(g.day AS DATE)""")
 
 
-@register("daily_volume", _daily("t"))
+@register("daily_volume", _daily("t"), dbl=["total"], digits=4)
 def daily_volume(s, sf):
     return P.daily_series(T(s, sf))
 
 
-@register("daily_volume_l", _daily("l"))
+@register("daily_volume_l", _daily("l"), dbl=["total"], digits=4)
 def daily_volume_l(s, sf):
     return P.daily_series(L(s, sf))
 
 
-TOPC_SQL = """SELECT customer_id, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100::DOUBLE AS total_amount,
-  count(amount) AS txn_count, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100::DOUBLE / count(amount) AS avg_amount
+TOPC_SQL = """SELECT customer_id, sum(amount) AS total_amount,
+  count(amount) AS txn_count, avg(amount) AS avg_amount
 FROM {src} WHERE customer_id IS NOT NULL GROUP BY customer_id ORDER BY total_amount DESC, customer_id LIMIT 10"""
 
 
-@register("top_customers", sql_plain(B.T_SQL, TOPC_SQL.format(src="t")))
+@register("top_customers", sql_plain(B.T_SQL, TOPC_SQL.format(src="t")), dbl=["total_amount", "avg_amount"], digits=4)
 def top_customers(s, sf):
     return P.top_customers(T(s, sf), 10)
 
 
-@register("top_customers_l", sql_plain(B.L_SQL, TOPC_SQL.format(src="l")))
+@register("top_customers_l", sql_plain(B.L_SQL, TOPC_SQL.format(src="l")), dbl=["total_amount", "avg_amount"], digits=4)
 def top_customers_l(s, sf):
     return P.top_customers(L(s, sf), 10)
 
 
 @register("cash_split", sql_plain(B.T_SQL, """SELECT is_cash, count(amount) AS count,
-  CAST(sum(CAST(round(amount * 100) AS DECIMAL(38,0))) AS DOUBLE) / 100::DOUBLE AS total,
-  CAST(sum(CAST(round(amount * 100) AS DECIMAL(38,0))) AS DOUBLE) / 100::DOUBLE / count(amount) AS mean,
+  sum(amount) AS total, avg(amount) AS mean,
   (SELECT round(avg(CASE WHEN coalesce(is_cash, false) THEN 1::DOUBLE ELSE 0::DOUBLE END) * 100, 1) FROM t) AS cash_pct
-FROM t WHERE is_cash IS NOT NULL GROUP BY is_cash"""))
+FROM t WHERE is_cash IS NOT NULL GROUP BY is_cash"""), dbl=["total", "mean"], digits=4)
 def cash_split(s, sf):
     return P.cash_split(T(s, sf))
 
@@ -345,8 +363,7 @@ def truth_profile(s, sf):
     return P.truth_profile(T(s, sf))
 
 
-DESC_FEATS = ["total_transactions", "total_amount", "avg_amount", "cash_near_ctr_count", "velocity_ratio_7d",
-              "mean_gap_hours", "high_risk_country_pct", "unusual_time_pct", "amount_cv", "rapid_movement_count"]
+DESC_FEATS = [c for c in FEATURE_NUMERIC if c != "customer_id"]
 
 
 @register("feature_describe", sql_t("""lng AS (UNPIVOT (SELECT customer_id, """ + ", ".join(
@@ -354,16 +371,18 @@ DESC_FEATS = ["total_transactions", "total_amount", "avg_amount", "cash_near_ctr
     + " INTO NAME feature VALUE value)", """SELECT feature, count(value) AS count, round(avg(value), 4) AS mean,
   round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS p25,
   round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.75), 4) AS p75, round(max(value), 4) AS max
-FROM lng GROUP BY feature""", graph=False, customers=False))
+FROM lng GROUP BY feature"""))
 def feature_describe(s, sf):
     return P.describe_features(FEAT(s, sf), DESC_FEATS)
 
 
 # ============================================================ A: features
-# Only statistics whose last bits depend on evaluation order are rounded; money sums
-# are exact (integer cents) and ratios of counts are the same IEEE operations in both engines.
-# digits per column, scaled to magnitude: std ~1e4 (6), ratios ~1 (9), PageRank ~1e-4 (12)
-FEATURE_DBL = {"std_amount": 6, "median_amount": 6, "amount_cv": 9, "network_pagerank": 12}
+# Only statistics whose last bits depend on evaluation order are rounded; ratios of counts
+# are the same IEEE operations in both engines.
+# digits per column, scaled to magnitude: sums ~1e7 (4), std ~1e4 (6), ratios ~1 (9), PageRank ~1e-4 (12)
+FEATURE_DBL = {"total_amount": 4, "avg_amount": 6, "cash_near_ctr_total": 4, "txn_volume_1d": 4, "txn_volume_7d": 4,
+               "txn_volume_30d": 4, "high_risk_country_volume": 4,
+               "std_amount": 6, "median_amount": 6, "amount_cv": 9, "network_pagerank": 12}
 
 
 def _feat_key(key: str, cols: list[str], graph: bool = False, customers: bool = False, digits: int = 6,
@@ -418,7 +437,7 @@ _feat_key("feat_structuring_cluster_l", ["structuring_cluster_max", "cash_near_c
   count(*) FILTER (WHERE rapid_movement_count > 0) AS rapid_suspects,
   count(*) FILTER (WHERE high_risk_country_pct > 0.3) AS geo_suspects FROM feat""", graph=False, customers=False))
 def feature_alerts(s, sf):
-    return A.feature_alerts(FEAT(s, sf), cfg_t(s, sf))
+    return A.feature_alerts(FEAT_OWN(s, sf), cfg_t(s, sf))
 
 
 # ---------------------------------------------------------------- graph
@@ -498,14 +517,14 @@ def standardize(s, sf):
   - (SELECT min(amount_cv) FROM feat) + CAST(1e-10 AS DOUBLE)) AS minmax_score FROM feat""", graph=False, customers=False),
     dbl=["amount_cv", "minmax_score"])
 def minmax_invert(s, sf):
-    return D.minmax_invert(FEAT(s, sf).select("customer_id", "amount_cv"), "amount_cv", "minmax_score")
+    return D.minmax_invert(FEAT_OWN(s, sf).select("customer_id", "amount_cv"), "amount_cv", "minmax_score")
 
 
 @register("iforest_cut", sql_t("""SELECT quantile_cont(amount_cv, 0.1) AS threshold,
   count(*) FILTER (WHERE amount_cv < (SELECT quantile_cont(amount_cv, 0.1) FROM feat)) AS anomalies,
   CAST(0.1 AS DOUBLE) AS contamination FROM feat""", graph=False, customers=False), dbl=["threshold", "contamination"])
 def iforest_cut(s, sf):
-    return D.contamination_cut(FEAT(s, sf), "amount_cv", 0.1)
+    return D.contamination_cut(FEAT_OWN(s, sf), "amount_cv", 0.1)
 
 
 @register("score_zscore", sql_t(*zscore_ctes(CFG_T, ML), "SELECT customer_id, max_z, zscore_score FROM zs"),
@@ -729,9 +748,22 @@ def flagged_entities(s, sf):
         "customer_name", "customer_country", "account_type")
 
 
-@register("explanation_text")
+def _explanation_sql() -> str:
+    own = X.sentences(CFG_T)
+    lines = ", ".join(f"CASE WHEN {cond} THEN {sentence_sql(own[code])} END" for code, cond in _EVIDENCE_SQL)
+    actions = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.ACTION_TEXT.items())
+    return sql_t(*CLS_SQL, """fl AS (SELECT * FROM cls WHERE risk_level <> 'low' ORDER BY anomaly_score DESC, customer_id LIMIT 20)""",
+                 f"""fy AS (SELECT fl.*, list_filter([{lines}], lambda x: x IS NOT NULL) AS fired FROM fl LEFT JOIN feat f ON f.customer_id = fl.customer_id)""",
+                 f"""fz AS (SELECT *, CASE WHEN len(fired) = 0 AND anomaly_score > {d(CFG_T.risk_low_upper)} THEN [{sentence_sql(own["STATISTICAL_ANOMALY"])}] ELSE fired END AS lines FROM fy)""",
+                 f"""SELECT CAST(customer_id AS VARCHAR) AS entity_id, array_to_string(lines, chr(10)) AS key_evidence,
+  upper(risk_level) || ' risk, score ' || format('{{:,.3f}}', round_even(anomaly_score, 3)) || ': customer ' || CAST(customer_id AS VARCHAR) || ' (' ||
+  coalesce(name, 'Unknown') || ', ' || coalesce(account_type, 'N/A') || ' account, ' || coalesce(country, 'N/A') || ')' || chr(10) ||
+  array_to_string(list_transform(lines, lambda x: '- ' || x || chr(10)), '') || 'Action: ' || CASE escalation_action {actions} ELSE 'decide by hand' END AS explanation FROM fz""")
+
+
+@register("explanation_text", _explanation_sql())
 def explanation_text(s, sf):
-    return FLAGGED(s, sf).select("entity_id", "explanation", "key_evidence")
+    return FLAGGED(s, sf).select("entity_id", "explanation", F.array_join("key_evidence", "\n").alias("key_evidence"))
 
 
 @register("pattern_counts", _flag_sql("SELECT p AS pattern, count(*) AS customers FROM (SELECT unnest(pats) AS p FROM fx) GROUP BY 1"))
@@ -782,15 +814,14 @@ def entity_lookup(s, sf):
                       F.array_join("evidence_codes", ",").alias("evidence_codes"))
 
 
-CMP_COLS = ["total_transactions", "total_amount", "cash_near_ctr_count", "velocity_ratio_7d", "high_risk_country_pct",
-            "rapid_movement_count", "network_pagerank"]
+CMP_COLS = DESC_FEATS
 
 
 @register("entity_compare", sql_t("UNPIVOT (SELECT customer_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CMP_COLS)
                                   + f" FROM feat WHERE customer_id IN (0, 5, 17)) ON {', '.join(CMP_COLS)} INTO NAME feature VALUE value"),
-          dbl=["value"], digits=6)
+          dbl=["value"], digits=4)
 def entity_compare(s, sf):
-    return Q.entity_compare(FEAT(s, sf), [0, 5, 17], CMP_COLS)
+    return Q.entity_compare(FEAT(s, sf), [0, 5, 17])
 
 
 @register("full_analysis", sql_t(*CLS_SQL, """SELECT customer_id, anomaly_score, risk_level, escalation_action, name, account_type,
@@ -809,13 +840,12 @@ for _p, _rule in Q.PATTERN_RULES.items():
   FROM feat f JOIN cls k ON k.customer_id = f.customer_id WHERE {_hit}"""), dbl=["contribution", "anomaly_score"], digits=9)(_pat)
 
 
-@register("pattern_wire_only", sql_plain(B.T_SQL, """SELECT customer_id, count(*) AS wire_count, sum(amount) AS wire_volume,
-  count(DISTINCT counterparty_id) AS counterparties FROM t WHERE transaction_type = 'wire_transfer' AND customer_id IS NOT NULL
-  GROUP BY customer_id"""), dbl=["wire_volume"], digits=2)
+@register("pattern_wire_only", with_(*feature_ctes(
+    "tw", CFG_T, source_ctes=[B.T_SQL, "tw AS (SELECT * FROM t WHERE transaction_type IN ('wire_transfer'))"]), *CLS_SQL)
+    + """\nSELECT k.customer_id, k.anomaly_score, k.risk_level, f.total_transactions, f.total_amount, f.network_out_degree
+FROM cls k JOIN feat f ON f.customer_id = k.customer_id""", dbl=[("anomaly_score", 9), ("total_amount", 4)])
 def pattern_wire_only(s, sf):
-    w = Fl.by_types(T(s, sf), ["wire_transfer"]).filter(F.col("customer_id").isNotNull())
-    return w.groupBy("customer_id").agg(F.count(F.lit(1)).alias("wire_count"), F.sum("amount").alias("wire_volume"),
-                                        F.count_distinct("counterparty_id").alias("counterparties"))
+    return Q.type_search(T(s, sf), C(s, sf), ["wire_transfer"], cfg_t(s, sf))
 
 
 @register("run_totals", sql_t(*CLS_SQL, """SELECT (SELECT count(*) FROM t) AS total_analyzed,
@@ -825,7 +855,13 @@ def run_totals(s, sf):
 
 
 # ============================================================ M, H, V
-@register("stratified_sample")
+SAMPLE_HASH = "('0x' || substr(md5(CAST(transaction_id AS VARCHAR) || ':42'), 1, 15))::BIGINT"
+
+
+@register("stratified_sample", sql_plain(B.T_SQL, f"""ps AS (SELECT *, ground_truth_pattern IS DISTINCT FROM 'none' AS pos FROM t)""",
+    f"""rk AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY {SAMPLE_HASH}, transaction_id) AS nth FROM ps)""",
+    """SELECT * EXCLUDE (pos, nth) FROM rk WHERE nth <= CASE WHEN pos THEN 2000
+  ELSE greatest(2000 - (SELECT count(*) FROM ps WHERE pos), 0) END"""), dbl=["amount"], digits=2)
 def stratified_sample(s, sf):
     return M.stratified_sample(T(s, sf), target=2000, seed=42)
 

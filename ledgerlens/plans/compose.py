@@ -14,6 +14,7 @@ from ..operators.explain import flagged_entities
 from ..operators.features import engineer_features
 from ..operators.filters import apply_filters
 from ..operators.risk import classify_risk
+from ..functions.exprs import numeric_columns
 from ..operators.scoring import detect_anomalies, rule_terms
 
 
@@ -32,7 +33,7 @@ def analyse(tx: DataFrame, customers: Optional[DataFrame], cfg: RiskConfig, meth
         # persisted once (size bounded by the customer count, not the ledger)
         features = engineer_features(tx, customers, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     feat = features
-    scores = detect_anomalies(feat, cfg, method=method, forest=forest)
+    scores = detect_anomalies(feat, cfg, method=method, forest=forest, ordered=False)
     classified = classify_risk(scores, feat, customers, cfg)
     return feat, scores, classified
 
@@ -60,8 +61,9 @@ def entity_lookup(classified: DataFrame, features: DataFrame, customers: Optiona
     return flagged_entities(sel, features, customers, cfg, top_n=None, level="low")
 
 
-def entity_compare(features: DataFrame, ids: Sequence, cols: Sequence[str]) -> DataFrame:
-    """Q4: feature x customer long table for the listed customers."""
+def entity_compare(features: DataFrame, ids: Sequence, cols: Optional[Sequence[str]] = None) -> DataFrame:
+    """Q4: feature x customer long table for the listed customers, every numeric feature by default."""
+    cols = list(cols or numeric_columns(features, exclude=("customer_id",)))
     sel = features.filter(F.col("customer_id").isin(list(ids))) \
         .select("customer_id", *[F.col(c).cast("double").alias(c) for c in cols])
     return sel.unpivot(["customer_id"], list(cols), "feature", "value")
@@ -83,6 +85,15 @@ def pattern_search(features: DataFrame, classified: DataFrame, pattern: str, cfg
         .orderBy(F.col("contribution").desc(), F.col("anomaly_score").desc(), F.col("customer_id"))
 
 
+def type_search(tx: DataFrame, customers: Optional[DataFrame], types: Sequence[str], cfg: RiskConfig) -> DataFrame:
+    """Q6 by transaction type (e.g. wires only): features, rule scores and levels of the customers with such rows,
+    computed from these rows alone; highest scores first."""
+    feat, _, classified = analyse(tx, customers, cfg, spec=FilterSpec(transaction_types=tuple(types)), scope="filtered")
+    out = classified.select("customer_id", "anomaly_score", "risk_level").join(
+        feat.select("customer_id", "total_transactions", "total_amount", "network_out_degree"), "customer_id")
+    return out.orderBy(F.col("anomaly_score").desc(), "customer_id")
+
+
 def run_totals(tx: DataFrame, classified: DataFrame) -> DataFrame:
     """Q7: rows analysed and entities flagged (not low)."""
     flagged = classified.select(F.count_if(F.col("risk_level") != "low")).scalar()

@@ -32,17 +32,22 @@ def _digits(dbl: Sequence, digits: int) -> list[tuple[str, int]]:
     return [(c, digits) if isinstance(c, str) else (c[0], c[1]) for c in dbl]
 
 
+def _off_tie(digits: int) -> float:
+    return 0.137 * 10.0 ** -digits
+
+
 def _round_spark(df: DataFrame, dbl: Sequence, digits: int) -> DataFrame:
     if not dbl:
         return df
-    # "+ 0.0" turns a rounded -0.0 into 0.0, so both engines print and hash the same zero
-    return df.withColumns({c: F.round(F.col(c).cast("double"), d) + F.lit(0.0) for c, d in _digits(dbl, digits)})
+    # Sums in another order differ in the last bits, which turns a decimal tie (a mean of 32 amounts) either way; both
+    # engines first add the same fraction of a unit. "+ 0.0" turns a rounded -0.0 into 0.0.
+    return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(_off_tie(d)), d) + F.lit(0.0) for c, d in _digits(dbl, digits)})
 
 
 def _round_sql(sql: str, dbl: Sequence, digits: int) -> str:
     if not dbl:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}" for c, d in _digits(dbl, digits))
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE) + CAST({_off_tie(d)!r} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}" for c, d in _digits(dbl, digits))
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
 

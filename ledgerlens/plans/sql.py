@@ -13,11 +13,8 @@ from ..sources.bindings import C_SQL, FB_SQL, HR_SQL, L_SQL, T_SQL
 BINDINGS = {"t": T_SQL, "l": L_SQL}
 
 
-def msum(expr: str = "amount", filt: str | None = None, wide: bool = False) -> str:
-    """Exact money sum in cents (mirrors ``functions.exprs.money_sum``)."""
-    f = f" FILTER (WHERE {filt})" if filt else ""
-    t = "DECIMAL(38,0)" if wide else "BIGINT"
-    return f"(CAST(sum(CAST(round({expr} * 100) AS {t})){f} AS DOUBLE) / 100::DOUBLE)"
+def msum(expr: str = "amount", filt: str | None = None) -> str:
+    return f"sum({expr})" + (f" FILTER (WHERE {filt})" if filt else "")
 
 
 def d(x: float) -> str:
@@ -45,10 +42,10 @@ def feature_ctes(src: str, cfg: RiskConfig, graph: bool = True, customers: bool
          coalesce(counterparty_country IN (SELECT country FROM hr), false) AS hrisk,
          counterparty_country
   FROM {src} WHERE customer_id IS NOT NULL)""",
-        """gl AS (SELECT max(ts) AS now, min(ts) AS first FROM x)""",
+        f"""gl AS (SELECT max("timestamp") AS now, min("timestamp") AS first FROM {src})""",
         f"""agg AS (
   SELECT customer_id,
-    count(transaction_id) AS total_transactions, {msum()} AS total_amount, {msum()} / count(amount) AS avg_amount,
+    count(transaction_id) AS total_transactions, {msum()} AS total_amount, avg(amount) AS avg_amount,
     coalesce(stddev_samp(amount), 0)::DOUBLE AS std_amount, max(amount) AS max_amount, min(amount) AS min_amount,
     median(amount) AS median_amount,
     count(*) FILTER (WHERE near) AS cash_near_ctr_count,
@@ -65,7 +62,7 @@ def feature_ctes(src: str, cfg: RiskConfig, graph: bool = True, customers: bool
     count(*) FILTER (WHERE hrisk) AS high_risk_country_txns,
     coalesce({msum(filt='hrisk')}, 0)::DOUBLE AS high_risk_country_volume,
     count(DISTINCT counterparty_country) AS unique_countries,
-    avg(CASE WHEN ts IS NULL THEN NULL WHEN hour(ts) < 6 OR hour(ts) > 22 OR isodow(ts) >= 6
+    avg(CASE WHEN hour(ts) < 6 OR hour(ts) > 22 OR isodow(ts) >= 6
              THEN 1::DOUBLE ELSE 0::DOUBLE END) AS unusual_time_pct
   FROM x GROUP BY customer_id)""",
         """gaps AS (
@@ -215,16 +212,16 @@ def rule_terms_sql(cfg: RiskConfig) -> list[tuple[str, str, str]]:
     c_hit = "(circular_flow_count > 0)"
     return [
         ("structuring", s_hit,
-         f"(CASE WHEN {s_hit} THEN {clip('cash_near_ctr_count / 10', 0.3, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_structuring_w)}"),
+         f"(CASE WHEN {s_hit} THEN {clip(f'cash_near_ctr_count / {d(cfg.structuring_full)}', cfg.structuring_floor, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_structuring_w)}"),
         ("velocity_spike", v_hit,
-         f"(CASE WHEN {v_hit} THEN {clip('velocity_ratio_7d / 20', 0.3, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_velocity_w)}"),
+         f"(CASE WHEN {v_hit} THEN {clip(f'velocity_ratio_7d / {d(cfg.velocity_full)}', cfg.velocity_floor, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_velocity_w)}"),
         ("rapid_movement", r_hit,
-         f"(CASE WHEN {r_hit} THEN {clip('rapid_movement_count / 5', 0.4, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_rapid_w)}"),
+         f"(CASE WHEN {r_hit} THEN {clip(f'rapid_movement_count / {d(cfg.rapid_full)}', cfg.rapid_floor, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_rapid_w)}"),
         ("geographic_risk", g_hit,
          f"(CASE WHEN {g_hit} THEN least(high_risk_country_pct, {d(1.0)}) ELSE 0::DOUBLE END) * {d(cfg.rule_geo_w)}"),
         ("dormancy_activation", dm_hit, f"(CASE WHEN {dm_hit} THEN {d(cfg.rule_dormancy_add)} ELSE 0::DOUBLE END)"),
         ("round_tripping", c_hit,
-         f"(CASE WHEN {c_hit} THEN {clip('circular_flow_count / 2', 0.5, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_circular_w)}"),
+         f"(CASE WHEN {c_hit} THEN {clip(f'circular_flow_count / {d(cfg.circular_full)}', cfg.circular_floor, 1.0)} ELSE 0::DOUBLE END) * {d(cfg.rule_circular_w)}"),
     ]
 
 
@@ -237,6 +234,25 @@ def rule_score_sql(cfg: RiskConfig) -> str:
     return f"least(greatest({s}, 0::DOUBLE), 1::DOUBLE)"
 
 
+_SQL_DECIMALS = {"money": 0, "ratio": 1, "rank": 4, "score": 3}
+
+
+def sentence_sql(segments, prefix: str = "f.") -> str:
+    """A sentence of ``explain.sentences`` as a SQL expression."""
+    def one(seg):
+        if isinstance(seg, str):
+            return "'" + seg.replace("'", "''") + "'"
+        kind, value = seg
+        x = f"CAST(coalesce({prefix if value != 'anomaly_score' else ''}{value}, 0) AS DOUBLE)" if isinstance(value, str) else d(value)
+        if kind == "count":
+            return f"CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+        if kind == "percent":
+            return f"CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR)"
+        n = _SQL_DECIMALS[kind]
+        return f"format('{{:,.{n}f}}', round_even({x}, {n}))"
+    return " || ".join(one(s) for s in segments)
+
+
 def _div(i: int) -> str:
     return (f"(CASE WHEN st.s_{i} <= CAST(1e-12 AS DOUBLE) * greatest(1::DOUBLE, abs(st.m_{i})) "
             f"THEN 1::DOUBLE ELSE st.s_{i} END)")
@@ -288,5 +304,5 @@ def classify_ctes(cfg: RiskConfig, scores: str = "sc") -> list[str]:
 
 
 __all__ = ["with_", "feature_ctes", "graph_ctes", "zscore_ctes", "rule_score_sql", "rule_terms_sql",
-           "classify_ctes", "level_sql", "action_sql", "d", "FB_SQL", "C_SQL", "HR_SQL", "T_SQL", "L_SQL",
+           "classify_ctes", "sentence_sql", "level_sql", "action_sql", "d", "FB_SQL", "C_SQL", "HR_SQL", "T_SQL", "L_SQL",
            "FEATURE_NUMERIC", "ml_feature_names"]

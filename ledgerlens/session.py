@@ -22,6 +22,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.aggregatePushdown": "true",   # global MIN/MAX/COUNT from footers
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",   # a checkpoint goes when nothing refers to it
         "spark.driver.memory": os.environ.get("LEDGERLENS_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions:

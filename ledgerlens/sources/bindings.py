@@ -121,12 +121,12 @@ def high_risk_nations(spark: SparkSession, sf_dir: str, region: str = HIGH_RISK_
 
 
 def config_t(spark: SparkSession, sf_dir: str) -> RiskConfig:
-    return RiskConfig(rapid_min_deposit=5000.0, dormancy_days=2, velocity_multiplier=1.2,
+    return RiskConfig(rapid_min_deposit=5000.0, dormancy_days=2, velocity_multiplier=1.2, pagerank_iterations=10,
                       high_risk_countries=high_risk_nations(spark, sf_dir))
 
 
 def config_l(spark: SparkSession, sf_dir: str) -> RiskConfig:
-    return RiskConfig(velocity_multiplier=1.2, high_risk_countries=high_risk_nations(spark, sf_dir))
+    return RiskConfig(velocity_multiplier=1.2, pagerank_iterations=10, high_risk_countries=high_risk_nations(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- DuckDB twins

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import known_number
+
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("customer_id", T.StringType()),
@@ -43,26 +45,31 @@ FEEDBACK_SCHEMA = T.StructType([
 ])
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet as stored; CSV by header name: every known column is ``try_cast`` to its
-    declared type (a bad value becomes NULL, never a failed job), unknown columns
-    stay strings, absent optional columns stay absent."""
-    if path.endswith(".parquet") or ".parquet" in path:
-        return spark.read.parquet(path)
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str, columns: dict[str, str] | None) -> DataFrame:
+    """CSV by header name, or Parquet. ``columns`` renames source columns first. Either way every known column is
+    ``try_cast`` to its declared type (a bad value becomes NULL, never a failed job) and NaN becomes NULL; unknown
+    columns stay as they are, absent optional columns stay absent."""
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"format {fmt!r}: csv or parquet")
+    raw = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = raw.withColumnsRenamed(columns or {})
     types = {f.name: f.dataType for f in schema.fields}
-    return raw.select(*[F.expr(f"try_cast(`{c}` AS {types[c].simpleString()})").alias(c) if c in types
-                        else F.col(c) for c in raw.columns])
+
+    def known(c: str):
+        x = F.col(f"`{c}`").try_cast(types[c])
+        return known_number(x) if isinstance(types[c], T.DoubleType) else x
+
+    return raw.select(*[known(c).alias(c) if c in types else F.col(f"`{c}`") for c in raw.columns])
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", columns: dict[str, str] | None = None) -> DataFrame:
     """CSV or Parquet; bad timestamps become NULL."""
-    return _read(spark, path, TRANSACTION_SCHEMA)
+    return _read(spark, path, TRANSACTION_SCHEMA, fmt, columns)
 
 
-def read_customers(spark: SparkSession, path: str) -> DataFrame:
+def read_customers(spark: SparkSession, path: str, fmt: str = "csv", columns: dict[str, str] | None = None) -> DataFrame:
     """Customers; account_open_date coerced to DATE, bad -> NULL."""
-    return _read(spark, path, CUSTOMER_SCHEMA)
+    return _read(spark, path, CUSTOMER_SCHEMA, fmt, columns)
 
 
 def write_sample(df: DataFrame, path: str, fmt: str = "parquet") -> None:
