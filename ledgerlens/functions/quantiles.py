@@ -11,20 +11,21 @@ buffer -- for a ledger-wide quantile that is the whole column in one task. Here:
    error is at most eps * n (eps = 1 / accuracy) and its rank discretisation at
    most q / n below and (1 - q) / n above, so a probe p_lo is valid when
    p_lo <= q - q / n - 2 eps (symmetrically above); min / max always are;
-3. one pass counts the rows below each bracket; only rows inside a bracket
-   (about 6 n / accuracy per quantile for large n, at most 20 % of a small group)
-   are grouped by value, and a running count finds the exact order statistics;
+3. one more pass counts values: rows below a bracket as one value (null), rows inside it
+   (about 6 n / accuracy per quantile for large n, at most 20 % of a small group) by
+   value; a running count from the null on finds the exact order statistics;
 4. linear interpolation lo + (h - k) (hi - lo) (numpy/pandas "linear").
 
-All steps are aggregations and equi-joins on the group keys; a global quantile
-reads its one-row bracket frame as a scalar subquery referenced once (no join).
+Two reads of the data. Further aggregates (``extra``) ride along in the first. A global
+quantile reads its one-row bracket frame as a scalar subquery referenced once (no join).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,18 +34,20 @@ WIDE_MARGINS = (0.01, 0.1)
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    accuracy: int = DEFAULT_ACCURACY, extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Per group (``by``; empty = one global row): columns ``q_0 .. q_{m-1}``
-    (exact, linearly interpolated) and ``n`` (non-null count)."""
+    (exact, linearly interpolated), ``n`` (count without nulls and NaN) and the ``extra``
+    aggregates of the values by name. No row without values."""
     keys = list(by)
     eps = 1.0 / accuracy
-    vals = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    vals = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    more = list(extra or {})
     margins = (3 * eps,) + WIDE_MARGINS
     probes: list[float] = []
     for q in qs:
         probes += [min(max(q - m, 0.0), 1.0) for m in margins] + [min(max(q + m, 0.0), 1.0) for m in margins]
     aggs = [F.count(F.lit(1)).alias("n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"),
-            F.percentile_approx("_x", probes, accuracy).alias("_pa")]
+            F.percentile_approx("_x", probes, accuracy).alias("_pa"), *[f(F.col("_x")).alias(c) for c, f in (extra or {}).items()]]
     st = vals.groupBy(*keys).agg(*aggs) if keys else vals.agg(*aggs)
     n = F.col("n").cast("double")
     br = []
@@ -61,35 +64,24 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
                 hi = F.when(F.lit(p_hi) >= F.lit(q) + F.lit(1.0 - q) / n + F.lit(2 * eps),
                             F.col("_pa")[i * per_q + len(margins) + j]).otherwise(hi)
         br += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    st = st.select(*keys, "n", *br)
+    st = st.select(*keys, "n", *more, *br)
+    ends = [c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")]
     if keys:
         j = vals.join(st, keys, "inner")   # group-level frame: AQE broadcasts it when small
     else:                                 # one row: a scalar subquery referenced once, no join
-        j = vals.withColumn("_st", st.select(F.struct("n", *[c for i in range(len(qs))
-                                                            for c in (f"_lo{i}", f"_hi{i}")])).scalar())
-        j = j.select("_x", *[F.col(f"_st.{c}").alias(c) for c in
-                             ["n"] + [c for i in range(len(qs)) for c in (f"_lo{i}", f"_hi{i}")]])
-    below_aggs = [F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(qs))]
-    below_aggs.append(F.max("n").alias("n"))
-    below = j.groupBy(*keys).agg(*below_aggs) if keys else j.agg(*below_aggs)
-    inside = j.select(*keys, "_x", F.explode(F.array_compact(F.array(*[
-        F.when((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")), F.lit(i))
-        for i in range(len(qs))]))).alias("_qi"))
-    vc = inside.groupBy(*keys, "_qi", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    meta_long = below.select(*keys, "n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_qi"), F.col(f"_below{i}").alias("_below"),
-                 ((F.col("n") - 1) * F.lit(float(q))).alias("_h"))
-        for i, q in enumerate(qs)])).alias("_m")).select(*keys, "n", "_m.*")
-    # equi-join on (keys, quantile index); meta has one row per group and quantile
-    vc = vc.join(meta_long, keys + ["_qi"], "inner")
-    w = Window.partitionBy(*keys, "_qi").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vc = vc.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
-    k1, k2 = F.floor(F.col("_h")), F.ceil(F.col("_h"))
-    res = vc.groupBy(*keys, "_qi", "_h", "n").agg(
-        F.min(F.when(F.col("_cum") > k1, F.col("_x"))).alias("_v1"),
-        F.min(F.when(F.col("_cum") > k2, F.col("_x"))).alias("_v2"))
-    res = res.select(*keys, "n", "_qi",
-                     (F.col("_v1") + (F.col("_h") - F.floor(F.col("_h"))) * (F.col("_v2") - F.col("_v1"))).alias("_q"))
-    grp = res.groupBy(*keys, "n")
-    wide = grp.pivot("_qi", list(range(len(qs)))).agg(F.first("_q"))
-    return wide.select(*keys, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(qs))], "n")
+        j = vals.withColumn("_st", st.select(F.struct("n", *more, *ends)).scalar())
+        j = j.select("_x", *[F.col(f"_st.{c}").alias(c) for c in ["n", *more, *ends]])
+    value = lambda i: F.when(F.col("_x") <= F.col(f"_hi{i}"), F.struct(
+        F.lit(i).alias("_qi"), F.when(F.col("_x") >= F.col(f"_lo{i}"), F.col("_x")).alias("_v")))
+    marked = j.select(*keys, "n", *more, F.explode(F.array_compact(F.array(*[value(i) for i in range(len(qs))]))).alias("_m"))
+    ride = [F.any_value(c).alias(c) for c in ["n", *more]]
+    vc = marked.groupBy(*keys, F.col("_m._qi").alias("_qi"), F.col("_m._v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"), *ride)
+    w = Window.partitionBy(*keys, "_qi").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = (F.col("n") - 1) * F.get(F.array(*[F.lit(float(q)) for q in qs]), F.col("_qi"))
+    vc = vc.withColumn("_cum", F.sum("_c").over(w)).withColumn("_h", h)
+    res = vc.groupBy(*keys, "_qi").agg(
+        F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("_v"))).alias("_v1"),
+        F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("_v"))).alias("_v2"), F.any_value("_h").alias("_h"), *ride)
+    res = res.withColumn("_q", F.col("_v1") + (F.col("_h") - F.floor("_h")) * (F.col("_v2") - F.col("_v1")))
+    return res.groupBy(*keys).agg(*[F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(f"q_{i}") for i in range(len(qs))], *ride) \
+        .filter(F.col("n").isNotNull())

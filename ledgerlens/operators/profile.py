@@ -36,19 +36,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, col: str = "amount", decimals: int = 2) -> DataFrame:
     """Count, mean, sample std, min, linear quartiles, max; rounded."""
-    c = known_number(F.col(col))
-    df = df.withColumn(col, c)
-    c = F.col(col)
-    out = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                 F.min(c).alias("min"), F.max(c).alias("max"))
-    # exact quartiles without a one-task buffer (functions/quantiles.py)
-    qd = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    out = out.withColumn("_q", qd.select(F.struct("q_0", "q_1", "q_2")).scalar())
-    r = lambda e: F.round(e.cast("double"), decimals)
-    return out.select(F.col("count"), r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                      r(F.col("min")).alias("min"), r(F.col("_q.q_0")).alias("p25"),
-                      r(F.col("_q.q_1")).alias("p50"), r(F.col("_q.q_2")).alias("p75"),
-                      r(F.col("max")).alias("max"))
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], extra={"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+    names = {"mean": "mean", "std": "std", "min": "min", "p25": "q_0", "p50": "q_1", "p75": "q_2", "max": "max"}
+    one = df.sparkSession.range(1).withColumn("_q", q.select(F.struct("n", *names.values())).scalar())   # a row even without values
+    return one.select(F.coalesce("_q.n", F.lit(0)).alias("count"), *[F.round(F.col(f"_q.{c}"), decimals).alias(k) for k, c in names.items()])
 
 
 def clip_bound(df: DataFrame, col: str = "amount", q: float = 0.99, cap: float = 50000.0):
@@ -56,23 +47,24 @@ def clip_bound(df: DataFrame, col: str = "amount", q: float = 0.99, cap: float =
     return exact_quantiles(df, col, [q]).select(F.least(F.col("q_0"), F.lit(cap))).scalar()
 
 
-def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None, clip_upper=None) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None, clip: Optional[tuple[float, float]] = None) -> DataFrame:
     """Equal-width histogram, numpy style (last bin closed), all bins
-    present (zero-filled). ``lo``/``hi`` default to the data's own min/max."""
-    x = F.col(col).cast("double")
-    if clip_upper is not None:
-        x = F.least(x, clip_upper)
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    present (zero-filled). ``lo``/``hi`` default to the data's own min/max; ``clip`` =
+    (quantile, cap) first clips values at the lower of the two. One frame of bounds."""
     spark = df.sparkSession
-    allb = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    if lo is None or hi is None:
-        aggs = [F.min("x").alias("lo") if lo is None else F.lit(float(lo)).alias("lo"),
-                F.max("x").alias("hi") if hi is None else F.lit(float(hi)).alias("hi")]
-        vals = attach_scalars(vals, vals, "_b", *aggs)
-        allb = attach_scalars(allb, vals, "_b", *aggs)
-        lo_c, hi_c = F.col("_b.lo"), F.col("_b.hi")
+    x = known_number(F.col(col).cast("double"))
+    if clip is not None:
+        bounds = exact_quantiles(df, col, [clip[0]], extra={"mn": F.min, "mx": F.max}).withColumn("clip", F.least("q_0", F.lit(clip[1])))
+        bounds = bounds.select(F.least("mn", "clip").alias("lo"), F.least("mx", "clip").alias("hi"), "clip")
     else:
-        lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
+        bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")) if lo is None or hi is None else spark.range(1)
+        bounds = bounds.select("lo" if lo is None else F.lit(float(lo)).alias("lo"), "hi" if hi is None else F.lit(float(hi)).alias("hi"),
+                               F.lit(None).cast("double").alias("clip"))
+    scalar = bounds.select(F.struct("lo", "hi", "clip")).scalar()
+    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull()).withColumn("_b", scalar)
+    vals = vals.withColumn("x", F.least(F.col("x"), F.col("_b.clip")))
+    allb = spark.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("_b", scalar)
+    lo_c, hi_c = F.col("_b.lo"), F.col("_b.hi")
     width = hi_c - lo_c
     inrange = vals.filter((F.col("x") >= lo_c) & (F.col("x") <= hi_c))
     b = F.when(width == 0, F.lit(0)).otherwise(

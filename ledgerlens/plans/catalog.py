@@ -261,8 +261,7 @@ CLIP_T = "(SELECT least(quantile_cont(amount, 0.99), 50000::DOUBLE) FROM t)"
     f"v AS (SELECT least(CAST(amount AS DOUBLE), {CLIP_T}) AS x FROM t WHERE amount IS NOT NULL)", 50),
     dbl=["bin_lo", "bin_hi"])
 def hist_amount(s, sf):
-    t = T(s, sf)
-    return P.histogram(t, "amount", 50, clip_upper=P.clip_bound(t))
+    return P.histogram(T(s, sf), "amount", 50, clip=(0.99, 50000.0))
 
 
 @register("hist_near_ctr", "WITH " + B.T_SQL.strip() + ",\n" + _hist_sql(
