@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import KYC_STATUS_CODES, RISK_CATEGORY_CODES, RiskConfig
+from .filters import by_customers
 from ..functions.exprs import attach_scalars, encode, hours_between, is_high_risk, known_number, whole_days
 
 MICROS_PER_DAY = 86400 * 1_000_000
@@ -255,10 +256,13 @@ GRAPH = ["network_pagerank", "network_in_degree", "network_out_degree", "circula
 
 def engineer_features(tx: DataFrame, customers: DataFrame | None = None, cfg: RiskConfig = RiskConfig(),
                       feature_set: str = "all", pattern_focus: str | None = None,
-                      graph: bool = True) -> DataFrame:
-    """One row per customer, numeric NULLs filled with 0 (text columns kept)."""
+                      graph: bool = True, customer_ids=None) -> DataFrame:
+    """One row per customer, numeric NULLs filled with 0 (text columns kept).
+
+    ``customer_ids`` (list or frame) restricts the ledger to these customers first."""
     from .graph import graph_features  # local import: graph depends on this module
 
+    tx = by_customers(tx, customer_ids)
     fams = set(FAMILIES) if feature_set == "all" else {feature_set} & set(FAMILIES)
     if pattern_focus in FOCUS_FAMILY:
         fams.add(FOCUS_FAMILY[pattern_focus])

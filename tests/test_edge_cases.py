@@ -242,6 +242,12 @@ def test_now_comes_from_all_rows_and_missing_times_are_usual(spark):
     assert f["A"]["txn_count_30d"] == 0 and f["B"]["unusual_time_pct"] == 0.5
 
 
+def test_features_of_listed_customers(spark):
+    df = ledger(spark, [("A", T0, 1.0, "deposit"), ("B", T0, 2.0, "deposit"), ("B", T0, 3.0, "deposit")])
+    f = A.engineer_features(df, None, RiskConfig(), graph=False, customer_ids=["B"]).collect()
+    assert [(r["customer_id"], r["total_transactions"]) for r in f] == [("B", 2)]
+
+
 def test_date_only_ends_by_content(spark):
     from ledgerlens.operators import filters as Fl
     rows = [("A", dt.datetime(2024, 1, 5, 18), 1.0, "deposit"), ("A", dt.datetime(2024, 1, 6, 0), 1.0, "deposit")]
