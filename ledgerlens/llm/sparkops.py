@@ -42,15 +42,12 @@ def thinned(df: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     A fixed-size bitmap of key hashes is broadcast (``BITMAP_BITS``); an exact join must follow. It only keeps
     long texts that nobody asked for out of the join's shuffle.
     """
-    bit = lambda: F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
-    pages = (keys.select(bit().alias("_b"))
-             .groupBy(F.floor(F.col("_b") / _PAGE_BITS).cast("int").alias("_page"))
-             .agg(F.bitmap_construct_agg(F.pmod(F.col("_b"), F.lit(_PAGE_BITS))).alias("_bits")))
-    probe = (df.withColumn("_page", F.floor(bit() / _PAGE_BITS).cast("int"))
-             .join(F.broadcast(pages), "_page"))
-    at = F.pmod(bit(), F.lit(_PAGE_BITS))
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(floor(pmod(pmod(xxhash64(`{key}`), {BITMAP_BITS}), {_PAGE_BITS}) / 8) as int) + 1, 1)")), 16, 10).cast("int")
-    return probe.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod({'pmod(xxhash64(`' + key + '`), ' + str(BITMAP_BITS) + ')'}, 8) as int))")) != 0).drop("_page", "_bits")
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
+    spot = {"_page": F.shiftright(place, 15), "_bit": place.bitwiseAND(F.lit(_PAGE_BITS - 1))}
+    pages = keys.select(*[c.alias(n) for n, c in spot.items()]).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright("_bit", 3) + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) != 0
+    return df.withColumns(spot).join(F.broadcast(pages), "_page").where(is_set).drop("_page", "_bit", "_bits")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
