@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text gets one space in front; its *units* are runs of spaces with the word after them, single line feeds, and
-runs of spaces before one; no piece of the table may cross a unit (checked), so units are encoded one by one, each
-distinct unit once:
+A text gets one space in front; its *units* are runs of spaces with the word after them, cut between letters and
+ASCII signs or digits, single line feeds, and runs of spaces before one; no piece of the table may cross a unit
+(checked), so units are encoded one by one, each distinct unit once:
 
 1. the distinct units of all documents;
 2. explode the substrings of up to the longest piece's length, and equi-join them to the piece table
@@ -42,8 +42,10 @@ MARK = "▁"
 LONGEST = 256
 #: units in a broadcast dictionary (some 20 bytes each)
 BROADCAST_UNITS = 1 << 23
-_UNIT = r" *[^ \n]+| +|\n"
-SLICE = 1 << 22
+#: letters (ASCII and Latin up to U+024F) and ASCII signs and digits: a unit is cut where one follows the other
+_LETTER, _SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
+_UNIT = rf" *[^ \n](?:(?<![{_LETTER}])[{_SIGN}]|(?<![{_SIGN}])[{_LETTER}]|[^ \n{_LETTER}{_SIGN}])*| +|\n"
+SLICE = 1 << 21
 
 
 class Pieces:
@@ -84,13 +86,23 @@ class Pieces:
         return b"".join(self.bytes[ids].tolist())
 
 
-def units(text: Column) -> Column:
-    """The units of a text, in order."""
-    whole = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(f"({_UNIT})"), F.lit(1))
+def coarse_units(text: Column) -> Column:
+    """Runs of spaces with what follows up to the next space, line feeds, runs of spaces before one, in order."""
+    parts = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(r"( *[^ \n]+| +|\n)"), F.lit(1))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, parts).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def fine_units(coarse: Column) -> Column:
+    """The units of one coarse unit."""
+    whole = F.regexp_extract_all(coarse, F.lit(f"({_UNIT})"), F.lit(1))
     cut = lambda u: F.when(F.length(u) <= LONGEST, F.array(u)).otherwise(F.transform(
         F.sequence(F.lit(0), F.floor((F.length(u) - 1) / LONGEST).cast("int")), lambda i: F.substring(u, i * F.lit(LONGEST) + F.lit(1), F.lit(LONGEST))))
-    parts = F.when(F.exists(whole, lambda u: F.length(u) > LONGEST), F.flatten(F.transform(whole, cut))).otherwise(whole)
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, parts).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.flatten(F.transform(whole, cut))
+
+
+def units(text: Column) -> Column:
+    """The units of a text, in order."""
+    return F.flatten(F.transform(coarse_units(text), fine_units))
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -107,13 +119,22 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 def best_path(unit: Column, edges: Column, pieces: Pieces) -> Column:
     """Ids of the best segmentation: a fold over positions, then the walk back."""
     node = lambda score, s, i: F.struct(score.alias("score"), s.alias("s"), i.alias("id"))
-
-    def forward(best: Column, e: Column) -> Column:
-        into = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: node(F.get(best, x["s"])["score"] + x["score"], x["s"], x["id"]))
-        byte = node(F.get(best, e - 1)["score"] + F.lit(pieces.byte_cost), e - 1, F.lit(-1))
-        return F.concat(best, F.array(F.array_max(F.concat(into, F.array(byte)))))
-
-    best = F.aggregate(F.sequence(F.lit(1), F.length(unit)), F.array(node(F.lit(0.0), F.lit(0), F.lit(-1))), forward)
+    spell = F.transform(F.sequence(F.lit(1), F.length(unit)), lambda e: F.struct(
+        e.alias("e"), (e - F.lit(1)).alias("s"), F.lit(pieces.byte_cost).alias("score"), F.lit(-1).alias("id")))
+    by_end = F.sort_array(F.concat(F.filter(edges, lambda x: x["e"] > 0), spell))   # every position has its byte edge
+    none = node(F.lit(float("-inf")), F.lit(0), F.lit(-1))
+
+    def forward(state: Column, x: Column) -> Column:
+        """``done`` holds the best node of every position before ``e``, ``now`` the best so far at ``e``."""
+        new = x["e"] > state["e"]
+        done = F.when(new, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"])
+        return F.get(F.transform(F.array(done), lambda d: F.struct(
+            x["e"].alias("e"), d.alias("done"),
+            F.greatest(F.when(new, none).otherwise(state["now"]), node(F.get(d, x["s"])["score"] + x["score"], x["s"], x["id"])).alias("now"))), F.lit(0))
+
+    empty = F.expr("cast(array() as array<struct<score:double,s:int,id:int>>)")
+    best = F.aggregate(by_end, F.struct(F.lit(0).alias("e"), empty.alias("done"), node(F.lit(0.0), F.lit(0), F.lit(-1)).alias("now")), forward,
+                       lambda state: F.concat(state["done"], F.array(state["now"])))
     to_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
     hexes = lambda s: F.hex(F.encode(unit.substr(s + F.lit(1), F.lit(1)), "UTF-8"))
     spelled = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.length(hexes(s)) / 2).cast("int") - F.lit(1)), lambda k: F.get(
@@ -138,15 +159,26 @@ def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) of all units of ``docs`` (column text)."""
-    return encode_units(docs.select(F.explode(F.array_distinct(units(F.col("text")))).alias("unit")).distinct(), pieces)
+    """(unit, ids) of all units of ``docs`` (column text); the finer cut is only made once per coarse unit."""
+    coarse = docs.select(F.explode(F.array_distinct(coarse_units(F.col("text")))).alias("coarse")).distinct()
+    return encode_units(coarse.select(F.explode(fine_units(F.col("coarse"))).alias("unit")).distinct(), pieces)
+
+
+_CLASS = np.zeros(256, np.uint8)   # 1 letter, 2 sign or digit, by byte
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[*range(33, 65), *range(91, 97), *range(123, 127)]] = 2
 
 
 def _unit_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the units of texts that begin with their space; the same cuts as ``units``."""
     feed, space = data == 10, data == 32
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))   # two-byte letters, but for the two signs among them
+    tail = data[lead + 1]
+    lead = lead[~((data[lead] == 0xC3) & ((tail == 0x97) | (tail == 0xB7))) & ~((data[lead] == 0xC9) & (tail > 0x8F))]
+    kind[lead] = kind[lead + 1] = 1
     start = feed.copy()
-    start[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+    start[1:] |= feed[:-1] | (space[1:] & ~space[:-1]) | (kind[1:] * kind[:-1] == 2)
     start[offs[:-1][offs[:-1] < len(data)]] = True
     at = np.flatnonzero(start)
     end = np.r_[at[1:], len(data)][: len(at)]
@@ -161,8 +193,9 @@ def _unit_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, end
 
 
-def _dictionary(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit hashes ascending, where their ids begin, ids: packed by tasks, put together on the driver."""
+def _dictionary(words: DataFrame, n_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit hashes ascending, where their ids begin, ids: packed by tasks, fetched partition by partition."""
+    small = np.uint16 if n_pieces <= 1 << 16 else np.int32
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,15 +204,18 @@ def _dictionary(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 h = word_hashes(data, offs[:-1], offs[1:], lower=False)
                 part = ids.slice(i, j - i)
                 n = pc.list_value_length(part).to_numpy().astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, part.flatten().to_numpy().astype(np.int32))], names=["h", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, part.flatten().to_numpy().astype(small))], names=["h", "n", "ids"])
 
-    parts = words.select("unit", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
-    h, n, ids = (np.frombuffer(b"".join(parts.column(c).to_pylist()), t) for c, t in (("h", U), ("n", np.uint16), ("ids", np.int32)))
+    parts = [tuple(r) for r in words.select("unit", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toLocalIterator()]
+    h, n, ids = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in enumerate((U, np.uint16, small)))
+    del parts
     o = np.argsort(h)
-    begin = np.cumsum(n, dtype=np.int64) - n
-    n = n[o].astype(np.int64)
-    flat = np.repeat(begin[o] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return h[o], np.r_[0, np.cumsum(n)].astype(np.int64), ids[flat].astype(np.uint16 if len(ids) == 0 or ids.max() < 1 << 16 else np.int32)
+    begin = (np.cumsum(n, dtype=np.int64) - n).astype(np.int32)[o]
+    n = n[o].astype(np.int32)
+    ends = np.cumsum(n, dtype=np.int64)
+    place = np.repeat(begin - (ends - n).astype(np.int32), n)
+    place += np.arange(len(place), dtype=np.int32)
+    return h[o], np.r_[0, ends], ids[place]
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -196,7 +232,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str
     if words.count() > broadcast_units:
         return _digests(_encode_by_join(own, words), pieces, kind) if digest else _encode_by_join(own, words)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((_dictionary(words), pieces))
+    shared = sc.broadcast((_dictionary(words, len(pieces.bytes)), pieces))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, begin, flat), p = shared.value
@@ -207,7 +243,8 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str
                 at, end = _unit_bounds(data, offs)
                 k = np.searchsorted(known, word_hashes(data, at, end, lower=False))
                 n = begin[k + 1] - begin[k]
-                ids = flat[np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                place = np.repeat(begin[k] - (np.cumsum(n) - n), n)
+                ids = flat[place + np.arange(len(place))]
                 bounds = np.r_[0, np.cumsum(n)][np.searchsorted(at, offs)]
                 yield from _rows(b.column(0).slice(i, j - i), ids, bounds, p, digest)
 

@@ -77,7 +77,7 @@ def test_language_odd(spark, odd, none, model):
 def plain_ids(pieces, text):
     known = {p: i for i, p in pieces.text.items()}
     out = []
-    for unit in re.findall(r" *[^ \n]+| +|\n", " " + text) if text else []:
+    for unit in re.findall(sentencepieces._UNIT, " " + text) if text else []:
         for k in range(0, len(unit), sentencepieces.LONGEST):
             u = unit[k: k + sentencepieces.LONGEST]
             best = [(0.0, 0, -1)]
@@ -97,7 +97,8 @@ def plain_ids(pieces, text):
 @pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_pieces_odd(spark, odd, none, broadcast):
     pieces = sentencepieces.Pieces()
-    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()] + [(70, " " * 600 + "\t\n  \n" + "q" * 700 + "\u2581\u2581\r")]
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()] + [(70, " " * 600 + "\t\n  \n" + "q" * 700 + "\u2581\u2581\r"),
+                                                                                 (71, "é.è,÷a×b1é2«x».\u0250a!\u024f?Ü-Z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", F.lit("clash")).withColumn("ids", F.lit("clash"))
     out = sentencepieces.encode_documents(docs, pieces, broadcast_units=broadcast)
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((i, plain_ids(pieces, t or ""))) for i, t in rows)
