@@ -8,9 +8,10 @@ one shingle; none: empty). Documents with equal sets form a *class* and are hand
    rest are ordered by hash. Any order gives the same links, this one keeps groups small.
 2. ``signatures`` emits the first ``n - ceil(0.8 n) + 1`` shingles of each class in that order: linked classes share
    at least one of them, and their first common one lies in both prefixes. Records are packed per bucket.
-3. Classes that meet in a shingle are candidates if sizes and remaining lengths allow it. First every class is
-   tried against one pivot per shingle and size band (linear in the group, never all its pairs); then only
-   classes that still lie in different components meet as pairs.
+3. Classes that meet in a shingle are candidates if sizes, remaining lengths and the number of shared signed
+   shingles allow it. First every class is tried against one pivot per shingle and size band (linear in the group,
+   never all its pairs), and what one tree of candidates holds is connected there; then classes that still lie
+   outside a large component meet it as a whole, tree by tree, and only classes of small components meet as pairs.
 4. ``verify_links`` stores a pivot's candidates as globally ordered sequences in a prefix tree and walks it once:
    the overlap along a shared path is counted once for all sequences below it, and a subtree ends as soon as
    overlap plus remaining length can't reach what the sizes require.
@@ -40,7 +41,9 @@ COMMON = 1 << 16
 #: tokens counted together, and signature records packed together, in a map task
 COUNT_TOKENS, FLUSH_RECORDS = 1 << 22, 1 << 20
 #: candidates of one pivot that one prefix tree holds; more go to further trees
-TREE = 256
+TREE = 128
+#: classes from which on a component meets others as a whole, tree by tree, and classes that meet one tree at once
+LARGE, BLOCK = 16, 512
 RECORD = np.dtype([("key", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 DOC = np.dtype([("doc", "<i8"), ("cls", "<i8"), ("size", "<i8")])
 NULL_ID = -(1 << 63)
@@ -140,7 +143,7 @@ def signatures(docs: DataFrame, order, buckets: int, threshold: int = THRESHOLD)
                 first = np.flatnonzero(size > 0)
                 _, once = np.unique(cls[first], return_index=True)   # copies in the slice sign once
                 first = np.sort(first[once])
-                take = size[first] - (threshold * size[first] + 99) // 100 + 1
+                take = prefix(size[first], threshold)
                 row = np.repeat(first, take)
                 pos = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
                 rec = np.empty(len(row), RECORD)
@@ -154,19 +157,51 @@ def signatures(docs: DataFrame, order, buckets: int, threshold: int = THRESHOLD)
     return docs.mapInArrow(scan, "bucket int, records binary, docs binary")
 
 
+def prefix(size, threshold: int = THRESHOLD):
+    """How many shingles of a set are signed."""
+    return size - (threshold * size + 99) // 100 + 1
+
+
 def _may_link(size_a, pos_a, size_b, pos_b, threshold: int):
     """Could two sets link whose first common shingle is at these positions?"""
-    rest = 1 + np.minimum(size_a - pos_a, size_b - pos_b) - 1
-    return rest >= needed(size_a, size_b, threshold)
+    return np.minimum(size_a - pos_a, size_b - pos_b) >= needed(size_a, size_b, threshold)
+
+
+def _shared(pairs: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, n, least, ok): signed shingles that two classes share, and how many of them a link takes at least.
+
+    Every common shingle up to the lower of the two last signed ones is signed in both sets; at most the unsigned
+    rest of one set can be common beyond it.
+    """
+    size = lambda c: F.min(f"size_{c}").cast("long")
+    total = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), size("a").alias("size_a"), size("b").alias("size_b"), F.max("ok").alias("ok"))
+    rest = lambda c: F.floor((threshold * F.col(f"size_{c}") + 99) / 100) - 1
+    need = F.ceil(threshold * (F.col("size_a") + F.col("size_b")) / (100 + threshold))
+    return total.select("a", "b", "n", "ok", F.greatest(F.lit(1), need - F.greatest(rest("a"), rest("b"))).alias("least"))
+
+
+def star_pairs(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): for each class b the pivot a that it shares most signed shingles with, if that may be a near copy."""
+    best = _shared(pairs, threshold).where("2 * n >= least").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("low"), "a")).alias("x"))
+    return best.select(F.col("x.a").alias("a"), "b")
 
 
-def _groups(rec: np.ndarray) -> np.ndarray:
-    """Start of every run of one key (records sorted by key), and the end."""
-    return np.r_[np.flatnonzero(np.r_[True, rec["key"][1:] != rec["key"][:-1]]), len(rec)]
+def _distinct_pairs(a, b, size_a, size_b, ok) -> dict[str, np.ndarray]:
+    """Columns (a, b, n, size_a, size_b, ok): each pair once, with the number of shingles it was found under."""
+    o = np.lexsort((b, a))
+    a, b, size_a, size_b, ok = a[o], b[o], size_a[o], size_b[o], ok[o]
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    n = np.diff(np.r_[at, len(a)])
+    return {"a": a[at], "b": b[at], "n": n.astype(np.int32), "size_a": size_a[at].astype(np.int32), "size_b": size_b[at].astype(np.int32),
+            "ok": np.logical_or.reduceat(ok, at) if len(at) else ok}
+
+
+_PAIRS = "a long, b long, n int, size_a int, size_b int, ok boolean"
 
 
 def meet(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(kind, a, b, size, pos). 0: document a of class b. 1: candidate pivot a, class b. 2: class b under shared shingle a."""
+    """(kind, a, b, n, size_a, size_b, ok): document a of class b (0; size_a its size), candidate of pivot a (1),
+    class b under the shared shingle a (2; size_b its size, n the position)."""
 
     def group(key, table):
         rec = [np.frombuffer(x, RECORD) for x in table.column("records").to_pylist() if x]
@@ -176,37 +211,46 @@ def meet(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         rec = rec[np.lexsort((rec["cls"], rec["size"], rec["key"]))]
         if len(rec):
             rec = rec[np.r_[True, (rec["key"][1:] != rec["key"][:-1]) | (rec["cls"][1:] != rec["cls"][:-1])]]
-            edge = _groups(rec)
+            edge = np.r_[np.flatnonzero(np.r_[True, rec["key"][1:] != rec["key"][:-1]]), len(rec)]
             rec = rec[np.repeat(np.diff(edge) > 1, np.diff(edge))]
         # a pivot per shingle and size band: the smallest class
         band = np.floor(np.log(np.maximum(rec["size"], 1)) / np.log(100 / threshold)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, (rec["key"][1:] != rec["key"][:-1]) | (band[1:] != band[:-1])])[: len(rec)]
-        star = np.zeros((0, 2), np.int64)
+        star = _distinct_pairs(*(np.zeros(0, np.int64),) * 4, np.zeros(0, bool))
         if len(rec):
             lengths = np.diff(np.r_[edge, len(rec)])
             low = np.repeat(np.minimum.reduceat(rec["cls"], edge), lengths)
-            pivot = np.repeat(np.flatnonzero(rec["cls"] == low), lengths)   # a class is once in a group
-            ok = (rec["cls"] != low) & _may_link(rec["size"], rec["pos"], rec["size"][pivot], rec["pos"][pivot], threshold)
-            star = np.unique(np.stack([low[ok], rec["cls"][ok]], 1), axis=0)
-        n, k, m = len(docs), len(star), len(rec)
+            pivot = rec[np.repeat(np.flatnonzero(rec["cls"] == low), lengths)]   # a class is once in a group
+            far = rec["cls"] != low
+            rec_, pivot = rec[far], pivot[far]
+            star = _distinct_pairs(pivot["cls"], rec_["cls"], pivot["size"], rec_["size"], _may_link(pivot["size"], pivot["pos"], rec_["size"], rec_["pos"], threshold))
+        n, k, m = len(docs), len(star["a"]), len(rec)
+        zero = lambda x: np.zeros(x, np.int32)
         return pa.table({
-            "kind": np.repeat(np.array([0, 1, 2], np.int8), [n, k, m]), "a": np.r_[docs["doc"], star[:, 0], rec["key"].view(np.int64)],
-            "b": np.r_[docs["cls"], star[:, 1], rec["cls"]], "size": np.r_[docs["size"].astype(np.int32), np.zeros(k, np.int32), rec["size"]],
-            "pos": np.r_[np.zeros(n + k, np.int32), rec["pos"]]})
+            "kind": np.repeat(np.array([0, 1, 2], np.int8), [n, k, m]), "a": np.r_[docs["doc"], star["a"], rec["key"].view(np.int64)],
+            "b": np.r_[docs["cls"], star["b"], rec["cls"]], "n": np.r_[zero(n), star["n"], rec["pos"]],
+            "size_a": np.r_[docs["size"].astype(np.int32), star["size_a"], zero(m)], "size_b": np.r_[zero(n), star["size_b"], rec["size"]],
+            "ok": np.r_[np.zeros(n, bool), star["ok"], np.zeros(m, bool)]})
+
+    return packed.groupBy("bucket").applyInArrow(group, f"kind tinyint, {_PAIRS}")
+
 
-    return packed.groupBy("bucket").applyInArrow(group, "kind tinyint, a long, b long, size int, pos int")
+def in_tree_order(members: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """Classes and their ordered sets as a prefix tree lists them."""
+    return sorted(members.items(), key=lambda m: m[1].astype(">u8").tobytes())
 
 
 def linked(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], threshold: int = THRESHOLD) -> list[int]:
-    """Classes among ``members`` whose sets link with the ordered set ``pivot``: one walk over their prefix tree.
+    """Classes among ``members`` (in tree order) whose sets link with the ordered set ``pivot``: one walk over the tree.
 
     The tree is kept as the sequences in order with their common prefixes; ``seen[d]`` is the overlap along the
     current path down to depth d, so a shared path is counted once.
     """
-    members = sorted(members, key=lambda m: m[1].astype(">u8").tobytes())
     out = []
     path, seen, depth = np.zeros(0, U), np.zeros(1, np.int64), 0
     for cls, own in members:
+        if 100 * min(len(own), len(pivot)) < threshold * max(len(own), len(pivot)):
+            continue
         n = min(depth, len(own))
         differ = np.flatnonzero(path[:n] != own[:n])
         shared = int(differ[0]) if len(differ) else n
@@ -230,6 +274,28 @@ def linked(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], threshold:
     return out
 
 
+def local_links(sets: dict[int, np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Edges that connect what is linked among the sets of one tree: each class walks those it isn't connected to."""
+    root = {c: c for c in sets}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    edges, tree, first = [], in_tree_order(sets), min(sets, default=0)
+    for own in sorted(sets):
+        home = find(own)
+        if own != first and home == find(first):
+            continue
+        for other in linked(sets[own], [m for m in tree if find(m[0]) != home], threshold):
+            if find(other) != find(own):
+                root[find(other)] = find(own)
+                edges.append((own, other))
+    return edges
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """(cls, keys): the ordered set (packed 64-bit keys) of each class; ``classes`` has cls and a doc_id of it."""
 
@@ -242,10 +308,25 @@ def class_sets(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
     return thinned(docs, classes).join(classes, "doc_id").select("cls", "text").mapInArrow(scan, "cls long, keys binary")
 
 
-def verify_links(pairs: DataFrame, docs: DataFrame, members: DataFrame, order, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of classes that link, by prefix trees of each a's candidates b."""
-    active = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = settle(class_sets(docs, members.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls"), order))
+def sets_of(wanted: DataFrame, docs: DataFrame, members: DataFrame, order) -> DataFrame:
+    """``class_sets`` of every class in the arrays ``c``."""
+    active = wanted.select(F.explode("c").alias("cls")).distinct()
+    return class_sets(docs, members.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls"), order)
+
+
+def _unpack(table: pa.Table) -> dict[int, np.ndarray]:
+    return dict(zip(table.column("cls").to_pylist(), (np.frombuffer(x, U) for x in table.column("keys").to_pylist())))
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
+
+
+def verify_links(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, local: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes that link, by prefix trees of each a's candidates b.
+
+    ``local``: edges between any classes of a tree that connect all that is linked in it.
+    """
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees"))
     cut = pairs.join(load, "a").withColumn("tree", F.pmod(F.xxhash64("b"), F.col("trees")))
     each = (cut.join(sets, cut["b"] == sets["cls"]).select("a", "tree", "cls", "keys")
@@ -253,21 +334,59 @@ def verify_links(pairs: DataFrame, docs: DataFrame, members: DataFrame, order, t
                          .join(sets, F.col("a") == sets["cls"]).select("a", "tree", "cls", "keys")))
 
     def walk(key, table):
-        a = key[0].as_py()
-        own = dict(zip(table.column("cls").to_pylist(), (np.frombuffer(x, U) for x in table.column("keys").to_pylist())))
-        pivot = own.pop(a)
-        found = linked(pivot, list(own.items()), threshold)
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        a, own = key[0].as_py(), _unpack(table)
+        return _edges(local_links(own, threshold) if local else [(a, b) for b in linked(own.pop(a), in_tree_order(own), threshold)])
 
     return each.groupBy("a", "tree").applyInArrow(walk, "a long, b long")
 
 
-def residual_pairs(shared: DataFrame, comp: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of classes that share a prefix shingle, may link, and lie in different components."""
-    rows = (shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-            .select("key", "cls", "size", "pos", F.coalesce("component", "cls").alias("component")))
+def labelled(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, cls, size, pos, component, members): classes under the shingles that several components share;
+    ``members`` is the number of classes in the component."""
+    sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
+    own = comp.join(sizes, "component").select(F.col("node").alias("cls"), "component", "members")
+    rows = shared.join(own, "cls", "left").withColumns({"component": F.coalesce("component", "cls"), "members": F.coalesce("members", F.lit(1))})
     mixed = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    buckets = 8 * partitions(shared.sparkSession)
+    return rows.join(mixed, "key").select("key", "cls", "size", "pos", "component", "members")
+
+
+def block_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """(component, tree, part, cls, member): each class that shares a shingle with a large component meets all of its
+    classes, tree by tree; one row per class and tree instead of one per pair."""
+    large = rows.where(F.col("members") >= LARGE)
+    there = large.select("key", F.col("component").alias("large"), "members").distinct()
+    near = (rows.select("key", "cls", "component").join(there, "key").where("component <> large")
+            .select(F.col("large").alias("component"), "cls", "members").distinct())
+    trees = F.ceil(F.col("members") / TREE)
+    parts = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    ours = (comp.select("component", F.col("node").alias("cls")).join(near.select("component", "members").distinct(), "component").join(parts, "component")
+            .select("component", F.pmod(F.xxhash64("cls"), trees).alias("tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                    "cls", F.lit(True).alias("member")))
+    theirs = near.join(parts, "component").select(
+        "component", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("tree"), F.pmod(F.xxhash64(F.lit("part"), "cls"), F.col("parts")).alias("part"),
+        "cls", F.lit(False).alias("member"))
+    return ours.unionByName(theirs)
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): one link of each class to the block's component, where there is any."""
+
+    def walk(key, table):
+        member = np.array(table.column("member").to_pylist(), bool)
+        own = _unpack(table.filter(pa.array(member)).select(["cls", "keys"]))
+        tree = in_tree_order(own)
+        edges = []
+        for cls, keys in _unpack(table.filter(pa.array(~member)).select(["cls", "keys"])).items():
+            edges += [(cls, b) for b in linked(keys, tree, threshold)[:1]]
+        return _edges(edges)
+
+    return (blocks.join(sets, "cls").select("component", "tree", "part", "cls", "member", "keys")
+            .groupBy("component", "tree", "part").applyInArrow(walk, "a long, b long"))
+
+
+def residual_pairs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of classes of different, small components that share a prefix shingle and may link."""
+    buckets = 8 * partitions(rows.sparkSession)
 
     def group(key, table):
         col = {c: table.column(c).to_numpy() for c in ("key", "cls", "size", "pos", "component")}
@@ -280,18 +399,18 @@ def residual_pairs(shared: DataFrame, comp: DataFrame, threshold: int = THRESHOL
         while len(at):
             at = at[at + gap < end[at]]
             at = at[threshold * col["size"][at + gap] <= 100 * col["size"][at]]
-            x, y = at, at + gap
-            ok = (col["component"][x] != col["component"][y]) & _may_link(col["size"][x], col["pos"][x], col["size"][y], col["pos"][y], threshold)
-            a, b = col["cls"][x[ok]], col["cls"][y[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            apart = at[col["component"][at] != col["component"][at + gap]]
+            x, y = apart, apart + gap
+            swap = col["cls"][x] > col["cls"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.append(np.stack([x, y], 1))
             gap += 1
-            if sum(map(len, found)) > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        x, y = np.concatenate(found).T if found else (np.zeros(0, np.int64),) * 2
+        return pa.table(_distinct_pairs(col["cls"][x], col["cls"][y], col["size"][x], col["size"][y],
+                                        _may_link(col["size"][x], col["pos"][x], col["size"][y], col["pos"][y], threshold)))
 
-    return (rows.join(mixed, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-            .groupBy("bucket").applyInArrow(group, "a long, b long").distinct())
+    met = rows.where(F.col("members") < LARGE).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(group, _PAIRS)
+    return _shared(met, threshold).where("ok and n >= least").select("a", "b")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -301,15 +420,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(Order(common_shingles(own)))
     met = settle(meet(signatures(own, order, 8 * partitions(spark), threshold), threshold))
-    members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "size")
-    shared = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("cls"), "size", "pos")
-    star = settle(met.where("kind = 1").select("a", "b").distinct())
+    members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size_a").alias("size"))
+    shared = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("size_b").alias("size"), F.col("n").alias("pos"))
+    star = settle(star_pairs(met.where("kind = 1"), threshold))
     filled = members.where("size > 0")
-    links = settle(verify_links(star, own, filled, order, threshold))
+    links = settle(verify_links(star, settle(sets_of(star.select(F.array("a", "b").alias("c")), own, filled, order)), threshold, local=True))
     comp = settle(components(links))
-    rest = settle(residual_pairs(shared, comp, threshold).join(
+    rows = settle(labelled(shared, comp))
+    blocks = settle(block_pairs(rows, comp))
+    rest = settle(residual_pairs(rows, threshold).join(
         star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = settle(verify_links(rest, own, filled, order, threshold))
+    wanted = blocks.select(F.array("cls").alias("c")).unionByName(rest.select(F.array("a", "b").alias("c")))
+    sets = settle(sets_of(wanted, own, filled, order))
+    more = block_links(blocks, sets, threshold).unionByName(verify_links(rest, sets, threshold))
     comp = settle(components(links.unionByName(more)))
     root = filled.groupBy("cls").agg(F.min("doc_id").alias("low")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     low = settle(root.groupBy("component").agg(F.min("low").alias("component_id")))
