@@ -44,7 +44,8 @@ LONGEST = 256
 BROADCAST_UNITS = 1 << 23
 #: letters (ASCII and Latin up to U+024F) and ASCII signs and digits: a unit is cut where one follows the other
 _LETTER, _SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
-_UNIT = rf" *[^ \n](?:(?<![{_LETTER}])[{_SIGN}]|(?<![{_SIGN}])[{_LETTER}]|[^ \n{_LETTER}{_SIGN}])*| +|\n"
+#: one reluctant run up to a border: Java repeats a character class in a loop, but a group by recursion per character
+_UNIT = rf" *[^ \n]+?(?:(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=[{_SIGN}])(?=[{_LETTER}])|(?![^ \n]))| +|\n"
 SLICE = 1 << 21
 
 
@@ -65,7 +66,7 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.text[i] = model.id_to_piece(i).replace(MARK, " ")
                 self.score[i] = model.get_score(i)
-        crossing = [p for p in self.text.values() if not re.fullmatch(_UNIT, p)]
+        crossing = [p for p in self.text.values() if re.findall(_UNIT, p) != [p]]
         if crossing:
             raise ValueError(f"pieces cross units: {crossing[:5]}")
         self.longest = max(map(len, self.text.values()), default=1)

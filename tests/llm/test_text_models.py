@@ -107,6 +107,17 @@ def test_pieces_odd(spark, odd, none, broadcast):
     assert sentencepieces.encode_documents(none, pieces, broadcast_units=broadcast).count() == 0
 
 
+def test_long_runs_are_split(spark):
+    """100,000 characters without a space, inside a task: letters, signs, and letters that are neither."""
+    rows = [(1, "q" * 100_000), (2, "a1" * 50_000), (3, "\u6f22" * 100_000), (4, " " * 100_000 + "x")]
+    out = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).select("doc_id", sentencepieces.units(F.col("text")).alias("u"))
+    got = {r.doc_id: r.u for r in out.collect()}
+    for i, t in rows:
+        assert "".join(got[i]) == " " + t
+    whole = [u for u in got[2] if u.strip()]
+    assert len(whole) == 100_000 and set(whole) == {" a", "a", "1"}
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own = {r.doc_id: r.text for r in docs.collect()}
