@@ -11,9 +11,11 @@ ASCII signs or digits, single line feeds, and runs of spaces before one; no piec
 
 The segmentation has the highest sum of piece scores; ties go to the shorter last piece, then the larger id. A
 code point that no piece covers becomes its UTF-8 byte pieces at a fixed cost. For a model that was trained by
-merges this is the best segmentation under its scores, which may differ from replaying the merges. Units longer
-than ``LONGEST`` code points are cut there first. Decoding joins the pieces' bytes and drops the first space; it
-restores every text exactly (the model's own space mark is byte-encoded when it occurs in a text).
+merges this is the best segmentation under its scores, which may differ from replaying the merges. No unit is
+cut: units longer than ``LATTICE`` code points (text without spaces) are folded the same way, with the same sums and
+ties, by a scan that is linear in their length (``long_paths``) instead of the relational lattice, whose rows would
+each carry the whole unit. Decoding joins the pieces' bytes and drops the first space; it restores every text exactly
+(the model's own space mark is byte-encoded when it occurs in a text).
 
 ``encode_documents`` hands the encoded units back to the documents: as a broadcast dictionary while their number,
 which is counted first, is within ``BROADCAST_UNITS``; beyond it by a shuffled join of (document, position, unit).
@@ -25,6 +27,7 @@ gives an empty result; further columns are never read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,10 @@ from ledgerlens.llm.textops import U, text_slices, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONGEST = 256
+#: the longest unit that is encoded as a whole: there is no bound
+LONGEST = sys.maxsize
+#: units up to this length meet the piece table in the lattice, longer ones in ``long_paths``; the ids are the same
+LATTICE = 256
 #: units in a broadcast dictionary (some 20 bytes each)
 BROADCAST_UNITS = 1 << 23
 #: letters (ASCII and Latin up to U+024F) and ASCII signs and digits: a unit is cut where one follows the other
@@ -95,10 +101,7 @@ def coarse_units(text: Column) -> Column:
 
 def fine_units(coarse: Column) -> Column:
     """The units of one coarse unit."""
-    whole = F.regexp_extract_all(coarse, F.lit(f"({_UNIT})"), F.lit(1))
-    cut = lambda u: F.when(F.length(u) <= LONGEST, F.array(u)).otherwise(F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(u) - 1) / LONGEST).cast("int")), lambda i: F.substring(u, i * F.lit(LONGEST) + F.lit(1), F.lit(LONGEST))))
-    return F.flatten(F.transform(whole, cut))
+    return F.regexp_extract_all(coarse, F.lit(f"({_UNIT})"), F.lit(1))
 
 
 def units(text: Column) -> Column:
@@ -107,9 +110,10 @@ def units(text: Column) -> Column:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges array<struct<e, s, score, id>>): all pieces in each unit, from position s to e."""
-    starts = words.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
-    most = F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1)
+    """(unit, edges array<struct<e, s, score, id>>): all pieces in each unit, from position s to e; none in long units."""
+    short = F.length("unit") <= LATTICE
+    starts = words.select("unit", F.explode(F.sequence(F.lit(1), F.when(short, F.length("unit")).otherwise(1))).alias("at"))
+    most = F.when(short, F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1)).otherwise(0)
     subs = (starts.select("unit", "at", F.explode(F.sequence(F.when(F.col("at") == 1, 0).otherwise(1), most)).alias("n"))
             .select("unit", "at", "n", F.col("unit").substr(F.col("at"), F.col("n")).alias("piece")))
     edges = subs.join(F.broadcast(pieces.table(words.sparkSession)), "piece")
@@ -154,9 +158,50 @@ def best_path(unit: Column, edges: Column, pieces: Pieces) -> Column:
     return F.get(F.transform(F.array(best), back), F.lit(0))
 
 
+def long_path(unit: str, pieces: Pieces, known: dict[str, int]) -> np.ndarray:
+    """``best_path`` of one unit of any length: only the last ``longest`` nodes reach a position."""
+    n = len(unit)
+    score, back, by = np.zeros(n + 1), np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int32)
+    near = [0.0]   # scores of the last positions, this one's predecessor last
+    for e in range(1, n + 1):
+        best = (near[-1] + pieces.byte_cost, e - 1, -1)
+        for k in range(1, len(near) + 1):
+            i = known.get(unit[e - k: e])
+            if i is not None:
+                best = max(best, (near[-k] + pieces.score[i], e - k, i))
+        score[e], back[e], by[e] = best
+        near.append(best[0])
+        if len(near) > pieces.longest:
+            del near[0]
+    ids, e = [], n
+    while e:
+        s, i = int(back[e]), int(by[e])
+        ids += [i] if i >= 0 else [pieces.byte_ids[b] for b in reversed(unit[s:e].encode())]
+        e = s
+    return np.array(ids[::-1], np.int32)
+
+
+def long_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) of long units."""
+    shared = words.sparkSession.sparkContext.broadcast(pieces)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for b in batches:
+            known = known or {p: i for i, p in shared.value.text.items()}
+            for u in b.column(0):
+                ids = pa.array([long_path(u.as_py(), shared.value, known)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([u.as_py()], pa.string()), ids], names=["unit", "ids"])
+
+    return words.select("unit").mapInArrow(scan, "unit string, ids array<int>")
+
+
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) for distinct, non-empty units."""
-    return lattice(words, pieces).select("unit", best_path(F.col("unit"), F.col("edges"), pieces).alias("ids"))
+    # one plan up to here: written in between, the units would lose the partitioning that the lattice's grouping needs
+    ids = F.when(F.length("unit") <= LATTICE, best_path(F.col("unit"), F.col("edges"), pieces))
+    done = settle(lattice(words, pieces).select("unit", ids.alias("ids")))
+    return done.where("ids is not null").unionByName(settle(long_paths(done.where("ids is null"), pieces)))
 
 
 def lexicon(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -183,14 +228,6 @@ def _unit_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     start[offs[:-1][offs[:-1] < len(data)]] = True
     at = np.flatnonzero(start)
     end = np.r_[at[1:], len(data)][: len(at)]
-    long = np.flatnonzero(end - at > LONGEST)
-    if len(long):
-        more = []
-        for k in long.tolist():
-            heads = np.flatnonzero((data[at[k]: end[k]] & 0xC0) != 0x80)
-            more.append(at[k] + heads[LONGEST::LONGEST])
-        at = np.sort(np.concatenate([at, *more]))
-        end = np.r_[at[1:], len(data)]
     return at, end
 
 
@@ -204,18 +241,18 @@ def _dictionary(words: DataFrame, n_pieces: int) -> tuple[np.ndarray, np.ndarray
             for i, j, data, offs in text_slices(b.column(0), 1 << 40):
                 h = word_hashes(data, offs[:-1], offs[1:], lower=False)
                 part = ids.slice(i, j - i)
-                n = pc.list_value_length(part).to_numpy().astype(np.uint16)
+                n = pc.list_value_length(part).to_numpy().astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, part.flatten().to_numpy().astype(small))], names=["h", "n", "ids"])
 
     parts = [tuple(r) for r in words.select("unit", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toLocalIterator()]
-    h, n, ids = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in enumerate((U, np.uint16, small)))
+    h, n, ids = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in enumerate((U, np.uint32, small)))
     del parts
     o = np.argsort(h)
-    begin = (np.cumsum(n, dtype=np.int64) - n).astype(np.int32)[o]
-    n = n[o].astype(np.int32)
+    begin = (np.cumsum(n, dtype=np.int64) - n)[o]
+    n = n[o].astype(np.int64)
     ends = np.cumsum(n, dtype=np.int64)
-    place = np.repeat(begin - (ends - n).astype(np.int32), n)
-    place += np.arange(len(place), dtype=np.int32)
+    place = np.repeat(begin - (ends - n), n)
+    place += np.arange(len(place), dtype=np.int64)
     return h[o], np.r_[0, ends], ids[place]
 
 
@@ -229,7 +266,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str
     pieces = pieces or Pieces()
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = settle(lexicon(own, pieces))
+    words = lexicon(own, pieces)
     if words.count() > broadcast_units:
         return _digests(_encode_by_join(own, words), pieces, kind) if digest else _encode_by_join(own, words)
     sc = docs.sparkSession.sparkContext

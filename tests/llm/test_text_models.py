@@ -118,6 +118,33 @@ def test_long_runs_are_split(spark):
     assert len(whole) == 100_000 and set(whole) == {" a", "a", "1"}
 
 
+def uncut_ids(pieces, unit):
+    """Best segmentation of one whole unit, no position left out."""
+    known = {p: i for i, p in pieces.text.items()}
+    best = [(0.0, 0, -1)]
+    for e in range(1, len(unit) + 1):
+        best.append(max([(best[e - 1][0] + pieces.byte_cost, e - 1, -1)] + [
+            (best[s][0] + pieces.score[known[unit[s:e]]], s, known[unit[s:e]]) for s in range(max(0, e - pieces.longest), e) if unit[s:e] in known]))
+    ids, e = [], len(unit)
+    while e:
+        _, s, i = best[e]
+        ids[:0] = [i] if i >= 0 else [pieces.byte_ids[b] for b in unit[s:e].encode()]
+        e = s
+    return ids
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_long_units_are_not_cut(spark, broadcast):
+    """Pieces that cross any multiple of 256, in units on both sides of the lattice's bound."""
+    pieces = sentencepieces.Pieces()
+    texts = ["international" * 40, "x" * 255, "x" * 256 + "thing", "\u6f22\u5b57" * 700, "information" * 7000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in sentencepieces.encode_documents(docs, pieces, broadcast_units=broadcast).collect()}
+    assert [got[k] for k in range(5)] == [uncut_ids(pieces, " " + t) for t in texts]
+    cut = [i for u in (" " + texts[0],) for k in range(0, len(u), 256) for i in uncut_ids(pieces, u[k: k + 256])]
+    assert got[0] != cut
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own = {r.doc_id: r.text for r in docs.collect()}
