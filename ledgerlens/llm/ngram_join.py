@@ -19,8 +19,9 @@ one shingle; none: empty). Documents with equal sets form a *class* and are hand
 Classes are keyed by a 64-bit set hash and shingles by 63 bits (about 3 false merges expected in 10**10 sets).
 
 Defined cases: null text is an empty set, linked with nothing; ties in sizes or shingles go by hash; repeated
-rows give repeated result rows; a null doc_id stays null and counts as the smallest id; an empty table gives an
-empty result; further columns are never read.
+rows give repeated result rows; rows that share an id (or have none) with different texts are documents of their
+own; a null doc_id stays null and counts as the smallest id; an empty table gives an empty result; further columns
+are never read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.sparkops import components, partitions, settle, thinned
 from ledgerlens.llm.textops import U, mix, sets_by_row, shingles, text_slices, word_hashes, words
@@ -296,8 +298,25 @@ def local_links(sets: dict[int, np.ndarray], threshold: int = THRESHOLD) -> list
     return edges
 
 
+def with_class(rows: DataFrame, order) -> DataFrame:
+    """``rows`` (with a column text) and each row's own class hash ``cls``."""
+    at = rows.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offs in text_slices(b.column(at)):
+                _, _, _, cls = order.value.sets(data, offs)
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls)], names=[*part.schema.names, "cls"])
+
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields, T.StructField("cls", T.LongType())]))
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
-    """(cls, keys): the ordered set (packed 64-bit keys) of each class; ``classes`` has cls and a doc_id of it."""
+    """(cls, keys): the ordered set (packed 64-bit keys) of each class; ``classes`` has cls and a doc_id of it.
+
+    A row counts by its own class hash, as rows of other classes may share its id; one row a class is read.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,13 +324,15 @@ def class_sets(docs: DataFrame, classes: DataFrame, order) -> DataFrame:
                 key, at, _, _ = order.value.sets(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([key[at[k]: at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["cls", "keys"])
 
-    return thinned(docs, classes).join(classes, "doc_id").select("cls", "text").mapInArrow(scan, "cls long, keys binary")
+    own = thinned(with_class(thinned(docs, classes), order), classes, "cls")
+    one = own.dropDuplicates(["doc_id", "cls"]).join(classes, ["doc_id", "cls"])
+    return one.select("cls", "text").mapInArrow(scan, "cls long, keys binary")
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, members: DataFrame, order) -> DataFrame:
     """``class_sets`` of every class in the arrays ``c``."""
     active = wanted.select(F.explode("c").alias("cls")).distinct()
-    return class_sets(docs, members.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls"), order)
+    return class_sets(docs, settle(members.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls").select("doc_id", "cls")), order)
 
 
 def _unpack(table: pa.Table) -> dict[int, np.ndarray]:

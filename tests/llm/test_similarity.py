@@ -46,6 +46,48 @@ def test_components_odd(odd, none):
     assert ngram_join.similar_components(none).count() == 0
 
 
+def shared_id_rows():
+    """Many texts with a null id and many with one shared id, each with a near copy that has an id of its own."""
+    import random
+
+    rng = random.Random(11)
+    rows = [(None, None), (None, ""), (7, None)]
+    for k in range(24):
+        own = [f"w{k}x{rng.randrange(10 ** 6)}" for _ in range(70)]
+        near = own[:30] + ["changed"] + own[31:]
+        rows += [(None if k % 2 else 7, " ".join(own)), (100 + k, " ".join(near))]
+    return rows + [(None, rows[5][1]), rows[4]]
+
+
+def row_components(rows):
+    """Every row is a node: (id, text) -> smallest id of its component, and the component's rows."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_rows_that_share_an_id(spark):
+    rows = shared_id_rows()
+    root = row_components(rows)
+    low = lambda r: min((rows[k][0] for k in range(len(rows)) if root[k] == r), key=lambda i: (i is not None, i or 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(repr((r[0], r[1], r[2])) for r in ngram_join.similar_components(docs).collect())
+    assert got == sorted(repr((i, len(shingles(t)), low(root[k]))) for k, (i, t) in enumerate(rows))
+
+
+def test_components_odd_with_the_null_row(odd):
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    want = plain_components(rows)
+    back = lambda k: k[1] if k[0] else None
+    assert sorted(repr(tuple(r)) for r in ngram_join.similar_components(odd).collect()) == sorted(
+        repr((i, len(shingles(t)), back(want[(i is not None, i or 0)]))) for i, t in rows)
+
+
 def test_components_corpus(spark, corpus):
     want = plain_components(corpus)
     out = ngram_join.op5(spark, "/root/testdata/sf0.001").collect()
