@@ -10,7 +10,7 @@ cannot express the language model, so ``ORACLE_SQL`` is None and the tests hold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, language_id, line_dedup, ngram_join, sentencepieces
@@ -32,15 +32,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near duplicates.
+    """The document with the smallest (doc_id, text) of each component of near duplicates.
 
-    Rows that repeat a doc_id are one document: the one with the smallest text stays.
+    Only rows equal in both are one document; rows that share an id, or have none, stand for themselves.
     """
-    groups = ngram_join.similar_components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return ngram_join.smallest_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -434,11 +434,9 @@ def residual_pairs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return _shared(met, threshold).where("ok and n >= least").select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+def class_components(own: DataFrame, threshold: int = THRESHOLD):
+    """The order, (doc_id, cls, size) per row of ``own`` (doc_id long, text), (cls, component, component_id)."""
+    spark = own.sparkSession
     order = spark.sparkContext.broadcast(Order(common_shingles(own)))
     met = settle(meet(signatures(own, order, 8 * partitions(spark), threshold), threshold))
     members = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("size_a").alias("size"))
@@ -457,12 +455,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = settle(components(links.unionByName(more)))
     root = filled.groupBy("cls").agg(F.min("doc_id").alias("low")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     low = settle(root.groupBy("component").agg(F.min("low").alias("component_id")))
-    by_class = settle(root.select("cls", "component").join(low, "component").select("cls", "component_id"))
+    return order, members, settle(root.select("cls", "component").join(low, "component").select("cls", "component", "component_id"))
+
+
+def _long_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
+    kind = dict(docs.dtypes)[id_col]
+    _, members, by_class = class_components(docs.select(_long_id(id_col), F.col(text_col).alias("text")), threshold)
     out = members.join(by_class, "cls", "left").select(
         F.nullif("doc_id", F.lit(NULL_ID)).cast(kind).alias("doc_id"), F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("component_id", F.nullif("component_id", F.lit(NULL_ID)).cast(kind))
 
 
+def smallest_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The row of the smallest (doc_id, text) of each component, nulls first; columns as they were.
+
+    Texts without a word are linked with nothing; of rows equal in id and text one stays. All choices are
+    aggregates that combine map-side, so rows that share an id or a class never gather in one task.
+    """
+    rows = docs.select(_long_id(id_col), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order, members, by_class = class_components(rows.select("doc_id", "text"), threshold)
+    first = settle(members.join(by_class, "cls").where("doc_id = component_id").select("doc_id", "cls", "component").distinct())
+    has_word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    own = thinned(with_class(thinned(rows.where(has_word), first), order), first, "cls")
+    best = own.groupBy("doc_id", "cls").agg(F.min_by("row", "text").alias("row"), F.min("text").alias("text")).join(first, ["doc_id", "cls"])
+    stay = best.groupBy("component").agg(F.min_by("row", "text").alias("row")).select("row")
+    wordless = rows.where(~has_word).groupBy("doc_id", "text").agg(F.first("row").alias("row")).select("row")
+    return stay.unionByName(wordless).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

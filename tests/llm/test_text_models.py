@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerlens.llm import language_id, line_dedup, sentencepieces
 from test_dedup import plain_lines
-from test_similarity import plain_components, shingles
+from test_similarity import plain_components, row_components, shared_id_rows, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -184,6 +184,19 @@ def test_pipeline_odd(spark, odd, tmp_path):
     assert len(ids) == len(set(ids)) and corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == len(ids)
 
 
+def test_one_row_of_each_group(spark):
+    """Rows that share an id or have none are documents of their own; equal rows are one; further columns stay."""
+    rows = shared_id_rows()
+    root = row_components(rows)
+    rank = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    want = {min((rows[k] for k in range(len(rows)) if root[k] == g), key=rank) for g in root}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")).withColumn("cls", F.lit("c")).repartition(3)
+    out = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_pipeline_empty(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
