@@ -1,6 +1,7 @@
 """Language identification of mixed-language text: script ranges, per-word scores, Viterbi with a switching penalty.
 
-Words are runs of letters (A-Z and everything beyond ASCII, lower-cased). ``train`` counts hashed byte trigrams
+Words are runs of letters (Unicode category L, lower-cased, with the marks that follow them); digits, punctuation and
+symbols of any script are blanks. ``train`` counts hashed byte trigrams
 (word boundaries included) and letters per script for each language of a labelled sample of at most about
 ``TRAIN_DOCS`` documents a language. A word's script leaves only languages that write at least ``SCRIPT_SHARE`` of
 their letters in it; each remaining language scores the word by its trigrams' log-likelihood. Viterbi over the words of the text, with
@@ -15,6 +16,8 @@ sample's counts; the model (65,536 numbers a language) is broadcast.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +49,6 @@ _SCRIPT_FROM = np.array([c for _, c in SCRIPTS])
 N_SCRIPTS = len(set(_NAMES))
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
-_LETTER[128:] = True
 
 
 def held_out(id_col: Column) -> Column:
@@ -54,9 +56,39 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+@functools.cache
+def _unicode() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: is it a letter, is it a mark?"""
+    kind = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+    return kind == ord("L"), kind == ord("M")
+
+
+def _letters(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Per byte: does it belong to a letter, or to a mark in a run of marks right after a letter of its row?"""
+    keep = _LETTER[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return keep
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    b = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & (0x3F if k else 0xFF) for k in range(4)]
+    code = np.where(size == 2, (b[0] & 0x1F) << 6 | b[1], np.where(size == 3, (b[0] & 0xF) << 12 | b[1] << 6 | b[2], (b[0] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3]))
+    letter, mark = (table[code] for table in _unicode())
+    for k in range(4):
+        keep[(lead + k)[letter & (size > k)]] = True
+    at, n = lead[mark], size[mark]
+    if len(at):
+        first = np.isin(at, offs)
+        head = np.flatnonzero(np.r_[True, (at[1:] != (at + n)[:-1]) | first[1:]])
+        after = ~first[head] & keep[at[head] - 1]
+        ok = np.repeat(after, np.diff(np.r_[head, len(at)]))
+        for k in range(4):
+            keep[(at + k)[ok & (n > k)]] = True
+    return keep
+
+
 def _words(data: np.ndarray, offs: np.ndarray):
     """Cleaned bytes (non-letters blank), word starts, ends, rows, and letters (code points) per word."""
-    clean = np.where(_LETTER[data], data, 32).astype(np.uint8)
+    clean = np.where(_letters(data, offs), data, 32).astype(np.uint8)
     starts, ends, row = words(clean, offs)
     heads = np.r_[0, np.cumsum((clean & 0xC0) != 0x80)]   # bytes that start a code point
     return clean, starts, ends, row, heads[ends] - heads[starts]

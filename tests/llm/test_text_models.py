@@ -74,6 +74,35 @@ def test_language_odd(spark, odd, none, model):
     assert {r.lang_pred for r in language_id.predict(odd, blank).collect()} == {"und"} and language_id.identified(odd, blank).count() == 0
 
 
+def test_symbols_are_no_letters(spark, model):
+    """Dashes, quotes, currency signs, emoji with variation selectors, digits of other scripts: no language."""
+    symbols = ["\u2014\u2013 \u2014", "\u201c\u201d\u2018\u2019", "\u20ac\u20ac \u00a3", "\U0001F600\U0001F680 \u2764\ufe0f", "\uff11\uff12\uff13", "\u2026\u2022\u2192", "\u0301\u0301"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(symbols)] + [(50, "the house"), (51, "\u0301")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 and not got[k].spans for k in got if k != 50) and got[50].lang_pred == "en"
+    assert [r.doc_id for r in language_id.identified(docs, model).select("doc_id").collect()] == [50]
+
+
+def test_letters_are_those_of_unicode():
+    """Against a plain definition, code point by code point, on two rows."""
+    import unicodedata
+
+    rng = np.random.default_rng(6)
+    some = "ab Z9\u00e9\u0301\u0308\u4e2d\u2014\uff11\U0001F600\ufe0f\U00010400\u0e01\u0e31\n"
+    for _ in range(300):
+        rows = ["".join(rng.choice(list(some), rng.integers(0, 12))).lower() for _ in range(3)]
+        want = []
+        for t in rows:
+            before = False
+            for c in t:
+                kind = unicodedata.category(c)[0]
+                before = kind == "L" or kind == "M" and before
+                want += [before] * len(c.encode())
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        offs = np.r_[0, np.cumsum([len(t.encode()) for t in rows])]
+        assert language_id._letters(data, offs).tolist() == want
+
+
 def plain_ids(pieces, text):
     known = {p: i for i, p in pieces.text.items()}
     out = []
