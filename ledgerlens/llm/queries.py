@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import (automaton_dedup, chat, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, quality_rules,
-                            sentencepieces, suffix_dedup)
+from ledgerlens.llm import (automaton_dedup, chat, decontaminate, fingerprints, language_id, line_dedup, merkle, ngram_join, pii,
+                            quality_rules, sentencepieces, suffix_dedup)
 
 QUERIES = {
     "op1_chat_formatting": chat.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": automaton_dedup.op8,
     "op9_sentencepiece": sentencepieces.op9,
     "op10_decontamination": decontaminate.op10,
+    "op12_merkle_manifest": merkle.op12,
     "op13_quality_rules": quality_rules.op13,
 }
 ORACLE_SQL = {
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op8_substring_dedup": automaton_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op12_merkle_manifest": merkle.SQL,
     "op13_quality_rules": quality_rules.SQL,
 }
