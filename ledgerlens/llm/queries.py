@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import (automaton_dedup, chat, decontaminate, fingerprints, language_id, line_dedup, merkle, ngram_join, pii,
+from ledgerlens.llm import (automaton_dedup, chat, conversation_trie, decontaminate, fingerprints, language_id, line_dedup, merkle, ngram_join, pii,
                             quality_rules, sentencepieces, suffix_dedup)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": automaton_dedup.op8,
     "op9_sentencepiece": sentencepieces.op9,
     "op10_decontamination": decontaminate.op10,
+    "op11_conversation_prefix_trie": conversation_trie.op11,
     "op12_merkle_manifest": merkle.op12,
     "op13_quality_rules": quality_rules.op13,
 }
@@ -24,6 +25,7 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op8_substring_dedup": automaton_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_conversation_prefix_trie": conversation_trie.SQL,
     "op12_merkle_manifest": merkle.SQL,
     "op13_quality_rules": quality_rules.SQL,
 }
