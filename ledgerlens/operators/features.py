@@ -5,13 +5,12 @@ Plan shape, designed for a skewed ledger on many executors:
   mean gaps of A4/A8) is ONE ``groupBy(customer_id).agg`` -> partial aggregation
   map-side, one shuffle on customer_id;
 * global "now"/span are scalar subqueries (one tiny job each), never a collect;
-* adjacency features (A8 min gap, A12 dormancy) run a two-level window: first
-  within (customer, day), then over the per-day summary, so a customer holding a
-  third of the ledger is still spread over many tasks;
-* the 7-day structuring cluster (A3) is a running count partitioned by
-  (customer, week bucket) with next-week rows copied in, again skew-safe;
-* the rapid-movement pair count (A11) is a range join: equi-join on
-  (customer, 24 h bucket) plus the residual time/amount predicate.
+* a customer with more rows than one task should sort is found by counting (``functions/heavy.py``: at most 1,024 of
+  them) and cut into slabs by time or amount; everybody else is one unit of bounded size;
+* adjacency features (A8 min gap, A12 dormancy) look at neighbours inside a slab, then across the slabs' ends;
+* the 7-day structuring cluster (A3) reads a running count at both ends of each window, slab totals added;
+* the rapid-movement pair count (A11) is dominance counting (``functions/dominance.py``): no pair is listed;
+* the exact median (A1) of a heavy customer is found by narrowing ranges, of everybody else in the one aggregate.
 """
 
 from __future__ import annotations
@@ -22,6 +21,9 @@ from pyspark.sql.window import Window
 
 from ..config import KYC_STATUS_CODES, RISK_CATEGORY_CODES, RiskConfig
 from .filters import by_customers
+from ..functions.dominance import AFTER, BEFORE, OUT, count_pairs
+from ..functions.heavy import CUTS, heavy_keys, of_heavy, of_others, slab, with_cuts
+from ..functions.quantiles import exact_quantiles
 from ..functions.exprs import attach_scalars, encode, hours_between, is_high_risk, known_number, whole_days
 
 MICROS_PER_DAY = 86400 * 1_000_000
@@ -38,6 +40,11 @@ def _ledger(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("customer_id").isNotNull())
 
 
+def heavy_customers(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """Customers with more than ``cfg.heavy_rows`` rows and more than one in 1,024 of all rows."""
+    return heavy_keys(_ledger(tx), "customer_id", cfg.heavy_rows)
+
+
 def near_ctr_flag(cfg: RiskConfig) -> Column:
     """F8 AND F9: cash rows in [structuring_lower, ctr_threshold)."""
     return (F.coalesce(F.col("is_cash"), F.lit(False))
@@ -56,6 +63,10 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     has_cash = "is_cash" in df.columns
     has_country = "counterparty_country" in df.columns
     ts, amt = F.col("timestamp"), known_number(F.col("amount"))
+    exact = cfg.median_accuracy is None
+    if exact:   # heavy customers' amounts never fill a median buffer
+        heavy = heavy_customers(tx, cfg)
+        df = df.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), "customer_id", "left")
     # ledger-wide "now" and first timestamp, of all rows (also those without a customer): one scalar subquery
     df = attach_scalars(df, tx, "_glob", F.max("timestamp").alias("now"), F.min("timestamp").alias("first"))
     now = F.col("_glob.now")
@@ -70,7 +81,7 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
         F.coalesce(F.stddev_samp(amt), F.lit(0.0)).alias("std_amount"),
         F.max(amt).alias("max_amount"),
         F.min(amt).alias("min_amount"),
-        (F.median(amt) if cfg.median_accuracy is None
+        (F.median(F.when(F.col("_heavy").isNull(), amt)) if exact
          else F.percentile_approx(amt, 0.5, cfg.median_accuracy).cast("double")).alias("median_amount"),
         # structuring
         F.count_if(near).alias("cash_near_ctr_count"),
@@ -97,6 +108,10 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
             F.size(F.collect_set("counterparty_country")).cast("long").alias("unique_countries"),
         ]
     g = df.groupBy("customer_id").agg(*aggs)
+    if exact:
+        split = exact_quantiles(of_heavy(_ledger(tx), "customer_id", heavy), "amount", [0.5], by=["customer_id"])
+        g = g.join(F.broadcast(split.select("customer_id", F.col("q_0").alias("_split_median"))), "customer_id", "left").withColumn(
+            "median_amount", F.coalesce("_split_median", "median_amount"))
 
     total = F.col("total_transactions")
     span_days = F.greatest(whole_days(F.col("_glob.first"), F.col("_glob.now")), F.lit(1))
@@ -132,30 +147,38 @@ def base_aggregates(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 # ------------------------------------------------------------ A8 / A12 (gaps)
-def gap_extremes(tx: DataFrame) -> DataFrame:
+def gap_units(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """(customer_id, slab, us, n): the times that neighbour each other; a heavy customer's are distinct, with their number."""
+    rows = _ledger(tx).filter(F.col("timestamp").isNotNull()).select("customer_id", _micros(F.col("timestamp")).alias("us"))
+    heavy = heavy_customers(tx, cfg)
+    one = F.lit(1).cast("long").alias("n")
+    others = of_others(rows, "customer_id", heavy).select("customer_id", F.lit(0).alias("slab"), "us", one)
+    hot = with_cuts(of_heavy(rows, "customer_id", heavy), "customer_id", cuts="us")
+    hot = hot.groupBy("customer_id", slab(F.col("cuts"), F.col("us")).alias("slab"), "us").agg(F.count(F.lit(1)).alias("n"))
+    return others.unionByName(hot)
+
+
+def gap_extremes(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Per customer: smallest and largest gap (microseconds) between consecutive rows.
 
-    Two-level: gaps inside each (customer, day), then the gaps across days from the
-    per-day summary. Level one spreads a hot customer across its days.
+    Gaps inside each (customer, slab), then from each slab's last row to the next one's first. Only heavy customers
+    have more than one slab, at most 256.
     """
-    df = _ledger(tx).filter(F.col("timestamp").isNotNull()).select(
-        "customer_id", F.col("timestamp").alias("ts"), F.to_date("timestamp").alias("day"))
-    w1 = Window.partitionBy("customer_id", "day").orderBy("ts")
-    inday = df.withColumn("gap", F.timestamp_diff("MICROSECOND", F.lag("ts").over(w1), F.col("ts")))
-    per_day = inday.groupBy("customer_id", "day").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.min("gap").alias("min_in"), F.max("gap").alias("max_in"))
-    w2 = Window.partitionBy("customer_id").orderBy("day")
-    cross = per_day.withColumn(
-        "cross", F.timestamp_diff("MICROSECOND", F.lag("last_ts").over(w2), F.col("first_ts")))
-    return cross.groupBy("customer_id").agg(
+    inside = Window.partitionBy("customer_id", "slab").orderBy("us")
+    near = gap_units(tx, cfg).withColumn("gap", F.col("us") - F.lag("us").over(inside))
+    ends = near.groupBy("customer_id", "slab").agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.max("gap").alias("max_in"),
+        F.least(F.min("gap"), F.min(F.when(F.col("n") > 1, F.lit(0).cast("long")))).alias("min_in"))
+    across = ends.withColumn("cross", F.col("first") - F.lag("last").over(Window.partitionBy("customer_id").orderBy("slab")))
+    return across.groupBy("customer_id").agg(
         F.least(F.min("min_in"), F.min("cross")).alias("min_gap_us"),
-        F.greatest(F.max("max_in"), F.max("cross")).alias("max_gap_us"))
+        # rows at one and the same time have a gap of zero
+        F.greatest(F.max("max_in"), F.max("cross"), F.min("min_in")).alias("max_gap_us"))
 
 
 def timing_features(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     """A8 min_gap_hours and A12 dormancy_flag (< 2 rows: 999 and 0)."""
-    g = gap_extremes(tx)
+    g = gap_extremes(tx, cfg)
     return g.select(
         "customer_id",
         (F.col("min_gap_us") / F.lit(3.6e9)).alias("min_gap_hours"),
@@ -165,61 +188,98 @@ def timing_features(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 # -------------------------------------------------------- A3 structuring cluster
-ROW, FOLLOWER, PROBE = 0, 1, 2
+ROW, PROBE = 0, 1
+
+
+def cluster_points(tx: DataFrame, cfg: RiskConfig) -> tuple[DataFrame, DataFrame]:
+    """(points, before): rows and probes (customer_id, slab, at, kind, anchor, w), and for heavy customers the rows in
+    earlier slabs (customer_id, slab, before)."""
+    width = cfg.structuring_window_days * MICROS_PER_DAY
+    near = _ledger(tx).filter(near_ctr_flag(cfg) & F.col("timestamp").isNotNull()).select(
+        "customer_id", _micros(F.col("timestamp")).alias("us"))
+    heavy = heavy_customers(tx, cfg)
+    point = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.col("us").alias("anchor"))
+    both = F.explode(F.array(point(F.col("us"), ROW), point(F.col("us") + width, PROBE))).alias("p")
+    one = of_others(near, "customer_id", heavy).select("customer_id", F.lit(0).alias("slab"), F.lit(1).cast("long").alias("w"), both).select(
+        "customer_id", "slab", "w", "p.*")
+    hot = of_heavy(near, "customer_id", heavy).groupBy("customer_id", "us").agg(F.count(F.lit(1)).alias("w"))
+    # rows and probes are cut together, so that no slab is full of probes
+    hot = with_cuts(hot.select("customer_id", "w", both).select("customer_id", "w", "p.*"), "customer_id", cuts="at")
+    cut = hot.select("customer_id", slab(F.col("cuts"), F.col("at")).alias("slab"), "w", "at", "kind", "anchor")
+    totals = cut.where(F.col("kind") == ROW).groupBy("customer_id", "slab").agg(F.sum("w").alias("w"))
+    # a probe may lie in a slab without rows: every slab number gets its sum
+    every = totals.groupBy("customer_id").agg(F.collect_list(F.struct("slab", "w")).alias("sums")).select(
+        "customer_id", "sums", F.explode(F.sequence(F.lit(0), F.lit(CUTS))).alias("slab"))
+    before = every.select("customer_id", "slab", F.aggregate(
+        F.filter("sums", lambda x: x["slab"] < F.col("slab")), F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("before"))
+    return one.unionByName(cut), before
 
 
 def structuring_cluster(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Max number of near-threshold cash rows in any [t, t + window] (both ends
     inclusive), anchored at each such row. One row -> 1.
 
-    Rows are bucketed by window-length buckets; every row also counts in the previous
-    bucket, so each anchor's window lives in one partition. Running counts at the
-    anchor and at a probe at its window's end give the window's count: one sort, no
-    frame is ever re-counted.
+    The count is a difference of two running counts of the customer's rows: up to a probe at the window's end, and
+    before the anchor. Heavy customers' running counts are made per slab and the earlier slabs' rows (at most 1,024
+    customers by 256 slabs) added from a broadcast.
     """
     if "is_cash" not in tx.columns:
         return tx.filter(F.lit(False)).select("customer_id", F.lit(0).cast("bigint").alias("structuring_cluster_max"))
-    width = cfg.structuring_window_days * MICROS_PER_DAY
-    near = _ledger(tx).filter(near_ctr_flag(cfg) & F.col("timestamp").isNotNull()).select(
-        "customer_id", _micros(F.col("timestamp")).alias("us"))
-    us, b0 = F.col("us"), F.floor(F.col("us") / F.lit(width))
-    point = lambda bucket, at, kind: F.struct(bucket.alias("bucket"), at.alias("at"), F.lit(kind).alias("kind"), us.alias("anchor"))
-    # one scan: a row counts in its own bucket and the one before; a probe at the window's end reads the count there
-    points = near.select("customer_id", F.explode(F.array(
-        point(b0, us, ROW), point(b0 - 1, us, FOLLOWER), point(b0, us + F.lit(width), PROBE))).alias("p")).select("customer_id", "p.*")
-    running = Window.partitionBy("customer_id", "bucket").orderBy("at", F.col("kind") == PROBE).rowsBetween(Window.unboundedPreceding, 0)
-    counted = points.withColumn("n", F.count_if(F.col("kind") != PROBE).over(running))
-    each = counted.groupBy("customer_id", "bucket", "anchor").agg(
-        F.max(F.when(F.col("kind") == PROBE, F.col("n"))).alias("upto"), F.min(F.when(F.col("kind") == ROW, F.col("n"))).alias("first"))
-    return each.groupBy("customer_id").agg(F.max(F.col("upto") - F.col("first") + 1).alias("structuring_cluster_max"))
+    points, before = cluster_points(tx, cfg)
+    is_row = F.col("kind") == ROW
+    running = Window.partitionBy("customer_id", "slab").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.withColumn("n", F.sum(F.when(is_row, F.col("w")).otherwise(0)).over(running)).join(
+        F.broadcast(before), ["customer_id", "slab"], "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0)))
+    each = counted.groupBy("customer_id", "anchor").agg(
+        F.max(F.when(~is_row, F.col("n"))).alias("upto"), F.min(F.when(is_row, F.col("n") - F.col("w"))).alias("earlier"))
+    return each.groupBy("customer_id").agg(F.max(F.col("upto") - F.col("earlier")).alias("structuring_cluster_max"))
 
 
 # ------------------------------------------------------------ A11 rapid movement
+def rapid_points(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """(customer_id, bucket, x, y, kind): outs, and what each deposit asks of its own and the next 24-hour bucket.
+
+    In its own bucket a deposit counts the outs after it, in the next one those up to its time a bucket later; y is an
+    out's amount or the least amount that a deposit counts.
+    """
+    width = cfg.rapid_hours * 3600 * 1_000_000
+    amt, us = F.col("amount"), F.col("us")
+    df = _ledger(tx).filter(F.col("timestamp").isNotNull() & ~F.isnan("amount"))
+    is_dep = (F.col("transaction_type") == "deposit") & (amt >= cfg.rapid_min_deposit)
+    # an out that any deposit counts is at least ratio * min_deposit (pushed to the scan)
+    is_out = F.col("transaction_type").isin("transfer", "wire_transfer") & (amt >= cfg.rapid_ratio * cfg.rapid_min_deposit)
+    bucket = F.floor(us / F.lit(width))
+    point = lambda b, x, y, kind: F.struct(b.alias("bucket"), x.alias("x"), y.cast("double").alias("y"), F.lit(kind).alias("kind"))
+    least = amt * F.lit(cfg.rapid_ratio)
+    asks = F.when(is_dep, F.array(point(bucket, us, least, AFTER), point(bucket + 1, us + F.lit(width), least, BEFORE))).otherwise(
+        F.array(point(bucket, us, amt, OUT)))
+    return df.filter(is_dep | is_out).withColumn("us", _micros(F.col("timestamp"))).select("customer_id", F.explode(asks).alias("p")).select("customer_id", "p.*")
+
+
 def rapid_movement(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Pairs (deposit >= rapid_min_deposit, transfer/wire out) of one customer with
     dep.ts < out.ts <= dep.ts + rapid_hours and out.amount >= rapid_ratio * dep.amount.
 
-    Range join: both sides carry a bucket of width ``rapid_hours``; a deposit meets
-    outs in its own and the next bucket (equi-keys), the residual predicate is exact.
+    Counted per (customer, 24-hour bucket) without listing pairs. A heavy customer's points are cut by time and by
+    amount into slabs: pairs inside a time slab, pairs across time slabs inside an amount slab, and pairs across
+    both, which need only the numbers of points per cell (at most 256 by 256 a bucket).
     """
-    width = cfg.rapid_hours * 3600 * 1_000_000
-    df = _ledger(tx).filter(F.col("timestamp").isNotNull())
-    dep = df.filter((F.col("transaction_type") == "deposit") & (F.col("amount") >= cfg.rapid_min_deposit)
-                    & ~F.isnan("amount")).select(
-        F.col("customer_id").alias("d_cust"), _micros(F.col("timestamp")).alias("d_us"),
-        F.col("amount").alias("d_amt"))
-    dep = dep.withColumn("d_bucket", F.explode(F.array(
-        F.floor(F.col("d_us") / F.lit(width)), F.floor(F.col("d_us") / F.lit(width)) + 1)))
-    # exact pre-filter: a qualifying out is at least ratio * min_deposit (pushed to the scan)
-    outs = df.filter(F.col("transaction_type").isin("transfer", "wire_transfer")
-                     & (F.col("amount") >= cfg.rapid_ratio * cfg.rapid_min_deposit) & ~F.isnan("amount")).select(
-        F.col("customer_id").alias("o_cust"), _micros(F.col("timestamp")).alias("o_us"),
-        F.col("amount").alias("o_amt"))
-    outs = outs.withColumn("o_bucket", F.floor(F.col("o_us") / F.lit(width)))
-    pairs = dep.join(outs, (dep.d_cust == outs.o_cust) & (dep.d_bucket == outs.o_bucket)
-                     & (outs.o_us > dep.d_us) & (outs.o_us <= dep.d_us + F.lit(width))
-                     & (outs.o_amt >= dep.d_amt * F.lit(cfg.rapid_ratio)), "inner")
-    return pairs.groupBy(F.col("d_cust").alias("customer_id")).agg(F.count(F.lit(1)).alias("rapid_movement_count"))
+    points = rapid_points(tx, cfg)
+    heavy = heavy_customers(tx, cfg)
+    one = F.lit(1).cast("long").alias("w")
+    zero = F.lit(0).alias("slab")
+    others = of_others(points, "customer_id", heavy).select("*", zero, one)
+    hot = with_cuts(of_heavy(points, "customer_id", heavy), "customer_id", x_cuts="x", y_cuts="y").select(
+        "customer_id", "bucket", "x", "y", "kind", slab(F.col("x_cuts"), F.col("x")).alias("xs"), slab(F.col("y_cuts"), F.col("y")).alias("ys"))
+    near = others.unionByName(hot.select("customer_id", "bucket", "x", "y", "kind", F.col("xs").alias("slab"), one))
+    wide = hot.select("customer_id", "bucket", F.col("ys").alias("slab"), F.col("xs").alias("x"), "y", "kind", one)
+    cells = hot.groupBy("customer_id", "bucket", "xs", "ys", "kind").agg(F.count(F.lit(1)).alias("w")).select(
+        "customer_id", "bucket", F.col("xs").alias("x"), F.col("ys").alias("y"), "kind", "w")
+    unit = ["customer_id", "bucket"]
+    found = count_pairs(near, [*unit, "slab"], "customer_id").unionByName(
+        count_pairs(wide, [*unit, "slab"], "customer_id", strict_x=True)).unionByName(
+        count_pairs(cells, unit, "customer_id", strict_x=True, strict_y=True))
+    return found.groupBy("customer_id").agg(F.sum("pairs").alias("rapid_movement_count")).where("rapid_movement_count > 0")
 
 
 # ------------------------------------------------------------- A19/A20 enrichment

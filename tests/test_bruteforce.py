@@ -50,30 +50,83 @@ def brute(rows, cfg):
     return out
 
 
-def test_skew_safe_features_equal_brute_force(spark, ledger):
-    cfg = RiskConfig(rapid_min_deposit=5000.0, dormancy_days=3)
-    tx = spark.createDataFrame(ledger, SCHEMA)
-    ref = brute(ledger, cfg)
+def one_day(n=900):
+    """One customer with most rows, all within a day, some at the very same time; few others."""
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 3, 5)
+    rows = []
+    for i in range(n):
+        cust = f"C{i % 9}" if i % 8 == 0 else "HOT"
+        ts = t0 + dt.timedelta(microseconds=rng.choice([5, rng.randint(0, 30), rng.randint(0, 86_399_999_999)]))
+        rows.append((f"t{i}", cust, ts, rng.choice([9000.0, 6000.0, round(rng.uniform(5000, 30000), 2)]),
+                     rng.choice(["deposit", "deposit", "transfer", "wire_transfer", "withdrawal"]), rng.random() < 0.6))
+    return rows
+
+
+def days_apart(n=600):
+    """Several days and week borders, so that windows reach over slabs and buckets."""
+    rng = random.Random(5)
+    t0 = dt.datetime(1969, 12, 20)
+    return [(f"t{i}", "HOT" if i % 3 else f"C{i % 7}", t0 + dt.timedelta(hours=rng.randint(0, 40 * 24)), rng.choice([8000.0, 9999.99, 10000.0, 14000.0, 20000.0]),
+             rng.choice(["deposit", "transfer", "wire_transfer"]), rng.random() < 0.5) for i in range(n)]
+
+
+def median_of(rows, cust):
+    return pd.Series([r[3] for r in rows if r[1] == cust]).median()
+
+
+@pytest.mark.parametrize("heavy_rows", [100_000, 20, 0], ids=["whole", "hot-cut", "all-cut"])
+@pytest.mark.parametrize("rows", ["mixed", "one-day", "days"])
+def test_skew_safe_features_equal_brute_force(spark, ledger, rows, heavy_rows):
+    data = {"mixed": ledger, "one-day": one_day(), "days": days_apart()}[rows]
+    cfg = RiskConfig(rapid_min_deposit=5000.0, dormancy_days=3, heavy_rows=heavy_rows)
+    tx = spark.createDataFrame(data, SCHEMA)
+    ref = brute(data, cfg)
     cl = {r[0]: r[1] for r in A.structuring_cluster(tx, cfg).collect()}
     rp = {r[0]: r[1] for r in A.rapid_movement(tx, cfg).collect()}
     tm = {r["customer_id"]: r for r in A.engineer_features(tx, None, cfg, graph=False).collect()}
+    assert set(tm) == set(ref)
     for c, want in ref.items():
         assert cl.get(c) == want["cluster"], c
         assert rp.get(c, 0) == want["rapid"], c
         assert tm[c]["min_gap_hours"] == pytest.approx(want["min_gap_h"]), c
         assert tm[c]["dormancy_flag"] == want["dormant"], c
+        assert tm[c]["median_amount"] == pytest.approx(median_of(data, c)), c
     assert ref["HOT"]["rapid"] > 0 and ref["HOT"]["cluster"] > 3
 
 
-def test_hot_customer_windows_are_split(spark, ledger):
-    """The gap and cluster windows spread the hot customer: no window partition holds all its rows."""
+def test_heavy_customers_are_found_and_few(spark):
+    tx = spark.range(30_000).selectExpr("case when id % 3 = 0 then 'HOT' else concat('C', id) end as customer_id")
+    assert [r[0] for r in A.heavy_customers(tx, RiskConfig(heavy_rows=100)).collect()] == ["HOT"]
+    assert A.heavy_customers(tx, RiskConfig()).count() == 0
+    even = spark.range(60_000).selectExpr("cast(id % 3000 as string) as customer_id")   # nobody has one row in 1,024
+    assert A.heavy_customers(even, RiskConfig(heavy_rows=0)).count() == 0
+
+
+def test_no_unit_holds_a_heavy_customer(spark):
+    """A third of the ledger belongs to one customer on one day: what meets in one window, measured on the frames."""
     from pyspark.sql import functions as F
-    tx = spark.createDataFrame(ledger, SCHEMA)
-    hot = tx.filter("customer_id = 'HOT'")
-    total = hot.count()
-    per_day = hot.groupBy(F.to_date("timestamp")).count().agg(F.max("count")).first()[0]
-    assert per_day < total / 10
-    for df in (A.timing_features(tx, RiskConfig()), A.structuring_cluster(tx, RiskConfig())):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        windows = [line for line in plan.split("\n") if " Window " in line or line.strip(" +-:").startswith("Window ")]
-        assert windows and any("day" in w or "bucket" in w for w in windows)
+
+    from ledgerlens.functions import dominance
+
+    tx = spark.range(60_000).selectExpr(
+        "cast(id as string) as transaction_id", "case when id % 3 = 0 then 'HOT' else concat('C', id % 5000) end as customer_id",
+        "timestampadd(MICROSECOND, case when id % 3 = 0 then xxhash64(id) % 40000000000 else id * 1000000 end, timestamp_ntz'2024-03-05 12:00:00') as timestamp",
+        "8000.0D + abs(xxhash64(id, 1)) % 1999 as amount", "case when id % 2 = 0 then 'deposit' else 'transfer' end as transaction_type", "true as is_cash")
+    cfg = RiskConfig(heavy_rows=1000, rapid_min_deposit=5000.0)
+    largest = lambda df, *unit: df.groupBy(*unit).count().agg(F.max("count")).first()[0]
+    assert largest(A.gap_units(tx, cfg), "customer_id", "slab") < 20_000 / 100
+    assert largest(A.cluster_points(tx, cfg)[0], "customer_id", "slab") < 2 * 20_000 / 100
+    seen = []
+    real = dominance.count_pairs
+
+    def spy(points, unit, *a, **k):
+        seen.append((points, unit))
+        return real(points, unit, *a, **k)
+    A.count_pairs, keep = spy, A.count_pairs
+    try:
+        total = A.rapid_movement(tx, cfg).where("customer_id = 'HOT'").first()[1]
+    finally:
+        A.count_pairs = keep
+    assert total > 20_000 and len(seen) == 3 and all(largest(p, *u) < 20_000 / 50 for p, u in seen[:2])
+    assert largest(seen[2][0], *seen[2][1]) <= 3 * 256 * 256

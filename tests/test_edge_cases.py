@@ -66,7 +66,7 @@ def test_min_gap_across_days(spark):
     rows = [("A", dt.datetime(2024, 1, 1, 23, 59), 1.0, "deposit"),
             ("A", dt.datetime(2024, 1, 2, 0, 1), 1.0, "deposit"),
             ("A", dt.datetime(2024, 1, 2, 5, 0), 1.0, "deposit")]
-    g = A.gap_extremes(ledger(spark, rows)).first()
+    g = A.gap_extremes(ledger(spark, rows), RiskConfig()).first()
     assert g["min_gap_us"] == 2 * 60 * 1_000_000
 
 
