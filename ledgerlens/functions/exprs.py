@@ -21,12 +21,18 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return out
 
 
+def attach(df: DataFrame, name: str, scalar: Column) -> DataFrame:
+    """``df`` with a scalar subquery as column ``name``, planned once however often the column is read.
+
+    A plain projection would be copied into every expression that reads a field of it, each copy a subquery of its
+    own; a generator of one row is no projection. No join, no collect.
+    """
+    return df.select("*", F.explode(F.array(scalar)).alias(name))
+
+
 def attach_scalars(df: DataFrame, agg_of: DataFrame, name: str, *aggs: Column) -> DataFrame:
-    """Attach one-row aggregates of ``agg_of`` to every row of ``df`` as struct column
-    ``name``. The aggregates form ONE scalar subquery referenced once (Spark plans
-    every reference to a scalar subquery separately), so downstream expressions read
-    ``name.field`` instead of re-running the aggregate. No join, no collect."""
-    return df.withColumn(name, agg_of.select(F.struct(*aggs)).scalar())
+    """Attach one-row aggregates of ``agg_of`` to every row of ``df`` as struct column ``name``: one scalar subquery."""
+    return attach(df, name, agg_of.select(F.struct(*aggs)).scalar())
 
 
 def known_number(c: Column) -> Column:

@@ -17,7 +17,7 @@ buffer -- for a ledger-wide quantile that is the whole column in one task. Here:
 4. linear interpolation lo + (h - k) (hi - lo) (numpy/pandas "linear").
 
 Two reads of the data. Further aggregates (``extra``) ride along in the first. A global
-quantile reads its one-row bracket frame as a scalar subquery referenced once (no join).
+quantile reads its one-row bracket frame as a scalar subquery planned once (no join).
 """
 
 from __future__ import annotations
@@ -29,15 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .exprs import attach
+
 DEFAULT_ACCURACY = 100_000
 WIDE_MARGINS = (0.01, 0.1)
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = DEFAULT_ACCURACY, extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                    accuracy: int = DEFAULT_ACCURACY, extra: dict[str, Callable[[Column], Column]] | None = None,
+                    clip: Column | None = None) -> DataFrame:
     """Per group (``by``; empty = one global row): columns ``q_0 .. q_{m-1}``
     (exact, linearly interpolated), ``n`` (count without nulls and NaN) and the ``extra``
-    aggregates of the values by name. No row without values."""
+    aggregates of the values by name. No row without values. With ``clip`` (a scalar) the quantiles are those of the
+    values cut off above it, and it is returned as column ``clip``: cutting off keeps the order, so it is enough to
+    cut the order statistics."""
     keys = list(by)
     eps = 1.0 / accuracy
     vals = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
@@ -69,7 +74,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     if keys:
         j = vals.join(st, keys, "inner")   # group-level frame: AQE broadcasts it when small
     else:                                 # one row: a scalar subquery referenced once, no join
-        j = vals.withColumn("_st", st.select(F.struct("n", *more, *ends)).scalar())
+        j = attach(vals, "_st", st.select(F.struct("n", *more, *ends)).scalar())
         j = j.select("_x", *[F.col(f"_st.{c}").alias(c) for c in ["n", *more, *ends]])
     value = lambda i: F.when(F.col("_x") <= F.col(f"_hi{i}"), F.struct(
         F.lit(i).alias("_qi"), F.when(F.col("_x") >= F.col(f"_lo{i}"), F.col("_x")).alias("_v")))
@@ -82,6 +87,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     res = vc.groupBy(*keys, "_qi").agg(
         F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("_v"))).alias("_v1"),
         F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("_v"))).alias("_v2"), F.any_value("_h").alias("_h"), *ride)
+    if clip is not None:
+        res = attach(res, "clip", clip).withColumns({"_v1": F.least("_v1", "clip"), "_v2": F.least("_v2", "clip")})
+        ride = [*ride, F.any_value("clip").alias("clip")]
     res = res.withColumn("_q", F.col("_v1") + (F.col("_h") - F.floor("_h")) * (F.col("_v2") - F.col("_v1")))
     return res.groupBy(*keys).agg(*[F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(f"q_{i}") for i in range(len(qs))], *ride) \
         .filter(F.col("n").isNotNull())

@@ -53,9 +53,9 @@ def by_dates(df: DataFrame, start: Optional[str] = None, end: Optional[str] = No
 
 
 def by_amount(df: DataFrame, lo: Optional[float] = None, hi: Optional[float] = None) -> DataFrame:
-    """min/max amount, both inclusive, each optional."""
-    if lo is not None:
-        df = df.filter(F.col("amount") >= lo)
+    """min/max amount, both inclusive, each optional. A NaN amount is missing: no bound keeps it."""
+    if lo is not None:   # Spark sorts NaN above every number
+        df = df.filter((F.col("amount") >= lo) & ~F.isnan(F.col("amount").cast("double")))
     if hi is not None:
         df = df.filter(F.col("amount") <= hi)
     return df

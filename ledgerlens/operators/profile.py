@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..functions.exprs import attach_scalars, is_high_risk, known_number
+from ..functions.exprs import attach, attach_scalars, is_high_risk, known_number
 from ..functions.quantiles import exact_quantiles
 
 
@@ -28,6 +28,28 @@ def overview(tx: DataFrame, customers: Optional[DataFrame] = None) -> DataFrame:
     return out.withColumn("customer_rows", n_cust.cast("bigint") if customers is not None else F.lit(0).cast("bigint"))
 
 
+SKETCH_LG_K = 12
+
+
+def daily_sketches(tx: DataFrame, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """P1, mergeable: (day, rows, first, last, customers) with a distinct-count sketch per day (2^lg_k registers).
+
+    Written per day, the overview of a growing ledger needs only the new days' rows; rows without a time are day null.
+    """
+    return tx.groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        F.hll_sketch_agg(F.col("customer_id").cast("string"), F.lit(lg_k)).alias("customers"))
+
+
+def overview_of_sketches(days: DataFrame) -> DataFrame:
+    """P1 from ``daily_sketches`` of any days, also of several writes of one day: the customer count is an estimate with a
+    relative error of about 1 / sqrt(2^lg_k) (1.6 % by default); the rest is exact."""
+    return days.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_transactions"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("customers")), F.lit(0)).alias("unique_customers_estimate"),
+        F.min("first").alias("first_timestamp"), F.max("last").alias("last_timestamp"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, nulls) for every column, from one aggregation."""
     wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
@@ -38,7 +60,7 @@ def describe(df: DataFrame, col: str = "amount", decimals: int = 2) -> DataFrame
     """Count, mean, sample std, min, linear quartiles, max; rounded."""
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75], extra={"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     names = {"mean": "mean", "std": "std", "min": "min", "p25": "q_0", "p50": "q_1", "p75": "q_2", "max": "max"}
-    one = df.sparkSession.range(1).withColumn("_q", q.select(F.struct("n", *names.values())).scalar())   # a row even without values
+    one = attach(df.sparkSession.range(1), "_q", q.select(F.struct("n", *names.values())).scalar())   # a row even without values
     return one.select(F.coalesce("_q.n", F.lit(0)).alias("count"), *[F.round(F.col(f"_q.{c}"), decimals).alias(k) for k, c in names.items()])
 
 
@@ -60,41 +82,40 @@ def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None, clip: Option
         bounds = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")) if lo is None or hi is None else spark.range(1)
         bounds = bounds.select("lo" if lo is None else F.lit(float(lo)).alias("lo"), "hi" if hi is None else F.lit(float(hi)).alias("hi"),
                                F.lit(None).cast("double").alias("clip"))
-    scalar = bounds.select(F.struct("lo", "hi", "clip")).scalar()
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull()).withColumn("_b", scalar)
+    vals = attach(df.select(x.alias("x")).filter(F.col("x").isNotNull()), "_b", bounds.select(F.struct("lo", "hi", "clip")).scalar())
     vals = vals.withColumn("x", F.least(F.col("x"), F.col("_b.clip")))
-    allb = spark.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("_b", scalar)
     lo_c, hi_c = F.col("_b.lo"), F.col("_b.hi")
+    b = F.when((F.col("x") < lo_c) | (F.col("x") > hi_c), None).when(lo_c == hi_c, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("x") - lo_c) / (hi_c - lo_c) * bins), F.lit(bins - 1)).cast("int"))
+    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.any_value("_b").alias("_b"))
+    # at most bins + 1 rows become one, with the bounds; the bins are read from it
+    one = counts.agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("m"), F.any_value("_b").alias("_b"))
+    edge = lambda given, own: F.lit(float(given)) if given is not None else own
+    lo_c, hi_c = edge(lo, lo_c), edge(hi, hi_c)
     width = hi_c - lo_c
-    inrange = vals.filter((F.col("x") >= lo_c) & (F.col("x") <= hi_c))
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - lo_c) / width * bins), F.lit(bins - 1)).cast("int"))
-    counts = inrange.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return allb.join(counts, "bin", "left").select(
+    return one.select("m", "_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
         "bin", (lo_c + width * F.col("bin") / bins).alias("bin_lo"),
         (lo_c + width * (F.col("bin") + 1) / bins).alias("bin_hi"),
-        F.coalesce(F.col("n"), F.lit(0)).alias("count"))
+        F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).alias("count"))
 
 
 def box_stats(df: DataFrame, by: str = "transaction_type", col: str = "amount", clip_upper=None) -> DataFrame:
     """P5: per group q1/median/q3, whiskers at the most extreme points within
-    1.5 IQR of the box, and the number of points beyond them."""
-    x = F.col(col).cast("double")
-    if clip_upper is not None:
-        x = F.least(x, clip_upper)
-    v = df.select(F.col(by).alias("grp"), x.alias("x")).filter(F.col("x").isNotNull())
-    q = exact_quantiles(v, "x", [0.25, 0.5, 0.75], by=["grp"])
-    q = q.select("grp", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
+    1.5 IQR of the box, and the number of points beyond them. NaN counts as missing."""
+    v = df.select(F.col(by).alias("grp"), known_number(F.col(col).cast("double")).alias("x")).filter(F.col("x").isNotNull())
+    q = exact_quantiles(v, "x", [0.25, 0.5, 0.75], by=["grp"], clip=clip_upper)
+    q = q.select("grp", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"),
+                 (F.col("clip") if clip_upper is not None else F.lit(None).cast("double")).alias("clip"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     # one row per group: AQE broadcasts it when small (few groups), else shuffles on the key
-    j = v.join(q, "grp")
+    j = v.join(q, "grp").withColumn("x", F.least("x", "clip"))
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
-    w = j.groupBy("grp").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
+    box = [F.any_value(c).alias(c) for c in ("q1", "median", "q3")]
+    w = j.groupBy("grp").agg(*box, F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
                              F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
                              F.count_if(~inside).alias("outliers"))
-    return q.join(w, "grp").select(F.col("grp").alias(by), "q1", "median", "q3", "whisker_lo", "whisker_hi",
-                                   "outliers")
+    return w.select(F.col("grp").alias(by), "q1", "median", "q3", "whisker_lo", "whisker_hi", "outliers")
 
 
 def value_counts(df: DataFrame, col: str, share: bool = False, top: Optional[int] = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RULE_OWNED_COLUMNS, RiskConfig
-from ..functions.exprs import attach_scalars, clip, numeric_columns
+from ..functions.exprs import attach, attach_scalars, clip, numeric_columns
 
 
 def ml_features(feat: DataFrame) -> list[str]:
@@ -58,7 +58,7 @@ def contamination_cut(df: DataFrame, col: str, contamination: float) -> DataFram
     ``col`` (lower = more anomalous) are anomalies. Returns (threshold, anomalies)."""
     c = min(max(contamination, 0.01), 0.3)
     from ..functions.quantiles import exact_quantiles
-    d = df.withColumn("_q", exact_quantiles(df, col, [c]).select(F.struct(F.col("q_0").alias("thr"))).scalar())
+    d = attach(df, "_q", exact_quantiles(df, col, [c]).select(F.struct(F.col("q_0").alias("thr"))).scalar())
     return d.agg(F.count_if(F.col(col) < F.col("_q.thr")).alias("anomalies"),
                  F.any_value("_q.thr").alias("threshold")).select(
         "threshold", "anomalies", F.lit(c).alias("contamination"))

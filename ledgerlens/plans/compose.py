@@ -14,7 +14,7 @@ from ..operators.explain import flagged_entities
 from ..operators.features import engineer_features
 from ..operators.filters import apply_filters
 from ..operators.risk import classify_risk
-from ..functions.exprs import numeric_columns
+from ..functions.exprs import known_number, numeric_columns
 from ..operators.scoring import detect_anomalies, rule_terms
 
 
@@ -41,15 +41,15 @@ def analyse(tx: DataFrame, customers: Optional[DataFrame], cfg: RiskConfig, meth
 def threshold_customers(tx: DataFrame, n: int, min_amount: Optional[float] = None,
                         max_amount: Optional[float] = None, cash_only: bool = False) -> DataFrame:
     """Q1: per customer rows with min <= amount < max (optional cash only), kept when >= n.
-    0 is a real bound here (the reference treated it as unset)."""
+    0 is a real bound here (the reference treated it as unset). NaN amounts count as missing."""
     df = tx.filter(F.col("customer_id").isNotNull())
     if max_amount is not None:
         df = df.filter(F.col("amount") < max_amount)
     if min_amount is not None:
-        df = df.filter(F.col("amount") >= min_amount)
+        df = df.filter((F.col("amount") >= min_amount) & ~F.isnan(F.col("amount").cast("double")))
     if cash_only:
         df = df.filter(F.coalesce(F.col("is_cash"), F.lit(False)))
-    g = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount").alias("total_amount"))
+    g = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("txn_count"), F.sum(known_number(F.col("amount"))).alias("total_amount"))
     return g.filter(F.col("txn_count") >= n)
 
 

@@ -346,3 +346,65 @@ def test_cycles_match_naive_enumeration_with_a_hub(spark):
             for n in c:
                 per[n] = per.get(n, 0) + 1
         assert {r["node"]: r["cycles"] for r in G.cycle_counts(e, k).collect()} == per, k
+
+
+def test_nan_amounts_are_missing_in_filters_thresholds_and_boxes(spark):
+    import numpy as np
+
+    from ledgerlens.operators import filters, profile
+    from ledgerlens.plans.compose import threshold_customers
+
+    nan = float("nan")
+    rows = [("a", "deposit", 50.0), ("a", "deposit", 60.0), ("a", "deposit", 100.0), ("a", "deposit", nan), ("a", "deposit", None), ("b", "wire", nan)]
+    df = spark.createDataFrame(rows, "customer_id string, transaction_type string, amount double").withColumn("is_cash", F.lit(True))
+    assert sorted(r.amount for r in filters.by_amount(df, lo=55).collect()) == [60.0, 100.0]
+    assert sorted(r.amount for r in filters.by_amount(df, hi=70).collect()) == [50.0, 60.0]
+    assert sorted(r.amount for r in filters.by_amount(df, lo=55, hi=70).collect()) == [60.0]
+    assert [tuple(r) for r in threshold_customers(df, 1, min_amount=55).collect()] == [("a", 2, 160.0)]
+    assert {r.customer_id: r.total_amount for r in threshold_customers(df, 1).collect()} == {"a": 210.0, "b": None}
+    box = {r.transaction_type: r for r in profile.box_stats(df).collect()}
+    assert set(box) == {"deposit"} and (box["deposit"].q1, box["deposit"].median, box["deposit"].q3, box["deposit"].outliers) == (55.0, 60.0, 80.0, 0)
+    clip = profile.clip_bound(df, q=0.5, cap=50000.0)
+    got = profile.box_stats(df, clip_upper=clip).first()
+    cut = np.minimum([50.0, 60.0, 100.0], 60.0)
+    assert [got.q1, got.median, got.q3] == list(np.quantile(cut, [0.25, 0.5, 0.75])) and (got.whisker_lo, got.whisker_hi, got.outliers) == (50.0, 60.0, 0)
+
+
+def test_histograms_keep_empty_bins_and_bounds(spark):
+    from ledgerlens.operators import profile
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.5,), (9.0,), (float("nan"),), (None,)], "amount double")
+    got = [(r.bin, r.bin_lo, r.bin_hi, r["count"]) for r in profile.histogram(df, "amount", 4).orderBy("bin").collect()]
+    assert got == [(0, 1.0, 3.0, 3), (1, 3.0, 5.0, 0), (2, 5.0, 7.0, 0), (3, 7.0, 9.0, 1)]
+    got = [(r.bin_lo, r["count"]) for r in profile.histogram(df, "amount", 2, lo=0, hi=4).orderBy("bin").collect()]
+    assert got == [(0.0, 1), (2.0, 2)]
+    assert [(r.bin_lo, r["count"]) for r in profile.histogram(df.where("amount > 100"), "amount", 2, lo=0, hi=4).orderBy("bin").collect()] == [(0.0, 0), (2.0, 0)]
+    assert [(r.bin_lo, r["count"]) for r in profile.histogram(df.where("amount is null"), "amount", 2).collect()] == [(None, 0), (None, 0)]
+
+
+@pytest.mark.parametrize("key", ["hist_amount", "box_by_type"])
+def test_quantile_plans_read_the_ledger_a_few_times(spark, key):
+    """Scalar subqueries are planned once: the ledger's three tables are read at most six times each."""
+    import __spark_entry__ as E
+
+    plan = E.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") < 20
+
+
+def test_daily_sketches_merge_to_the_overview(spark):
+    from ledgerlens.operators import profile
+
+    tx = spark.range(200_000).selectExpr("id as transaction_id", "concat('C', id % 30000) as customer_id",
+                                         "timestampadd(HOUR, cast(id % 600 as int), timestamp_ntz'2024-01-01 00:00:00') as timestamp")
+    days = profile.daily_sketches(tx)
+    assert days.count() == 25
+    late = profile.daily_sketches(tx.where("transaction_id < 1000"))
+    exact = profile.overview(tx).first()
+    for merged, n in ((days, 200_000), (days.unionByName(late), 201_000)):
+        r = profile.overview_of_sketches(merged).first()
+        assert r.total_transactions == n and abs(r.unique_customers_estimate - 30_000) < 30_000 * 3 / 64
+        assert (r.first_timestamp, r.last_timestamp) == (exact.first_timestamp, exact.last_timestamp)
+    coarse = profile.overview_of_sketches(profile.daily_sketches(tx, lg_k=8)).first()
+    assert abs(coarse.unique_customers_estimate - 30_000) < 30_000 * 4 / 16
+    none = profile.overview_of_sketches(profile.daily_sketches(tx.where("false"))).first()
+    assert (none.total_transactions, none.unique_customers_estimate) == (0, 0)
