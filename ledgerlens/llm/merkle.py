@@ -6,7 +6,7 @@ ones become their H, a last lone one its own. The groups' roots, in the order of
 
 ``manifest`` builds the levels and stores them. Levels are built by pages of ``PAGE`` children, ``HEIGHT`` levels at
 once; a node row links a page's child to the page's top (its parent in the next stored level) and holds the siblings on
-the way. ``climb`` is a Spark recursive query that starts with one row per leaf, folds the digest presented now with
+the way, in a group's last page those through the top tree as well. ``climb`` is a Spark recursive query that starts with one row per leaf, folds the digest presented now with
 the siblings of each node row and appends them, until no parent is left. ``check`` compares the result with the root.
 
 Defined cases: a null field is ``-``, every other its length in UTF-8 bytes, a colon and its value, so null, empty and
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.positions import ranked
 from ledgerlens.llm.sparkops import settle
 
-HEIGHT = 6
+HEIGHT = 9
 PAGE = 1 << HEIGHT
-BLOCK_BITS = 9
+#: leaves that share a key of the climb
+BLOCK_BITS = HEIGHT
 BLOCK = 1 << BLOCK_BITS
-#: the level of the step from a group's root through the top tree
+#: the level of the step from a one-page group's root through the top tree
 TOP = 1000
 
 
@@ -98,41 +99,46 @@ def _build(leaves: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
         level = _tops(pages).where(f"n > {PAGE}").select(
             "tree", "n0", F.ceil(F.col("n") / PAGE).alias("n"), F.col("page").alias("idx"), "digest", F.lit(None).cast("int").alias("own"))
         pages = _pages(level)
-        span = HEIGHT * k - BLOCK_BITS     # a node covers 2 to the span blocks of leaves, or shares a block
+        span = HEIGHT * k - BLOCK_BITS     # a node stands above 2 to the span blocks of leaves
         last = F.shiftright(F.col("n0") - 1, BLOCK_BITS)
-        blocks = (F.array(F.shiftright("idx", -span)) if span <= 0 else
-                  F.sequence(F.shiftleft("idx", span), F.least(last, F.shiftleft(F.col("idx") + 1, span) - 1)))
-        rows = _climbers(pages).select(F.lit(k).alias("k"), "tree", "idx", F.explode(blocks).alias("block"), F.col("idx").alias("place"), "path",
-                                       F.when(F.col("n") > PAGE, F.lit(k + 1)).otherwise(F.lit(TOP)).alias("up"))
+        blocks = F.sequence(F.shiftleft("idx", span), F.least(last, F.shiftleft(F.col("idx") + 1, span) - 1))
+        rows = _climbers(pages).select(F.lit(k).alias("k"), "tree", "idx", F.explode(blocks).alias("block"), F.col("idx").alias("right"), "path",
+                                       F.when(F.col("n") > PAGE, F.lit(k + 1)).alias("up"))
         nodes = rows if nodes is None else nodes.unionByName(rows)
         roots = roots.select("tree", "n0", "digest").unionByName(_tops(pages).where(f"n <= {PAGE}").select("tree", "n0", "digest"))
     return start, nodes, roots.select("tree", "n0", "digest")
 
 
-def _fold(digest: Column, path: Column, place: Column) -> Column:
-    steps = F.transform(path, lambda s, l: F.struct(s.alias("s"), F.call_function("shiftright", place, l.cast("int")).bitwiseAND(F.lit(1)).alias("right")))
+def _joined(path: Column) -> Column:
+    """The siblings of a path as one binary."""
+    return F.aggregate(F.filter(path, lambda x: x.isNotNull()), F.expr("X''"), lambda a, x: F.concat(a, x))
+
+
+def _fold(digest: Column, path: Column, right: Column) -> Column:
+    steps = F.transform(path, lambda s, l: F.struct(s.alias("s"), F.call_function("shiftright", right, l.cast("int")).bitwiseAND(F.lit(1)).alias("right")))
     return F.aggregate(steps, digest, lambda h, x: _hash(F.when(x["s"].isNull(), h).when(x["right"] == 1, F.concat(x["s"], h)).otherwise(F.concat(h, x["s"]))))
 
 
-#: the climb; shiftright finds the node above a leaf, the block keeps every join key small
+#: the climb; shiftright finds the node above a leaf, the block keeps every join key small. A set bit l of ``right`` says
+#: that the climber is the right one of its pair in the path's level l; ``add`` is what the node appends to the way.
 _CLIMB = f"""
-WITH RECURSIVE climb (own, tree, pos, k, folded, path) AS (
-  SELECT own, tree, pos, k, folded, path FROM {{start}}
+WITH RECURSIVE climb (own, tree, pos, k, folded, way) AS (
+  SELECT own, tree, pos, k, folded, way FROM {{start}}
   UNION ALL
   SELECT c.own, c.tree, c.pos, n.up,
-         aggregate(transform(n.path, (s, l) -> struct(s, shiftright(n.place, l) & 1L AS r)), c.folded, (h, x) -> unhex(sha2(lower(hex(
+         aggregate(transform(n.path, (s, l) -> struct(s, shiftright(n.right, l) & 1L AS r)), c.folded, (h, x) -> unhex(sha2(lower(hex(
            CASE WHEN x.s IS NULL THEN h WHEN x.r = 1L THEN concat(x.s, h) ELSE concat(h, x.s) END)), 256))),
-         concat(c.path, n.path)
+         concat(c.way, n.add)
   FROM climb c JOIN {{nodes}} n
   ON n.k = c.k AND n.tree = c.tree AND n.block = shiftright(c.pos, {BLOCK_BITS})
      AND n.idx = CASE WHEN c.k = {TOP} THEN 0L ELSE shiftright(c.pos, {HEIGHT} * c.k) END
 )
-SELECT own, tree, pos, folded, path FROM climb WHERE k IS NULL LIMIT ALL
+SELECT own, tree, pos, folded, way FROM climb WHERE k IS NULL LIMIT ALL
 """
 
 
 def climb(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(own, tree, pos, folded, path): every start row (own, tree, pos, k, folded, path) at the top of its way."""
+    """(own, tree, pos, folded, way): every start row (own, tree, pos, k, folded, way) at the top of its way."""
     return start.sparkSession.sql(_CLIMB, start=start, nodes=nodes)
 
 
@@ -158,12 +164,10 @@ def _one_tree(rows: DataFrame) -> tuple[DataFrame, str | None]:
     one = ranked(rows, [], ["tree"]).select(F.lit("").alias("tree"), "pos", "size", "digest", F.struct("tree", "n0", "digest").alias("own"))
     start, nodes, roots = _forest(one)
     top = roots.select(F.lower(F.hex("digest"))).first()
-    ways = start.select("own", "tree", "pos", "k", F.col("digest").alias("folded"), "path")
-    if nodes is None:     # at most one page of groups: their own page leads to the root
-        ways = ways.drop("k")
-    else:
-        ways = climb(ways, settle(nodes.withColumn("up", F.when(F.col("up") != TOP, F.col("up")))))
-    return ways.select("own.tree", "own.n0", "own.digest", "pos", "path"), top[0] if top else None
+    ways = start.select("own", "tree", "pos", "k", F.col("digest").alias("folded"), F.col("path").alias("way"))
+    if nodes is not None:     # with more than a page of groups, their own page does not lead to the root yet
+        ways = climb(ways, settle(nodes.withColumn("add", F.col("path"))))
+    return ways.select("own.tree", "own.n0", "own.digest", "pos", F.col("way").alias("path")), top[0] if top else None
 
 
 def manifest(docs: DataFrame, fields: Sequence[str], id_col: str, group_col: str, presented: dict[str, Column] | None = None) -> Manifest:
@@ -187,10 +191,19 @@ def manifest(docs: DataFrame, fields: Sequence[str], id_col: str, group_col: str
     placed = ranked(rows, ["tree"], ["id", "leaf"])
     start, nodes, roots = _forest(placed.select("tree", "pos", "size", F.col("leaf").alias("digest"), F.struct("id", "now").alias("own")))
     ways, root = _one_tree(roots)
-    top = ways.select(F.lit(TOP).alias("k"), "tree", F.lit(0).cast("long").alias("idx"),
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("n0") - 1, BLOCK_BITS))).alias("block"),
-                      F.col("pos").alias("place"), "path", F.lit(None).cast("int").alias("up"))
-    stored = settle(top if nodes is None else nodes.unionByName(top))
+    # the top tree's path follows a group's last page; one-page groups climb it in a step of its own
+    stored = ways.where(f"n0 <= {PAGE}").select(
+        F.lit(TOP).alias("k"), "tree", F.lit(0).cast("long").alias("idx"), F.lit(0).cast("long").alias("block"), F.col("pos").alias("right"), "path",
+        F.lit(None).cast("int").alias("up"))
+    if nodes is not None:
+        above = ways.select(F.col("tree").alias("t"), F.col("pos").alias("rank"), F.col("path").alias("top"))
+        at_end = F.col("up").isNull()
+        whole = nodes.join(above, F.col("tree") == F.col("t")).select(
+            "k", "tree", "idx", "block",
+            F.when(at_end, F.col("right").bitwiseOR(F.call_function("shiftleft", F.col("rank"), F.size("path")))).otherwise(F.col("right")).alias("right"),
+            F.when(at_end, F.concat("path", "top")).otherwise(F.col("path")).alias("path"), "up")
+        stored = stored.unionByName(whole)
+    stored = settle(stored.withColumn("add", _joined(F.col("path"))))
     groups = ways.select("tree", F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).alias("group"), F.col("n0").alias("n_leaves"),
                          F.lower(F.hex("digest")).alias("subroot"))
     return Manifest(start, stored, settle(groups), root)
@@ -199,14 +212,14 @@ def manifest(docs: DataFrame, fields: Sequence[str], id_col: str, group_col: str
 def check(m: Manifest) -> DataFrame:
     """(id, group, leaf, subroot, root, proof, folded_root, verified): each leaf as presented now against the root.
 
-    ``proof`` holds the siblings' hex digests from the leaf's level to the root's, left out where a node was alone.
+    ``proof`` is the siblings' hex digests, 64 characters each, from the leaf's level to the root's; a node alone has none.
     """
     start = m.leaves.select(F.struct(F.col("own.id").alias("id"), F.col("digest").alias("leaf")).alias("own"), "tree", "pos", "k",
-                            _fold(F.coalesce("own.now", "digest"), F.col("path"), F.col("pos")).alias("folded"), "path")
+                            _fold(F.coalesce("own.now", "digest"), F.col("path"), F.col("pos")).alias("folded"), _joined(F.col("path")).alias("way"))
     hexed = lambda c: F.lower(F.hex(c))
     top = climb(start, m.nodes).join(m.roots.select(F.col("tree").alias("t"), "group", "subroot"), F.col("tree") == F.col("t"))
     return top.select("own.id", "group", hexed(F.col("own.leaf")).alias("leaf"), "subroot", F.lit(m.root).alias("root"),
-                      F.transform(F.filter("path", lambda x: x.isNotNull()), hexed).alias("proof"), hexed(F.col("folded")).alias("folded_root")
+                      hexed("way").alias("proof"), hexed(F.col("folded")).alias("folded_root")
                       ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
@@ -215,7 +228,7 @@ def op12(spark, sf_dir: str) -> DataFrame:
     struck = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
     m = manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang",
                  presented={"n_chars": F.col("n_chars") + F.when(struck, F.lit(1)).otherwise(F.lit(0))})
-    return check(m).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"),
+    return check(m).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
                            "folded_root", "verified")
 
 

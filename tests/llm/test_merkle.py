@@ -47,7 +47,7 @@ def plain(rows, tampered):
             h = leaf(tampered(r))
             for s, right in way:
                 h = sha(h) if s is None else sha(s + h) if right else sha(h + s)
-            out.append((r[0], leaf(r), trees[g][-1][0], top[-1][0], tuple(s for s, _ in way if s), h, h == top[-1][0]))
+            out.append((r[0], leaf(r), trees[g][-1][0], top[-1][0], "".join(s for s, _ in way if s), h, h == top[-1][0]))
     return out
 
 
@@ -61,7 +61,7 @@ def run(spark, rows, **extra):
     df = df.withColumns({c: F.lit("clash") for c in ("tree", "pos", "size", "leaf", "own", "path", "k", "r", "_s0", "_read", "digest")})
     hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
     m = merkle.manifest(df, FIELDS, "doc_id", "lang", {"n_chars": F.col("n_chars") + F.when(hit, 1).otherwise(0)})
-    return sorted([(r.id, r.leaf, r.subroot, r.root, tuple(r.proof), r.folded_root, r.verified) for r in merkle.check(m).collect()], key=str)
+    return sorted([(r.id, r.leaf, r.subroot, r.root, r.proof, r.folded_root, r.verified) for r in merkle.check(m).collect()], key=str)
 
 
 def rows_of(n, lang=lambda i: "en"):
@@ -69,27 +69,36 @@ def rows_of(n, lang=lambda i: "en"):
 
 
 @pytest.mark.parametrize("rows", [
-    rows_of(1), rows_of(2), rows_of(3), rows_of(64), rows_of(65), rows_of(130, lambda i: [None, "", "de", "en"][i % 4] if i < 20 else "en"),
+    rows_of(1), rows_of(2), rows_of(3), rows_of(512), rows_of(513), rows_of(130, lambda i: [None, "", "de", "en"][i % 4] if i < 20 else "en"),
     [(None, None, None, None, None), (None, "a", None, 1, ""), (1, "", "", 0, ""), (1, "", "", 0, ""), (1, "", "", 0, "é" * 70000), (-5, "a:", "-", -1, "\n")],
-    rows_of(90, lambda i: f"g{i}"),
+    rows_of(600, lambda i: f"g{i}"),
 ], ids=["one", "two", "three", "page", "page+1", "groups", "odd", "many-groups"])
 def test_proofs_match_the_plain_way(spark, rows):
     assert run(spark, rows) == sorted(plain(rows, struck), key=str)
 
 
-def test_three_stored_levels_and_blocks(spark):
-    """A hot group of three pages' height beside small ones: 4,097 leaves stand below one node in several blocks."""
+def test_stored_levels_and_blocks(spark):
+    """A hot group of several pages beside a small one: its last page stands above several blocks of leaves."""
     rows = rows_of(4300, lambda i: "de" if i % 22 == 3 else "en")
     assert run(spark, rows) == sorted(plain(rows, struck), key=str)
 
 
+def test_three_stored_levels(spark, monkeypatch):
+    """The same with small pages, so that a group needs several rounds, and more groups than a page."""
+    for name, value in (("HEIGHT", 2), ("PAGE", 4), ("BLOCK_BITS", 2), ("BLOCK", 4)):
+        monkeypatch.setattr(merkle, name, value)
+    monkeypatch.setattr(merkle, "_CLIMB", merkle._CLIMB.replace("shiftright(c.pos, 9)", "shiftright(c.pos, 2)").replace("9 * c.k", "2 * c.k"))
+    rows = rows_of(150, lambda i: "en" if i % 2 else f"g{i % 14}")
+    assert run(spark, rows) == sorted(plain(rows, struck), key=str)
+
+
 def test_keys_of_the_climb_stay_small(spark):
     rows = spark.range(5000).select(F.lit("").alias("tree"), F.col("id").alias("pos"), F.lit(5000).cast("long").alias("size"),
                                     F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.lit(1).alias("own"))
     start, nodes, _ = merkle._build(rows)
     assert nodes.groupBy("k", "tree", "idx", "block").count().where("count > 1").count() == 0
     shared = start.join(nodes.select("k", F.col("idx").alias("up_idx"), "block").distinct(), F.expr(
-        "block = shiftright(idx, 9) and up_idx = shiftright(idx, cast(6 * k as int))")).groupBy("k", "up_idx", "block").count()
+        "block = shiftright(idx, 9) and up_idx = shiftright(idx, cast(9 * k as int))")).groupBy("k", "up_idx", "block").count()
     assert shared.agg(F.max("count")).first()[0] <= merkle.BLOCK
 
 
