@@ -24,6 +24,7 @@ from .filters import by_customers
 from ..functions.dominance import AFTER, BEFORE, OUT, count_pairs
 from ..functions.heavy import CUTS, heavy_keys, of_heavy, of_others, slab, with_cuts
 from ..functions.quantiles import exact_quantiles
+from ..session import stored
 from ..functions.exprs import attach_scalars, encode, hours_between, is_high_risk, known_number, whole_days
 
 MICROS_PER_DAY = 86400 * 1_000_000
@@ -314,18 +315,30 @@ BEHAV = ["rapid_movement_count", "dormancy_flag", "unusual_time_pct", "amount_cv
 GRAPH = ["network_pagerank", "network_in_degree", "network_out_degree", "circular_flow_count"]
 
 
+LEDGER_COLUMNS = ["customer_id", "timestamp", "amount", "transaction_type", "counterparty_id", "counterparty_country", "is_cash"]
+
+
+def read_once(tx: DataFrame) -> DataFrame:
+    """The columns that features need, read from the source once and stored; each feature then scans its own few."""
+    return stored(tx.select(F.when(F.col("transaction_id").isNotNull(), 1).alias("transaction_id"),
+                            *[c for c in LEDGER_COLUMNS if c in tx.columns]))
+
+
 def engineer_features(tx: DataFrame, customers: DataFrame | None = None, cfg: RiskConfig = RiskConfig(),
                       feature_set: str = "all", pattern_focus: str | None = None,
                       graph: bool = True, customer_ids=None) -> DataFrame:
     """One row per customer, numeric NULLs filled with 0 (text columns kept).
 
-    ``customer_ids`` (list or frame) restricts the ledger to these customers first."""
+    ``customer_ids`` (list or frame) restricts the ledger to these customers first. Several families, or the graph,
+    share one reading of the source (``read_once``), which runs when the plan is built, as PageRank does."""
     from .graph import graph_features  # local import: graph depends on this module
 
     tx = by_customers(tx, customer_ids)
     fams = set(FAMILIES) if feature_set == "all" else {feature_set} & set(FAMILIES)
     if pattern_focus in FOCUS_FAMILY:
         fams.add(FOCUS_FAMILY[pattern_focus])
+    if graph or len(fams) > 1:
+        tx = read_once(tx)
     base = base_aggregates(tx, cfg)
     has_cash = "is_cash" in tx.columns
     has_country = "counterparty_country" in tx.columns

@@ -11,12 +11,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
-from ..session import ensure_checkpoint_dir
+from ..functions.heavy import heavy_keys
+from ..session import ensure_checkpoint_dir, stored
+
+#: a hub's edges are dealt out to so many blocks
+HUB_BLOCKS = 256
 
 
 def transfer_edges(tx: DataFrame) -> DataFrame:
@@ -38,42 +41,59 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.coalesce("network_out_degree", F.lit(0)).alias("network_out_degree"))
 
 
+def edge_blocks(edges: DataFrame, cfg: RiskConfig) -> tuple[DataFrame, DataFrame]:
+    """(edges with ``block``, hubs): the edges of a source with more than ``cfg.heavy_rows`` and more than one in 1,024
+    of all edges (a hub; at most 1,024 of them) lie in ``HUB_BLOCKS`` blocks by their target, all others' in block 0."""
+    hubs = heavy_keys(edges, "src", cfg.heavy_rows).withColumn("_hub", F.lit(True))
+    block = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(HUB_BLOCKS))).otherwise(F.lit(0)).cast("int")
+    return edges.join(F.broadcast(hubs), "src", "left").select("src", "dst", block.alias("block")), hubs
+
+
 def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """PageRank with uniform teleport and dangling mass spread evenly.
 
-    Iterates until the L1 change is below nodes * ``cfg.pagerank_tol`` (one 1-row aggregate per step; with a damping
+    Iterates until the L1 change is below nodes * ``cfg.pagerank_tol`` (one 1-row aggregate per check; with a damping
     of 0.85 some 90 steps at most). ``cfg.pagerank_iterations`` sets a fixed number of steps instead. Edges are
-    partitioned on their source once, so that no step shuffles them; each step ends in a reliable checkpoint.
+    partitioned on (source, block) once, so that no step shuffles them and no partition holds a hub; a hub's share is
+    sent to each of its blocks. Every ``cfg.pagerank_checkpoint_every`` steps end in a reliable checkpoint, where the
+    change is checked.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = edges.repartition("src").checkpoint()
+    dealt, hubs = edge_blocks(edges, cfg)
+    edges = dealt.repartition("src", "block").checkpoint()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     outd = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
     nodes = nodes.join(outd, "node", "left").select("node", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
-    nodes = nodes.checkpoint()
+    nodes = nodes.join(F.broadcast(hubs.withColumnRenamed("src", "node")), "node", "left").select(
+        "node", "outdeg", F.when(F.col("_hub"), F.lit(HUB_BLOCKS)).otherwise(F.lit(1)).alias("blocks")).checkpoint()
     # node count: one scalar subquery, stored as a constant column in the checkpoint
     nodes = nodes.withColumn("inv_n", F.lit(1.0) / nodes.select(F.count(F.lit(1)).cast("double")).scalar())
     alpha = F.lit(cfg.pagerank_alpha)
     inv_n = F.col("inv_n")
-    rank = nodes.select("node", "outdeg", "inv_n", inv_n.alias("rank"))
+    own = ["node", "outdeg", "blocks", "inv_n"]
+    rank = nodes.select(*own, inv_n.alias("rank"))
     step = 0
     while cfg.pagerank_iterations is None or step < cfg.pagerank_iterations:
         senders = rank.filter(F.col("outdeg") > 0).select(
-            F.col("node").alias("src"), F.try_divide(F.col("rank"), F.col("outdeg")).alias("share"))
-        contrib = edges.join(senders, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
+            F.col("node").alias("src"), F.try_divide(F.col("rank"), F.col("outdeg")).alias("share"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        contrib = edges.join(senders, ["src", "block"]).groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
         dangling = rank.select(F.coalesce(F.sum(F.when(F.col("outdeg") == 0, F.col("rank"))), F.lit(0.0))).scalar()
         new = rank.join(contrib, "node", "left").select(
-            "node", "outdeg", "inv_n",
+            *own,
             (alpha * (F.coalesce(F.col("inflow"), F.lit(0.0)) + dangling * inv_n)
              + (F.lit(1.0) - alpha) * inv_n).alias("rank"),
-            F.col("rank").alias("prev")).checkpoint()
-        rank = new.drop("prev")
+            F.col("rank").alias("prev"))
         step += 1
-        if cfg.pagerank_iterations is None:
-            change, n = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
-            if not n or change < n * cfg.pagerank_tol:
-                break
+        if step % max(cfg.pagerank_checkpoint_every, 1) == 0:
+            new = new.checkpoint()
+            if cfg.pagerank_iterations is None:
+                change, n = new.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.count(F.lit(1))).first()
+                if not n or change < n * cfg.pagerank_tol:
+                    rank = new.drop("prev")
+                    break
+        rank = new.drop("prev")
     return rank.select("node", F.col("rank").alias("network_pagerank"))
 
 
@@ -191,8 +211,8 @@ def circular_flow(edges: DataFrame, max_len: int = 4) -> DataFrame:
 def graph_features(tx: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """A16-A18 keyed by customer_id (nodes that are only counterparties drop out
     at the caller's left join)."""
-    # distinct edges are read by PageRank, degrees and the cycle search: materialise once
-    edges = transfer_edges(tx).persist(StorageLevel.MEMORY_AND_DISK)
+    # distinct edges are read by PageRank, degrees and the cycle search: stored once
+    edges = stored(transfer_edges(tx))
     pr = pagerank(edges, cfg)
     deg = degrees(edges)
     cyc = circular_flow(edges, cfg.cycle_max_len)

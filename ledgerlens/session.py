@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -50,3 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")   # local mode only (tests, laptops)
     sc.setCheckpointDir(configured)
     return configured
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the cluster's shared checkpoint folder and read back: computed once, columns and
+    filters still reach the scan, nothing is lost with an executor. Left there for the cluster's retention."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -408,3 +408,50 @@ def test_daily_sketches_merge_to_the_overview(spark):
     assert abs(coarse.unique_customers_estimate - 30_000) < 30_000 * 4 / 16
     none = profile.overview_of_sketches(profile.daily_sketches(tx.where("false"))).first()
     assert (none.total_transactions, none.unique_customers_estimate) == (0, 0)
+
+
+def _plain_pagerank(edges, steps, alpha=0.85):
+    nodes = {n for e in edges for n in e}
+    out = {n: [d for s, d in edges if s == n] for n in nodes}
+    rank = {n: 1 / len(nodes) for n in nodes}
+    for _ in range(steps):
+        lost = sum(rank[n] for n in nodes if not out[n])
+        new = {n: alpha * lost / len(nodes) + (1 - alpha) / len(nodes) for n in nodes}
+        for n in nodes:
+            for d in out[n]:
+                new[d] += alpha * rank[n] / len(out[n])
+        rank = new
+    return rank
+
+
+@pytest.mark.parametrize("heavy_rows,every", [(100_000, 1), (3, 1), (3, 3)])
+def test_pagerank_with_hub_blocks_matches_the_plain_way(spark, heavy_rows, every):
+    edges = [("hub", f"n{i}") for i in range(40)] + [(f"n{i}", "hub") for i in range(0, 40, 3)] + [(f"n{i}", f"n{i * 7 % 40}") for i in range(1, 30)] + [("hub", "hub")]
+    cfg = RiskConfig(pagerank_iterations=7, heavy_rows=heavy_rows, pagerank_checkpoint_every=every)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.node: r.network_pagerank for r in G.pagerank(df, cfg).collect()}
+    want = _plain_pagerank(edges, 7)
+    assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_no_block_holds_a_hub(spark):
+    edges = spark.range(30_000).selectExpr("case when id % 3 = 0 then -1 else id end as src", "id as dst")
+    dealt, hubs = G.edge_blocks(edges, RiskConfig(heavy_rows=100))
+    assert [r.src for r in hubs.collect()] == [-1]
+    sizes = dealt.groupBy("src", "block").count()
+    assert sizes.agg(F.max("count")).first()[0] < 10_000 / 100 and sizes.where("src = -1").count() == G.HUB_BLOCKS
+    assert dealt.count() == 30_000
+
+
+def test_all_families_read_the_source_once(spark, tmp_path):
+    """By Spark's own records of the jobs: the source table is scanned once, the rest reads the stored columns."""
+    src = str(tmp_path / "ledger")
+    rows = [("A", T0 + dt.timedelta(hours=i), 9000.0 + i, "deposit" if i % 2 else "transfer", "online", "B", "US", True) for i in range(30)]
+    ledger(spark, rows).write.parquet(src)
+    tx = spark.read.parquet(src)
+    plans = []
+    out = A.engineer_features(tx, None, RiskConfig(pagerank_iterations=2))
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any(src in p for p in plans) and out.count() == 1
