@@ -53,7 +53,7 @@ class RiskConfig:
     pep_critical_cut: float = 0.65
     kyc_medium_cut: float = 0.15
     high_risk_countries: Sequence[str] = DEFAULT_HIGH_RISK_COUNTRIES
-    # a customer with more rows than this and than 1 in 1,024 of all rows is cut into slabs (results do not depend on it)
+    # the 1,024 customers at most with the most rows, all above this, are cut into slabs (results do not depend on it)
     heavy_rows: int = 100_000
     # graph
     pagerank_alpha: float = 0.85

@@ -1,9 +1,9 @@
 """Keys with more rows than one task should sort, found by counting and cut into slabs.
 
-A key is heavy when it has more than one in ``HEAVY_KEYS`` of all rows and more than ``at_least`` rows; there can be no
-more than ``HEAVY_KEYS`` such keys, so a frame of them, also with ``CUTS`` cut points each, is safe to broadcast. Every
-other key has at most that share of the rows, which one task holds however large the table grows. Where no key is
-heavy, adaptive execution finds the broadcast side empty and drops the whole branch.
+The ``HEAVY_KEYS`` most frequent keys with more than ``at_least`` rows are heavy. There are no more of them by
+definition, so a frame of them, also with ``CUTS`` cut points each, is safe to broadcast; and no other key can have more
+than one in ``HEAVY_KEYS`` of all rows, which one task holds however large the table grows. Where no key is heavy,
+adaptive execution finds the broadcast side empty and drops the whole branch.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ CUT_ACCURACY = 10_000
 
 def heavy_keys(df: DataFrame, key: str, at_least: int) -> DataFrame:
     """(key): at most ``HEAVY_KEYS`` rows. One count per key, combined map-side."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
-    return counts.where((F.col("_n") > F.lit(at_least)) & (F.col("_n") * HEAVY_KEYS > total)).select(key)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > at_least)
+    return counts.orderBy(F.desc("_n"), key).limit(HEAVY_KEYS).select(key)
 
 
 def of_heavy(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:

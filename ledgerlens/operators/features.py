@@ -42,7 +42,7 @@ def _ledger(tx: DataFrame) -> DataFrame:
 
 
 def heavy_customers(tx: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """Customers with more than ``cfg.heavy_rows`` rows and more than one in 1,024 of all rows."""
+    """The customers, 1,024 at most, with the most rows and more than ``cfg.heavy_rows``."""
     return heavy_keys(_ledger(tx), "customer_id", cfg.heavy_rows)
 
 

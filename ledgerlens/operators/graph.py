@@ -42,8 +42,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def edge_blocks(edges: DataFrame, cfg: RiskConfig) -> tuple[DataFrame, DataFrame]:
-    """(edges with ``block``, hubs): the edges of a source with more than ``cfg.heavy_rows`` and more than one in 1,024
-    of all edges (a hub; at most 1,024 of them) lie in ``HUB_BLOCKS`` blocks by their target, all others' in block 0."""
+    """(edges with ``block``, hubs): the edges of a hub (the 1,024 sources at most with the most edges and more than
+    ``cfg.heavy_rows``) lie in ``HUB_BLOCKS`` blocks by their target, all others' in block 0."""
     hubs = heavy_keys(edges, "src", cfg.heavy_rows).withColumn("_hub", F.lit(True))
     block = F.when(F.col("_hub"), F.pmod(F.xxhash64("dst"), F.lit(HUB_BLOCKS))).otherwise(F.lit(0)).cast("int")
     return edges.join(F.broadcast(hubs), "src", "left").select("src", "dst", block.alias("block")), hubs
@@ -161,50 +161,59 @@ def _down_paths(r: DataFrame) -> DataFrame:
     return down.join(step, "u").filter(_above(F.col("dv"), F.col("v"), F.col("dw"), F.col("w")))
 
 
-def _four_cycle_counts(r: DataFrame) -> DataFrame:
-    """(node, n): 4-cycles through each node, without listing one.
+def _wedge_rows(r: DataFrame) -> DataFrame:
+    """(v, w, c, f, b, e): for each pair with v ranked above w, its centres with flags: f for v -> c -> w, b for
+    w -> c -> v; and rows without centre, e = 1, for an edge w -> v. Wedges are built once, here."""
+    first, second = _four_cycle_halves(r, _down_paths(r))
+    row = lambda df, c, **flags: df.select("v", "w", c.alias("c"), *[F.lit(flags.get(k, 0)).cast("long").alias(k) for k in ("f", "b", "e")])
+    back = r.filter(_above(F.col("dd"), F.col("dst"), F.col("ds"), F.col("src"))).select(F.col("dst").alias("v"), F.col("src").alias("w"))
+    rows = row(first, F.col("u"), f=1).unionByName(row(second, F.col("x"), b=1)).unionByName(
+        row(back, F.lit(None).cast(r.schema["src"].dataType), e=1))
+    return rows.groupBy("v", "w", "c").agg(*[F.max(k).alias(k) for k in ("f", "b", "e")])
+
 
-    With a = the 2-paths v -> u -> w and b = the 2-paths w -> x -> v of a pair (v, w), its cycles number
-    |a| * |b| less those with u = x; a centre u lies in as many as there are x, less one if u is among them.
+def _long_cycle_counts(r: DataFrame, lengths: set[int]) -> DataFrame:
+    """(node, n): cycles of length 3 and 4 through each node, from one pass over the wedges and without listing one.
+
+    Of a pair (v, w), each centre u of v -> u -> w closes a 3-cycle if w -> v is an edge, and a 4-cycle with each
+    centre x of w -> x -> v but itself. The pair's totals join back to its centres; a pair of hubs with very many
+    centres is split by adaptive execution, as nothing is gathered per pair.
     """
-    first, second = _four_cycle_halves(r, _down_paths(r))
-    one = F.count(F.lit(1))
-    a = first.groupBy("v", "w").agg(one.alias("na"))
-    b = second.groupBy("v", "w").agg(one.alias("nb"))
-    both = first.join(second.withColumnRenamed("x", "u"), ["v", "w", "u"])   # centres on both ways
-    same = both.groupBy("v", "w").agg(one.alias("ns"))
-    pair = a.join(b, ["v", "w"]).join(same, ["v", "w"], "left").withColumn(
-        "n", F.col("na") * F.col("nb") - F.coalesce("ns", F.lit(0)))
-    parts = [pair.select(F.col("v").alias("node"), "n"), pair.select(F.col("w").alias("node"), "n"),
-             first.join(b, ["v", "w"]).select(F.col("u").alias("node"), F.col("nb").alias("n")),
-             second.join(a, ["v", "w"]).select(F.col("x").alias("node"), F.col("na").alias("n")),
-             both.select(F.col("u").alias("node"), F.lit(-2).cast("long").alias("n"))]   # once as u, once as x
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("node").agg(F.sum("n").alias("n")).filter("n > 0")
-
-
-def _cycle_counts(r: DataFrame, length: int) -> DataFrame:
-    """(node, n) for one length; 2- and 3-cycles are at most as many as the edges and wedges they come from."""
-    if length == 4:
-        return _four_cycle_counts(r)
-    return cycles(r, length, r).select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    rows = _wedge_rows(r)
+    pairs = rows.groupBy("v", "w").agg(F.sum("f").alias("na"), F.sum("b").alias("nb"), F.max("e").alias("ne")).filter(
+        (F.col("na") > 0) & ((F.col("nb") > 0) | (F.col("ne") > 0)))
+    met = rows.filter(F.col("c").isNotNull()).join(pairs, ["v", "w"])
+    zero = F.lit(0).cast("long")
+    three = F.col("f") * F.col("ne") if 3 in lengths else zero
+    # a centre as u, and the same centre as x: itself is no partner
+    as_u, as_x = (F.col("f") * (F.col("nb") - F.col("b")), F.col("b") * (F.col("na") - F.col("f"))) if 4 in lengths else (zero, zero)
+    parts = F.array(F.struct(F.col("v").alias("node"), (three + as_u).alias("n")), F.struct(F.col("w").alias("node"), (three + as_u).alias("n")),
+                    F.struct(F.col("c").alias("node"), (three + as_u + as_x).alias("n")))
+    return met.select(F.explode(parts).alias("p")).groupBy("p.node").agg(F.sum("p.n").alias("n")).filter("n > 0")
+
+
+def _two_cycle_counts(r: DataFrame) -> DataFrame:
+    return cycles(r, 2).select(F.explode("members").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cycle_counts(edges: DataFrame, length: int) -> DataFrame:
     """Per node: number of simple cycles of exactly this length through it."""
-    return _cycle_counts(_ranked_edges(edges), length).select("node", F.col("n").alias("cycles"))
+    if length not in (2, 3, 4):
+        raise ValueError("cycle length must be 2, 3 or 4")
+    r = _ranked_edges(edges)
+    n = _two_cycle_counts(r) if length == 2 else _long_cycle_counts(r, {length})
+    return n.select("node", F.col("n").alias("cycles"))
 
 
 def circular_flow(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Per node, simple cycles of length 2..max_len through it. The ranked edges are read about a dozen times:
-    checkpointed once (the size of the edge list, not of the ledger)."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    ranked = _ranked_edges(edges).checkpoint()
-    total = _cycle_counts(ranked, 2)
-    for k in range(3, max_len + 1):
-        total = total.unionByName(_cycle_counts(ranked, k))
+    """Per node, simple cycles of length 2..max_len through it. The ranked edges are stored once (the size of the
+    edge list, not of the ledger); wedges are built once for the lengths 3 and 4 together."""
+    if not 2 <= max_len <= 4:
+        raise ValueError("cycles are counted up to a length of 2, 3 or 4")
+    ranked = stored(_ranked_edges(edges))
+    total = _two_cycle_counts(ranked)
+    if max_len > 2:
+        total = total.unionByName(_long_cycle_counts(ranked, set(range(3, max_len + 1))))
     return total.groupBy("node").agg(F.sum("n").alias("circular_flow_count"))
 
 

@@ -99,8 +99,9 @@ def test_heavy_customers_are_found_and_few(spark):
     tx = spark.range(30_000).selectExpr("case when id % 3 = 0 then 'HOT' else concat('C', id) end as customer_id")
     assert [r[0] for r in A.heavy_customers(tx, RiskConfig(heavy_rows=100)).collect()] == ["HOT"]
     assert A.heavy_customers(tx, RiskConfig()).count() == 0
-    even = spark.range(60_000).selectExpr("cast(id % 3000 as string) as customer_id")   # nobody has one row in 1,024
-    assert A.heavy_customers(even, RiskConfig(heavy_rows=0)).count() == 0
+    even = spark.range(60_000).selectExpr("cast(id % 3000 as string) as customer_id")
+    assert A.heavy_customers(even, RiskConfig(heavy_rows=10)).count() == 1024      # the rest have 1 in 1,024 of all rows at most
+    assert A.heavy_customers(even, RiskConfig(heavy_rows=20)).count() == 0
 
 
 def test_no_unit_holds_a_heavy_customer(spark):
