@@ -5,21 +5,24 @@ axis-parallel splits; anomalies have short average path lengths.
 Score s(x) = 2 ** (-E[h(x)] / c(psi)).
 
 Spark shape:
-1. sampling: every row draws, per tree, a seeded 64-bit hash (JVM expression);
-   rows under an oversampling threshold are exploded to (tree, row) and each tree
-   keeps its psi smallest hashes -- an exact without-replacement sample that
-   never moves the feature matrix through one task;
+1. sampling: every row has one hash, and a tree orders the rows by a linear map of it modulo a prime (JVM
+   expressions); rows under an oversampling threshold are exploded to (tree, row) and each tree keeps its psi
+   smallest -- an exact without-replacement sample that never moves the feature matrix through one task;
 2. training: ``groupBy(tree).applyInPandas`` grows each tree from <= 2 psi rows;
 3. model: the node table is bounded by trees * (2 psi - 1) rows regardless of the
    data size (102,200 at the defaults), so it is broadcast to the scorers;
 4. scoring: ``mapInPandas`` walks all trees vectorised per Arrow batch.
 
+Every random choice is an integer of an MD5 of (seed, tree, node), and values are single-precision, so that any engine
+can grow the same forest; the registered keys have an oracle that grows and walks it in SQL.
+
 Trees are invariant to per-column affine maps (split points are drawn uniformly
 between the node's min and max), so D2 scaling is not applied before training.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from typing import Sequence
@@ -51,11 +54,26 @@ def c_factor(n: np.ndarray | float) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Grow one isolation tree; returns node rows (node, feat, thr, left, right, size)."""
+#: a prime; the order of a tree's rows is (a * hash + b) modulo it
+PRIME = 2 ** 31 - 1
+
+
+def _digits(*key) -> str:
+    return hashlib.md5(":".join(map(str, key)).encode()).hexdigest()
+
+
+def _tree_map(seed: int, tree: int) -> tuple[int, int]:
+    return 1 + int(_digits(seed, tree, "a")[:15], 16) % (PRIME - 1), int(_digits(seed, tree, "b")[:15], 16) % PRIME
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, max_depth: int):
+    """Grow one isolation tree; returns node rows (node, feat, thr, left, right, size).
+
+    A node splits the feature and at the fraction that the digits of (seed, tree, place) say; places count as in a
+    heap (the children of p are 2 p and 2 p + 1)."""
     nodes = []
 
-    def build(idx: np.ndarray, depth: int) -> int:
+    def build(idx: np.ndarray, depth: int, place: int) -> int:
         me = len(nodes)
         nodes.append(None)
         sub = x[idx]
@@ -67,15 +85,16 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
         if cand.size == 0:
             nodes[me] = (me, -1, 0.0, -1, -1, len(idx))
             return me
-        f = int(cand[rng.integers(cand.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
+        key = _digits(seed, tree, place)
+        f = int(cand[int(key[:8], 16) % cand.size])
+        thr = float(lo[f] + int(key[8:21], 16) / 16 ** 13 * (hi[f] - lo[f]))
         left_mask = sub[:, f] < thr
-        left = build(idx[left_mask], depth + 1)
-        right = build(idx[~left_mask], depth + 1)
+        left = build(idx[left_mask], depth + 1, 2 * place)
+        right = build(idx[~left_mask], depth + 1, 2 * place + 1)
         nodes[me] = (me, f, thr, left, right, len(idx))
         return me
 
-    build(np.arange(x.shape[0]), 0)
+    build(np.arange(x.shape[0]), 0, 1)
     return nodes
 
 
@@ -87,13 +106,14 @@ def fit_forest(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfi
     trees = cfg.forest_trees
     # oversample 2x (plus slack) so each tree almost surely gets psi candidates
     p = min(1.0, (2.0 * psi + 32.0) / max(n, 1))
-    denom = float(2 ** 62)
-    u = lambda t: (F.abs(F.xxhash64(F.col("customer_id"), t, F.lit(cfg.forest_seed))) % F.lit(2 ** 62)) / F.lit(denom)
-    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
-    cand = feat.select(
-        F.col("customer_id"), x.alias("x"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p))).alias("tree"))
-    cand = cand.withColumn("h", F.xxhash64(F.col("customer_id"), F.col("tree"), F.lit(cfg.forest_seed + 1)))
+    maps = [_tree_map(cfg.forest_seed, t) for t in range(trees)]
+    a, b = (F.array(*[F.lit(m[i]).cast("long") for m in maps]) for i in (0, 1))
+    own = F.conv(F.substring(F.md5(F.col("customer_id").cast("string")), 1, 15), 16, 10).cast("long") % PRIME
+    place = lambda t: (F.col("_own") * F.get(a, t) + F.get(b, t)) % PRIME
+    x = F.array(*[F.coalesce(F.col(c).cast("float").cast("double"), F.lit(0.0)) for c in cols])
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), place(t).alias("h")))
+    cand = feat.select("customer_id", x.alias("x"), own.alias("_own")).select(
+        "customer_id", "x", F.explode(F.filter(drawn, lambda d: d["h"] < math.ceil(p * PRIME))).alias("d")).select("customer_id", "x", "d.*")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     seed = cfg.forest_seed
 
@@ -101,8 +121,7 @@ def fit_forest(feat: DataFrame, cols: Sequence[str], cfg: RiskConfig = RiskConfi
         pdf = pdf.sort_values(["h", "customer_id"]).head(psi)
         t = int(pdf["tree"].iloc[0])
         xs = np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, len(cols)))
-        rng = np.random.default_rng([seed, t])
-        rows = _grow(xs, rng, max_depth)
+        rows = _grow(xs, seed, t, max_depth)
         out = pd.DataFrame(rows, columns=["node", "feat", "thr", "left", "right", "size"])
         out.insert(0, "tree", t)
         return out.astype({"tree": "int32", "node": "int32", "feat": "int32", "left": "int32",
@@ -145,10 +164,11 @@ def isolation_forest_scores(feat: DataFrame, cols: Sequence[str], cfg: RiskConfi
     def score(batches):
         m = bmodel.value
         for pdf in batches:
-            xs = pdf[ncols].astype(float).fillna(0.0).to_numpy()
+            xs = pdf[ncols].astype("float32").astype(float).fillna(0.0).to_numpy()
             e = _path_lengths(xs, m) if len(pdf) else np.zeros(0)
             s = np.power(2.0, -e / cpsi)
-            yield pd.DataFrame({"customer_id": pdf["customer_id"], "raw": -s})
+            # the mean of path lengths depends on the order of its sum in the last bits only
+            yield pd.DataFrame({"customer_id": pdf["customer_id"], "raw": np.round(-s, 12)})
 
     key_type = dict(feat.dtypes)["customer_id"]
     # persisted: the min/max normalisation and the result read it (recomputable on executor loss)

@@ -20,7 +20,7 @@ from ..sources import bindings as B
 from ..sources import io as S
 from . import compose as Q
 from .registry import register
-from .sql import (FEATURE_NUMERIC, classify_ctes, d, feature_ctes, graph_ctes, level_sql, action_sql,
+from .sql import (FEATURE_NUMERIC, classify_ctes, d, feature_ctes, forest_ctes, graph_ctes, level_sql, action_sql,
                   ml_feature_names, rule_score_sql, rule_terms_sql, sentence_sql, standardize_sql, with_, zscore_ctes)
 
 # Static twins of the binding configs for SQL generation (the high-risk set is the `hr` CTE).
@@ -591,12 +591,24 @@ def anomaly_summary(s, sf):
                              cfg_t(s, sf))
 
 
-@register("score_iforest")
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("score_iforest", _recursive(sql_t(*forest_ctes(CFG_T, ML), """SELECT customer_id, isolation_forest_score,
+  isolation_forest_score AS anomaly_score FROM ifs""")), dbl=["isolation_forest_score", "anomaly_score"])
 def score_iforest(s, sf):
     return D.detect_anomalies(FEAT(s, sf), cfg_t(s, sf), method="isolation_forest")
 
 
-@register("full_analysis_ensemble")
+FOREST_ENS_SQL = [*forest_ctes(CFG_T, ML), *ENS_SQL, """sc AS (SELECT en.customer_id, isolation_forest_score, coalesce(zscore_score, 0) AS zscore_score, rule_score,
+  coalesce((0::DOUBLE + isolation_forest_score * 0.3::DOUBLE + zscore_score * 0.25::DOUBLE + rule_score * 0.45::DOUBLE)
+           / (0::DOUBLE + 0.3::DOUBLE + 0.25::DOUBLE + 0.45::DOUBLE), 0) AS ensemble_score FROM en JOIN ifs ON ifs.customer_id = en.customer_id)""",
+                  "sc1 AS (SELECT *, ensemble_score AS anomaly_score FROM sc)"]
+
+
+@register("full_analysis_ensemble", _recursive(sql_t(*FOREST_ENS_SQL, *classify_ctes(CFG_T, "sc1"), "SELECT * FROM cls")),
+          dbl=["isolation_forest_score", "zscore_score", "rule_score", "ensemble_score", "anomaly_score"])
 def full_analysis_ensemble(s, sf):
     _, _, cls = Q.analyse(T(s, sf), C(s, sf), cfg_t(s, sf), method="ensemble", features=FEAT(s, sf))
     return cls
@@ -924,7 +936,9 @@ def amount_stats_filtered(s, sf):
     return P.describe(Fl.apply_filters(T(s, sf), SPEC), "amount")
 
 
-@register("forest_anomalies")
+@register("forest_anomalies", _recursive(sql_t(*forest_ctes(CFG_T, ML), """SELECT quantile_cont(-isolation_forest_score, 0.1) AS threshold,
+  count(*) FILTER (WHERE -isolation_forest_score < (SELECT quantile_cont(-isolation_forest_score, 0.1) FROM ifs)) AS anomalies,
+  CAST(0.1 AS DOUBLE) AS contamination FROM ifs""")), dbl=["threshold", "contamination"])
 def forest_anomalies(s, sf):
     """D5 on the forest scores: threshold and number of anomalies at the clamped contamination."""
     from ..operators.iforest import forest_anomalies as fa, isolation_forest_scores

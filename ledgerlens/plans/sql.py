@@ -275,6 +275,40 @@ def standardize_sql(cols: list[str], src: str = "feat") -> tuple[str, str]:
     return f"st AS (SELECT {stats} FROM {src})", f"SELECT f.customer_id, {body} FROM {src} f CROSS JOIN st"
 
 
+def forest_ctes(cfg: RiskConfig, cols: list[str], src: str = "feat") -> list[str]:
+    """``ifs``: customer_id, isolation_forest_score. Grows the trees level by level and walks them, both by recursion."""
+    prime = 2 ** 31 - 1
+    num = lambda text, start, n: f"CAST('0x' || substr(md5({text}), {start}, {n}) AS BIGINT)"
+    x = ", ".join(f"CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE)" for c in cols)
+    key = f"'{cfg.forest_seed}:' || tree || ':' || node"
+    path = lambda n: f"(CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n} WHEN {n} = 2 THEN 1 ELSE 0 END)"
+
+    def splits(nodes: str) -> str:
+        return f"""SELECT tree, node, c[1 + {num(key, 1, 8)} % len(c)] AS s, {num(key, 9, 13)} / 4503599627370496::DOUBLE AS u FROM (
+    SELECT tree, node, list(struct_pack(f := f, lo := lo, hi := hi) ORDER BY f) AS c FROM (
+      SELECT tree, node, f, min(v) AS lo, max(v) AS hi FROM (SELECT tree, node, unnest(x) AS v, unnest(range(1, {len(cols) + 1})) AS f FROM {nodes}) i
+      GROUP BY tree, node, f HAVING max(v) > min(v)) k GROUP BY tree, node) p"""
+    side = "CASE WHEN {x}[s.f] < s.lo + u * (s.hi - s.lo) THEN 0 ELSE 1 END"
+    return [f"fx AS (SELECT customer_id, [{x}] AS x, {num('CAST(customer_id AS VARCHAR)', 1, 15)} % {prime} AS h FROM {src})",
+            f"""fn AS (SELECT psi, CAST(ceil(log2(greatest(psi, 2))) AS INTEGER) AS deep FROM (
+  SELECT least({cfg.forest_sample}, greatest(count(*), 1)) AS psi FROM fx))""",
+            f"""ft AS (SELECT tree, 1 + {num(f"'{cfg.forest_seed}:' || tree || ':a'", 1, 15)} % {prime - 1} AS a,
+  {num(f"'{cfg.forest_seed}:' || tree || ':b'", 1, 15)} % {prime} AS b FROM (SELECT range AS tree FROM range({cfg.forest_trees})))""",
+            f"""fs AS (SELECT tree, customer_id, x FROM (SELECT tree, customer_id, x,
+  row_number() OVER (PARTITION BY tree ORDER BY (h * a + b) % {prime}, customer_id) AS nth FROM fx, ft), fn WHERE nth <= psi)""",
+            f"""fg AS (SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, x FROM fs
+  UNION ALL SELECT g.tree, 2 * g.node + {side.format(x="g.x")}, g.depth + 1, g.x
+  FROM fg g JOIN ({splits("fg")}) q ON q.tree = g.tree AND q.node = g.node, fn WHERE g.depth < fn.deep)""",
+            f"fq AS ({splits('(SELECT fg.* FROM fg, fn WHERE depth < deep)')})",
+            "fz AS (SELECT tree, node, count(*) AS n FROM fg GROUP BY tree, node)",
+            f"""fw AS (SELECT customer_id, tree, CAST(1 AS BIGINT) AS node, 0 AS depth FROM fx, ft
+  UNION ALL SELECT w.customer_id, w.tree, 2 * w.node + {side.format(x="fx.x")}, w.depth + 1
+  FROM fw w JOIN fq ON fq.tree = w.tree AND fq.node = w.node JOIN fx ON fx.customer_id = w.customer_id)""",
+            f"""fr AS (SELECT customer_id, round(-pow(2::DOUBLE, -avg(depth + {path('coalesce(n, 0)')}) / coalesce(nullif(any_value({path('psi')}), 0), 1)), 12) AS raw
+  FROM (SELECT customer_id, tree, max(node) AS node, max(depth) AS depth FROM fw GROUP BY customer_id, tree) e LEFT JOIN fz USING (tree, node), fn GROUP BY customer_id)""",
+            """ifs AS (SELECT customer_id, 1 - (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER () + 1e-10::DOUBLE) AS isolation_forest_score FROM fr)"""]
+
+
 def level_sql(score: str, cfg: RiskConfig) -> str:
     return (f"CASE WHEN {score} <= {d(cfg.risk_low_upper)} THEN 'low' WHEN {score} <= {d(cfg.risk_medium_upper)} "
             f"THEN 'medium' WHEN {score} <= {d(cfg.risk_high_upper)} THEN 'high' ELSE 'critical' END")
@@ -303,6 +337,6 @@ def classify_ctes(cfg: RiskConfig, scores: str = "sc") -> list[str]:
   FROM cls3 k LEFT JOIN c cu ON cu.customer_id = k.customer_id)"""]
 
 
-__all__ = ["with_", "feature_ctes", "graph_ctes", "zscore_ctes", "rule_score_sql", "rule_terms_sql",
+__all__ = ["with_", "feature_ctes", "forest_ctes", "graph_ctes", "zscore_ctes", "rule_score_sql", "rule_terms_sql",
            "classify_ctes", "sentence_sql", "level_sql", "action_sql", "d", "FB_SQL", "C_SQL", "HR_SQL", "T_SQL", "L_SQL",
            "FEATURE_NUMERIC", "ml_feature_names"]
