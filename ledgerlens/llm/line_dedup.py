@@ -1,15 +1,16 @@
 """Line dedup by overlapping three-line windows (DataFrame functions only).
 
 Every three consecutive lines of a text form a window with a 128-bit hash. A window that occurs more than once
-anywhere keeps its first occurrence (smallest doc_id, then line); each later occurrence covers its three lines;
-covered positions are merged and those lines go.
+anywhere keeps its first occurrence (smallest doc_id, then text hash, then line); each later occurrence covers its three
+lines; covered positions are merged and those lines go.
 
 Defined cases: null text reads as empty; a text of fewer than three lines has no window and stays as it is;
-a window of three blank lines counts for nothing; rows that share a doc_id count as one document (their equal
-positions are one occurrence); a null doc_id is an id of its own that sorts first; an empty table gives an empty
-result; further columns pass through untouched.
+a window of three blank lines counts for nothing; rows equal in doc_id and text are one document (their equal positions
+are one occurrence, and all of them get its marks), rows that only share a doc_id, or have none, are documents of their
+own; a null doc_id sorts first; an empty table gives an empty result; further columns pass through untouched.
 
-Scale: windows shuffle as (hash, hash, doc_id, line) rows; counts combine map-side, so a window that a third of
+Scale: windows shuffle as (hash, hash, doc_id, text hash, line) rows, marks return by (doc_id, text hash), so that many
+rows without an id spread over the cluster; counts combine map-side, so a window that a third of
 all documents share is one row per task; the join back is a plain shuffled join that adaptive execution splits.
 """
 
@@ -25,9 +26,15 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells rows of one doc_id apart; beside the id, 64 bits are plenty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, h1, h2): every window that has a non-blank line."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= WINDOW)
+    """(doc_id, text_hash, line, h1, h2): every window that has a non-blank line."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(F.col(text_col)).alias("text_hash"),
+                       _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= WINDOW)
 
     def window(i: Column) -> Column:
         three = [F.get("lines", i + F.lit(j)) for j in range(WINDOW)]
@@ -36,26 +43,27 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             full = full | (F.trim(F.translate(x, "\r\t", "  ")) != "")
         return F.struct(i.alias("line"), F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit("second"), *three).alias("h2"), full.alias("full"))
 
-    each = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), window)).alias("w"))
-    return each.where("w.full").select("doc_id", "w.line", "w.h1", "w.h2")
+    each = rows.select("doc_id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), window)).alias("w"))
+    return each.where("w.full").select("doc_id", "text_hash", "w.line", "w.h1", "w.h2")
 
 
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, starts): ascending first lines of the windows that occurred before."""
+    """(doc_id, text_hash, starts): ascending first lines of the windows that occurred before."""
     w = windows(docs, id_col, text_col)
-    first = (w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("n"))
-             .where("n > 1").select("h1", "h2", F.col("f.doc_id").alias("d0"), F.col("f.line").alias("l0")))
-    late = w.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("line") == F.col("l0"))))
-    return late.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("starts"))
+    first = (w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("f"), F.count("*").alias("n"))
+             .where("n > 1").select("h1", "h2", F.col("f.doc_id").alias("d0"), F.col("f.text_hash").alias("t0"), F.col("f.line").alias("l0")))
+    late = w.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("text_hash") == F.col("t0")) & (F.col("line") == F.col("l0"))))
+    return late.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` (appended, or replaced where ``docs`` has such a column)."""
     # own columns travel in one struct, so that none of them can clash with a name used here
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"))
-    late = later_windows(docs, id_col, text_col).select(F.col("doc_id").alias("late_id"), "starts")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("th"),
+                      _lines(F.col(text_col)).alias("lines"))
+    late = later_windows(docs, id_col, text_col).select(F.col("doc_id").alias("late_id"), F.col("text_hash").alias("late_th"), "starts")
     lines, marks = F.col("lines"), F.col("marks")
-    marked = own.join(late, F.col("id").eqNullSafe(F.col("late_id")), "left").withColumn("marks", F.concat(
+    marked = own.join(late, F.col("id").eqNullSafe(F.col("late_id")) & (F.col("th") == F.col("late_th")), "left").withColumn("marks", F.concat(
         F.array(F.lit(-WINDOW)), F.coalesce("starts", F.expr("cast(array() as array<int>)")), F.array(F.size(lines))))
     # the kept runs lie between one covered window's end and the next one's start
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks) - 2), lambda j: F.slice(

@@ -1,3 +1,4 @@
+import collections
 """Line, byte and word dedup against plain versions, on the corpus and on odd tables."""
 
 import hashlib
@@ -62,6 +63,26 @@ def test_lines_odd(odd, none):
     assert out.where("doc_id = 15").first().kept_text == "a\nb\nc"
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows without an id, or with the same one, are documents of their own: no unique line goes, one copy stays."""
+    rows = [(None, "x1\nx2\nx3\nx4"), (None, "x1\nx2\nx3\nx5"), (None, "u1\nu2\nu3\nu4"), (7, "v1\nv2\nv3\nv4"), (7, "w0\nv2\nv3\nv4"), (7, "w1\nw2\nw3\nw4"),
+            (8, "z\nz\nz\nz"), (8, "z\nz\nz\nz")]
+    got = collections.Counter((r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[None, "u1\nu2\nu3\nu4"] == got[7, "w1\nw2\nw3\nw4"] == 1 and got[8, "z"] == 2
+    nulls = sorted(t for (i, t), n in got.items() if i is None and not t.startswith("u"))
+    assert nulls in (["x1\nx2\nx3\nx4", "x5"], ["x1\nx2\nx3\nx5", "x4"])
+    assert sorted(t for (i, t), n in got.items() if i == 7 and not t.startswith("w1")) in (["v1", "w0\nv2\nv3\nv4"], ["v1\nv2\nv3\nv4", "w0"])
+
+
+def test_line_marks_of_many_rows_without_an_id_spread(spark):
+    """A third of all rows has no id: what meets in a task by (id, text hash) stays small."""
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then null else id end as doc_id", "concat('a\nb\nc\nown ', id) as text")
+    marks = line_dedup.later_windows(rows)
+    assert marks.where("doc_id is null").count() > 900 and marks.groupBy("doc_id", "text_hash").count().where("count > 1").count() == 0
+    kept = line_dedup.dedup_lines(rows)
+    assert kept.where("n_removed = 0").count() == 1 and kept.where("kept_text like 'own %'").count() == 2999
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_bytes_and_words_odd(odd, none, hot, monkeypatch):
     if hot:   # every anchor is hot: all blocks are single windows, results are the same
