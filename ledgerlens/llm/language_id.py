@@ -36,7 +36,8 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 #: a text below this score is rejected by ``identified``
 MIN_SCORE = 0.2
-SLICE = 1 << 22
+#: bytes of text whose derived arrays a task holds at once (or one longer text)
+SLICE = 1 << 19
 
 #: fixed values: first code points of script blocks (a block reaches to the next), Unicode
 SCRIPTS = [("latin", 0x41), ("greek", 0x370), ("cyrillic", 0x400), ("armenian", 0x530), ("hebrew", 0x590), ("arabic", 0x600),
@@ -113,8 +114,11 @@ def _trigrams(clean: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return ((g * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.int64), heads
 
 
-def _lower(texts) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+def _lower_slices(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, lower-cased UTF-8 bytes, offsets of the rows in them); no batch is copied whole."""
+    for i, j, _, _ in text_slices(texts, SLICE):
+        low = pc.utf8_lower(pc.fill_null(texts.slice(i, j - i).cast(pa.large_string()), ""))
+        yield from ((i, j, data, offs) for _, _, data, offs in text_slices(low, 1 << 62))
 
 
 class Model:
@@ -195,7 +199,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             names, which = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
             total: dict[tuple[int, int], int] = {}
-            for i, j, data, offs in text_slices(_lower(b.column(1)), SLICE):
+            for i, j, data, offs in _lower_slices(b.column(1)):
                 clean, starts, ends, row, letters = _words(data, offs)
                 if not len(starts):
                     continue
@@ -227,7 +231,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         names = [*m.langs, UND]
         span = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for b in batches:
-            for i, j, data, offs in text_slices(_lower(b.column(1)), SLICE):
+            for i, j, data, offs in _lower_slices(b.column(1)):
                 top, score, (starts, ends, row, lang) = m.label(data, offs)
                 at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lang[1:] != lang[:-1])]) if len(row) else np.zeros(0, int)
                 last = np.r_[at[1:], len(row)][: len(at)] - 1
@@ -250,7 +254,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", min_score:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, j, data, offs in text_slices(_lower(b.column(at)), SLICE):
+            for i, j, data, offs in _lower_slices(b.column(at)):
                 top, score, _ = shared.value.label(data, offs)
                 keep[i:j] = (top >= 0) & (score >= min_score)
             yield b.filter(pa.array(keep))
