@@ -385,9 +385,10 @@ FEATURE_DBL = {"total_amount": 4, "avg_amount": 6, "cash_near_ctr_total": 4, "tx
 
 
 def _feat_key(key: str, cols: list[str], graph: bool = False, customers: bool = False, digits: int = 6,
-              src: str = "t", family: str | None = None):
+              src: str = "t", family: str | None = None, heavy_rows: int | None = None):
     """A feature key. With ``family`` it computes only that family (plus the core
-    aggregation that defines the customer rows); otherwise it reads the full matrix."""
+    aggregation that defines the customer rows); otherwise it reads the full matrix.
+    ``heavy_rows`` lets customers with more rows be cut into slabs, which changes no result."""
     dbl = [(c, FEATURE_DBL[c]) for c in cols if c in FEATURE_DBL]
     cfg = CFG_T if src == "t" else CFG_L
     sql = sql_t(f"SELECT customer_id, {', '.join(cols)} FROM feat", graph=graph, customers=customers, cfg=cfg, src=src)
@@ -395,7 +396,8 @@ def _feat_key(key: str, cols: list[str], graph: bool = False, customers: bool =
     def fn(s, sf):
         if family is not None:
             tx, c = (T(s, sf), cfg_t(s, sf)) if src == "t" else (L(s, sf), cfg_l(s, sf))
-            f = _m(s, sf, f"FAM_{src}_{family}_{customers}", lambda: A.engineer_features(
+            c = c if heavy_rows is None else c.with_(heavy_rows=heavy_rows)
+            f = _m(s, sf, f"FAM_{src}_{family}_{customers}_{heavy_rows}", lambda: A.engineer_features(
                 tx, C(s, sf) if customers else None, c, feature_set=family, graph=False))
             return f.select("customer_id", *cols)
         return (FEAT(s, sf) if src == "t" else FEAT_L(s, sf)).select("customer_id", *cols)
@@ -431,6 +433,14 @@ _feat_key("feat_dormancy_l", ["dormancy_flag"], src="l", family="behavioral")
 _feat_key("feat_structuring_cluster_l", ["structuring_cluster_max", "cash_near_ctr_count"], src="l",
           family="structuring")
 
+# the same features with many customers cut into slabs: the way of a customer with very many rows, on whole tables
+_feat_key("feat_core_cut", A.CORE, family="core", heavy_rows=60)
+_feat_key("feat_timing_cut", ["mean_gap_hours", "min_gap_hours"], family="velocity", heavy_rows=60)
+_feat_key("feat_dormancy_cut_l", ["dormancy_flag"], src="l", family="behavioral", heavy_rows=40)
+_feat_key("feat_structuring_cluster_cut_l", ["structuring_cluster_max", "cash_near_ctr_count"], src="l", family="structuring", heavy_rows=40)
+_feat_key("feat_rapid_movement_cut", ["rapid_movement_count"], family="behavioral", heavy_rows=60)
+_feat_key("feat_rapid_movement_cut_l", ["rapid_movement_count"], src="l", family="behavioral", heavy_rows=40)
+
 
 @register("feature_alerts", sql_t("""SELECT count(*) FILTER (WHERE cash_near_ctr_count >= 3) AS structuring_suspects,
   count(*) FILTER (WHERE rapid_movement_count > 0) AS rapid_suspects,
