@@ -3,6 +3,8 @@ semantics are SQL-expressible, the DuckDB oracle for the same answer."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import profile as P
 from ..operators import risk as R
 from ..operators import sampling as M
 from ..operators import scoring as D
+from ..session import ensure_checkpoint_dir
 from ..sources import bindings as B
 from ..sources import io as S
 from . import compose as Q
@@ -887,6 +890,42 @@ def stratified_sample(s, sf):
     return M.stratified_sample(T(s, sf), target=2000, seed=42)
 
 
+@register("sample_below_positives", sql_plain(B.T_SQL, f"""rk AS (SELECT *, row_number() OVER (ORDER BY {SAMPLE_HASH}, transaction_id) AS nth
+  FROM t WHERE ground_truth_pattern IS DISTINCT FROM 'none')""", "SELECT * EXCLUDE (nth) FROM rk WHERE nth <= 7"), dbl=["amount"], digits=2)
+def sample_below_positives(s, sf):
+    """M2: a target below the number of positives picks among them and no other row."""
+    return M.stratified_sample(T(s, sf), target=7, seed=42)
+
+
+@register("sample_without_truth", sql_plain(B.T_SQL, f"""rk AS (SELECT *, row_number() OVER (ORDER BY {SAMPLE_HASH}, transaction_id) AS nth FROM t)""",
+    "SELECT * EXCLUDE (nth, ground_truth_flag, ground_truth_pattern) FROM rk WHERE nth <= 500"), dbl=["amount"], digits=2)
+def sample_without_truth(s, sf):
+    """M3: without truth columns every row is a normal one."""
+    return M.stratified_sample(T(s, sf).drop("ground_truth_flag", "ground_truth_pattern"), target=500, seed=42)
+
+
+def _scratch(s) -> str:
+    """A new path in the cluster's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(s).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+
+
+@register("write_sample", sql_plain(B.L_SQL, """SELECT transaction_id, customer_id, "timestamp", amount, is_cash FROM l"""), dbl=["amount"], digits=2)
+def write_sample(s, sf):
+    """S3: a table written and read again."""
+    path = _scratch(s)
+    S.write_sample(L(s, sf).select("transaction_id", "customer_id", "timestamp", "amount", "is_cash"), path)
+    return s.read.parquet(path)
+
+
+@register("feedback_log", sql_plain(B.FB_SQL, """SELECT "timestamp", CAST(entity_id AS VARCHAR) AS entity_id, decision FROM fb"""))
+def feedback_log(s, sf):
+    """Decisions appended in two writes, the log read back."""
+    path = _scratch(s)
+    for part in ("decision = 'Confirm'", "decision <> 'Confirm'"):
+        S.append_feedback(FB(s, sf).where(part), path)
+    return S.read_feedback(s, path)
+
+
 @register("stratified_sample_counts", sql_plain(B.T_SQL, """SELECT class, rows FROM (
   SELECT 'positive' AS class, least(count(*), 2000) AS rows FROM t WHERE ground_truth_pattern IS DISTINCT FROM 'none'
   UNION ALL

@@ -485,3 +485,11 @@ def test_cycle_counts_match_enumeration(spark, seed, nodes, edges):
     for top in (2, 3, 4):
         total = sum((want[k] for k in range(2, top + 1)), collections.Counter())
         assert {r.node: r.circular_flow_count for r in G.circular_flow(df, top).collect()} == dict(total)
+
+
+def test_samples_of_rows_without_a_key_are_exact_and_repeatable(spark):
+    df = spark.range(3000).selectExpr("case when id % 3 > 0 then id end as transaction_id", "cast(id as string) as note", "'none' as ground_truth_pattern")
+    picks = [sorted(r.note for r in M.stratified_sample(df.repartition(n), target=700).collect()) for n in (2, 7)]
+    assert picks[0] == picks[1] and len(picks[0]) == len(set(picks[0])) == 700
+    without = sum(int(x) % 3 == 0 for x in picks[0])
+    assert 150 < without < 320     # a third of the rows has no key: they are picked like any other
