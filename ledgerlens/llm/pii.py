@@ -1,10 +1,12 @@
 """Personal data by anchor expansion: an Aho-Corasick pass finds cues, local parsers expand and validate them.
 
-One automaton holds every cue: the at-sign, URL schemes, the plus sign, digits, and identifier words. A cue's
-parser looks only at the characters around it, so the work is linear in the text even where a backtracking
+One automaton holds every cue: the at-sign, URL schemes, the plus sign, digits, identifier words, and the signs of an
+assignment. A cue's parser looks only at the characters around it, so the work is linear in the text even where a backtracking
 pattern would be quadratic. Base kinds follow fixed patterns (leftmost, non-overlapping per kind; a match that
 fails its check is dropped without a retry): email, ip, card, phone. The method adds: url (scheme cue) and
-account (identifier cue followed by a separator and a value; an IBAN must pass its mod-97 check).
+account (identifier cue followed by a separator and a value; an IBAN, also in groups of four, must pass its mod-97
+check; the value of an assignment whose name speaks of a key, secret, token or password, or that is long and mixed
+enough to be one whatever its name). A value is taken whole, however long.
 
 Defined cases: null text reads as empty; every row gives a row, repeated rows and null ids included; ties in the
 span order go by kind as listed; an empty table gives an empty result; further columns are never read.
@@ -33,13 +35,19 @@ _DIGITS = re.compile(r"[0-9]+")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE_TAIL = re.compile(r"[ ().0-9-]+")
 _URL_TAIL = re.compile(r"[^\s<>\"']+")
-_VALUE = re.compile(r"\s{0,3}(?:[:=#]|no\.?|is)?\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9-]{4,63})")
+_VALUE = re.compile(r"\s{0,3}(?:[:=#]|no\.?|is)?\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_.-]*)")
+_IBAN_VALUE = re.compile(r"\s{0,3}(?:[:=#]|no\.?|is)?\s{0,3}[\"']?([A-Z]{2}[0-9]{2}(?: [A-Z0-9]{1,4}){2,8})")
+_ASSIGNED = re.compile(r"[ \t]{0,3}[\"']?([A-Za-z0-9_+/~][A-Za-z0-9_.+/=~!@#$%^&*-]*)")
+#: names of secrets, and how long and mixed a value under another name must be
+_SECRET_NAME = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer", re.I)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+SECRET_LENGTH, NAMED_LENGTH = 24, 6
 
 
 def cue_automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     cues = [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"),
-            *((s, "scheme") for s in SCHEMES), *((w, "identifier") for x in IDENTIFIERS for w in (x, x.upper(), x.capitalize()))]
+            ("=", "assign"), (":", "assign"), *((s, "scheme") for s in SCHEMES), *((w, "identifier") for x in IDENTIFIERS for w in (x, x.upper(), x.capitalize()))]
     for cue, kind in cues:
         auto.add_word(cue, (kind, len(cue)))
     auto.make_automaton()
@@ -63,6 +71,39 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _account(text: str, cue: str, last: int) -> tuple[int, int] | None:
+    """The value after an identifier word."""
+    if cue == "iban" and (value := _IBAN_VALUE.match(text, last + 1)):
+        groups = value[1].split(" ")      # a following word may look like one more group
+        for n in range(len(groups), 2, -1):
+            whole = " ".join(groups[:n])
+            if iban(whole.replace(" ", "")):
+                return value.start(1), value.start(1) + len(whole)
+    value = _VALUE.match(text, last + 1)
+    token = value[1].rstrip("-._") if value else ""
+    if len(token) >= 5 and (iban(token) if cue == "iban" else sum("0" <= c <= "9" for c in token) >= 4):
+        return value.start(1), value.start(1) + len(token)
+    return None
+
+
+def _secret(text: str, at: int) -> tuple[int, int, bool] | None:
+    """The value of an assignment, and whether its name or its look says that it is a secret."""
+    stop = at
+    while stop > 0 and at - stop < 3 and text[stop - 1] in " \t\"'":
+        stop -= 1
+    start = stop
+    while start > 0 and text[start - 1] in _NAME:
+        start -= 1
+    value = start < stop and _ASSIGNED.match(text, at + 1)
+    if not value:
+        return None
+    token = value[1].rstrip(".-!*&")
+    digits, letters = sum("0" <= c <= "9" for c in token), sum(c.isalpha() for c in token)
+    named = len(token) >= NAMED_LENGTH and (digits or len(token) > digits + letters) and _SECRET_NAME.search(text, start, stop)
+    looks = len(token) >= SECRET_LENGTH and digits >= 6 and letters >= 6
+    return value.start(1), value.start(1) + len(token), bool(named or looks)
+
+
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     start = at
     while start > floor and text[start - 1] in _LOCAL:
@@ -108,6 +149,7 @@ def find_spans(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int, i
     found: list[tuple[str, int, int]] = []
     end = dict.fromkeys(KINDS, 0)
     runs: list[tuple[int, int]] = []
+    seen = 0
 
     def put(kind: str, span: tuple[int, int] | None, keep: bool = True) -> None:
         if span:
@@ -129,10 +171,13 @@ def find_spans(text: str, auto: ahocorasick.Automaton) -> list[tuple[str, int, i
             if at >= end["url"] and (tail := _URL_TAIL.match(text, last + 1)):
                 stop = last + 1 + len(tail[0].rstrip(".,;:!?)]}"))
                 put("url", (at, stop) if stop > last + 1 else None)
-        elif at >= end["account"] and not text[at - 1: at].isalnum() and (value := _VALUE.match(text, last + 1)):
-            token = value[1].rstrip("-")
-            checked = iban(token) if text[at: last + 1].lower() == "iban" else sum("0" <= c <= "9" for c in token) >= 4
-            put("account", value.span(1) and (value.start(1), value.start(1) + len(token)) if checked else None)
+        elif cue == "assign":
+            if at >= max(end["account"], end["url"], end["email"], seen) and (value := _secret(text, at)):
+                seen = value[1]     # no run is looked at twice
+                if value[2]:
+                    put("account", value[:2])
+        elif at >= end["account"] and not text[at - 1: at].isalnum():
+            put("account", _account(text, text[at: last + 1].lower(), last))
     if len(runs):
         found += _numbers(text, runs)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -160,5 +205,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(lambda s: s["kind"].isin(*BASE)), 256).alias("base_sha256"),
+    return found.select("doc_id", *(count(k) for k in KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(lambda s: s["kind"].isin(*BASE)), 256).alias("base_sha256"),
                         joined(lambda s: F.lit(True)).alias("spans"))
