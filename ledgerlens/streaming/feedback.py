@@ -36,8 +36,8 @@ def feedback_latest_stream(stream: DataFrame) -> DataFrame:
 
 
 def start_to_table(df: DataFrame, table_path: str, checkpoint: str, mode: str = "complete"):
-    """Write each micro-batch's result to a Parquet folder (overwrite per batch, so
-    readers always see the whole current answer); restartable via ``checkpoint``."""
+    """Write each micro-batch's result to a Parquet folder, overwritten per batch; restartable via ``checkpoint``.
+    The overwrite is not atomic: a reader may meet an empty or half-written folder while a batch is being written."""
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(table_path)
     return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
