@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
+from ..session import stored
 
 # Binding parameters from FIXTURES.md §3.
 HIGH_RISK_REGION = "AFRICA"
@@ -20,11 +21,22 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _customer_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: a country table of at most so many rows is broadcast
+COUNTRY_ROWS = 1 << 20
+
+
+def _customer_country(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """(_cp_key, _cp_country) of the customers among the one column ``keys``, stored and counted.
+
+    A ledger names far fewer counterparties than there are customers: up to ``COUNTRY_ROWS`` of them reach the ledger
+    by a broadcast, so that it is not shuffled once more on a column of few frequent values; beyond it by a join."""
     cust = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nat = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return cust.join(nat, cust.c_nationkey == nat.n_nationkey, "left").select(
-        F.col("c_custkey").alias("_cp_key"), F.col("n_name").alias("_cp_country"))
+    named = keys.select(F.col(keys.columns[0]).alias("c_custkey")).distinct()
+    cust = cust.join(named.hint("shuffle_hash"), "c_custkey", "left_semi")
+    out = stored(cust.join(nat, cust.c_nationkey == nat.n_nationkey, "left").select(
+        F.col("c_custkey").alias("_cp_key"), F.col("n_name").alias("_cp_country")))
+    return F.broadcast(out) if out.count() <= COUNTRY_ROWS else out
 
 
 def ledger_t(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +61,7 @@ def ledger_t(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") >= 200).alias("ground_truth_flag"),
         F.when(F.col("value") >= 200, "LARGE").otherwise("none").alias("ground_truth_pattern"),
     )
-    cc = _customer_country(spark, sf_dir)
+    cc = _customer_country(spark, sf_dir, base.select("_k"))
     out = base.join(cc, base._k == cc._cp_key, "left")
     return out.select(
         "transaction_id", "customer_id", "timestamp", "amount", "transaction_type", "channel",
@@ -62,7 +74,8 @@ def ledger_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem")
     od = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
-    j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    # orders are hashed, so that neither side is sorted (and spilled)
+    j = li.join(od.hint("shuffle_hash"), li.l_orderkey == od.o_orderkey, "inner")
     base = j.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in
                            ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("transaction_id"),
@@ -77,7 +90,7 @@ def ledger_l(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("_k"),
         ((ls == "O") & (rf != "R")).alias("is_cash"),
     )
-    cc = _customer_country(spark, sf_dir)
+    cc = _customer_country(spark, sf_dir, li.select("l_suppkey"))
     out = base.join(cc, base._k == cc._cp_key, "left")
     return out.select(
         "transaction_id", "customer_id", "timestamp", "amount", "transaction_type", "channel",
