@@ -4,7 +4,8 @@
 * degrees: two ``groupBy`` counts (self loops count in both);
 * PageRank: iterative join + aggregate; lineage cut with ``checkpoint()`` into the
   session's ``spark.checkpoint.dir`` (reliable storage, survives executor loss);
-* cycles of length 2..max_len: each directed simple cycle belongs to
+* cycles of length 2..max_len: edges of nodes without an edge in or out lie on no
+  cycle and go first (``cycle_edges``); each directed simple cycle belongs to
   its highest (degree, id)-ranked node; all 2-paths are wedges centred below that
   node (O(m^1.5) for any degree skew) and 4-cycles meet in the middle.
 """
@@ -20,6 +21,8 @@ from ..session import ensure_checkpoint_dir, stored
 
 #: a hub's edges are dealt out to so many blocks
 HUB_BLOCKS = 256
+#: how often edges on no cycle are dropped before cycles are searched; the cycles are the same for any number
+TRIM_ROUNDS = 2
 
 
 def transfer_edges(tx: DataFrame) -> DataFrame:
@@ -55,7 +58,8 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     Iterates until the L1 change is below nodes * ``cfg.pagerank_tol`` (one 1-row aggregate per check; with a damping
     of 0.85 some 90 steps at most). ``cfg.pagerank_iterations`` sets a fixed number of steps instead. Edges are
     partitioned on (source, block) once, so that no step shuffles them and no partition holds a hub; a hub's share is
-    sent to each of its blocks. Every ``cfg.pagerank_checkpoint_every`` steps end in a reliable checkpoint, where the
+    sent to each of its blocks. The frames of nodes are joined by hashed partitions: they grow with the graph, and a
+    broadcast in every step would send them all through the driver. Every ``cfg.pagerank_checkpoint_every`` steps end in a reliable checkpoint, where the
     change is checked.
     """
     spark = edges.sparkSession
@@ -64,7 +68,7 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     edges = dealt.repartition("src", "block").checkpoint()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     outd = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outdeg"))
-    nodes = nodes.join(outd, "node", "left").select("node", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
+    nodes = nodes.join(outd.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("outdeg", F.lit(0)).alias("outdeg"))
     nodes = nodes.join(F.broadcast(hubs.withColumnRenamed("src", "node")), "node", "left").select(
         "node", "outdeg", F.when(F.col("_hub"), F.lit(HUB_BLOCKS)).otherwise(F.lit(1)).alias("blocks")).checkpoint()
     # node count: one scalar subquery, stored as a constant column in the checkpoint
@@ -78,9 +82,9 @@ def pagerank(edges: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
         senders = rank.filter(F.col("outdeg") > 0).select(
             F.col("node").alias("src"), F.try_divide(F.col("rank"), F.col("outdeg")).alias("share"),
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        contrib = edges.join(senders, ["src", "block"]).groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
+        contrib = edges.join(senders.hint("shuffle_hash"), ["src", "block"]).groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
         dangling = rank.select(F.coalesce(F.sum(F.when(F.col("outdeg") == 0, F.col("rank"))), F.lit(0.0))).scalar()
-        new = rank.join(contrib, "node", "left").select(
+        new = rank.join(contrib.hint("shuffle_hash"), "node", "left").select(
             *own,
             (alpha * (F.coalesce(F.col("inflow"), F.lit(0.0)) + dangling * inv_n)
              + (F.lit(1.0) - alpha) * inv_n).alias("rank"),
@@ -101,13 +105,24 @@ def _simple_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Simple edges without most that lie on no cycle: ``TRIM_ROUNDS`` times, those go whose source no edge enters or
+    whose target no edge leaves. A ledger's customers and their counterparties are mostly one or the other."""
+    e = stored(_simple_edges(edges))
+    for _ in range(TRIM_ROUNDS):
+        entered = e.select(F.col("dst").alias("src")).distinct().hint("shuffle_hash")
+        left = e.select(F.col("src").alias("dst")).distinct().hint("shuffle_hash")
+        e = stored(e.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+    return e
+
+
 def _ranked_edges(edges: DataFrame) -> DataFrame:
-    """Simple edges with the (degree, id) rank of both ends: ds/dd = total degree."""
-    e = _simple_edges(edges)
+    """``cycle_edges`` with the (degree, id) rank of both ends, stored: ds/dd = total degree among them."""
+    e = cycle_edges(edges)
     deg = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))) \
         .groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    e = e.join(deg.select(F.col("node").alias("src"), F.col("d").alias("ds")), "src")
-    return e.join(deg.select(F.col("node").alias("dst"), F.col("d").alias("dd")), "dst")
+    e = e.join(deg.select(F.col("node").alias("src"), F.col("d").alias("ds")).hint("shuffle_hash"), "src")
+    return stored(e.join(deg.select(F.col("node").alias("dst"), F.col("d").alias("dd")).hint("shuffle_hash"), "dst"))
 
 
 def _above(d1, n1, d2, n2):
@@ -206,11 +221,11 @@ def cycle_counts(edges: DataFrame, length: int) -> DataFrame:
 
 
 def circular_flow(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Per node, simple cycles of length 2..max_len through it. The ranked edges are stored once (the size of the
-    edge list, not of the ledger); wedges are built once for the lengths 3 and 4 together."""
+    """Per node, simple cycles of length 2..max_len through it. The ranked edges are stored once (no more than the
+    edge list); wedges are built once for the lengths 3 and 4 together."""
     if not 2 <= max_len <= 4:
         raise ValueError("cycles are counted up to a length of 2, 3 or 4")
-    ranked = stored(_ranked_edges(edges))
+    ranked = _ranked_edges(edges)
     total = _two_cycle_counts(ranked)
     if max_len > 2:
         total = total.unionByName(_long_cycle_counts(ranked, set(range(3, max_len + 1))))
@@ -225,7 +240,7 @@ def graph_features(tx: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     pr = pagerank(edges, cfg)
     deg = degrees(edges)
     cyc = circular_flow(edges, cfg.cycle_max_len)
-    out = pr.join(deg, "node", "left").join(cyc, "node", "left")
+    out = pr.join(deg.hint("shuffle_hash"), "node", "left").join(cyc.hint("shuffle_hash"), "node", "left")
     return out.select(F.col("node").alias("customer_id"), "network_pagerank",
                       "network_in_degree", "network_out_degree",
                       F.coalesce("circular_flow_count", F.lit(0)).alias("circular_flow_count"))
