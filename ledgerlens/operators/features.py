@@ -288,7 +288,7 @@ def enrich_customers(feat: DataFrame, customers: DataFrame) -> DataFrame:
     """Left join the customer dimension (de-duplicated on the key) and encode."""
     cols = [c for c in ("risk_category", "pep_flag", "kyc_status", "account_type") if c in customers.columns]
     dim = customers.select("customer_id", *cols).dropDuplicates(["customer_id"])
-    out = feat.join(dim, "customer_id", "left")
+    out = feat.join(dim.hint("shuffle_hash"), "customer_id", "left")
     if "risk_category" in cols:
         out = out.withColumn("risk_category_encoded", encode(F.col("risk_category"), RISK_CATEGORY_CODES))
     if "pep_flag" in cols:
@@ -318,10 +318,16 @@ GRAPH = ["network_pagerank", "network_in_degree", "network_out_degree", "circula
 LEDGER_COLUMNS = ["customer_id", "timestamp", "amount", "transaction_type", "counterparty_id", "counterparty_country", "is_cash"]
 
 
-def read_once(tx: DataFrame) -> DataFrame:
-    """The columns that features need, read from the source once and stored; each feature then scans its own few."""
-    return stored(tx.select(F.when(F.col("transaction_id").isNotNull(), 1).alias("transaction_id"),
-                            *[c for c in LEDGER_COLUMNS if c in tx.columns]))
+#: the families that alone read a column; ``graph`` reads the two of its edges
+COLUMN_READERS = {"transaction_type": {"behavioral", "graph"}, "counterparty_id": {"graph"},
+                  "counterparty_country": {"geographic"}, "is_cash": {"structuring"}}
+
+
+def read_once(tx: DataFrame, families: set[str]) -> DataFrame:
+    """The columns that these families (``graph`` among them) need, read from the source once and stored; each feature
+    then scans its own few. A ledger that is a join is so made, and shuffled, once."""
+    needed = [c for c in LEDGER_COLUMNS if c in tx.columns and (c not in COLUMN_READERS or COLUMN_READERS[c] & families)]
+    return stored(tx.select(F.when(F.col("transaction_id").isNotNull(), 1).alias("transaction_id"), *needed))
 
 
 def engineer_features(tx: DataFrame, customers: DataFrame | None = None, cfg: RiskConfig = RiskConfig(),
@@ -329,31 +335,31 @@ def engineer_features(tx: DataFrame, customers: DataFrame | None = None, cfg: Ri
                       graph: bool = True, customer_ids=None) -> DataFrame:
     """One row per customer, numeric NULLs filled with 0 (text columns kept).
 
-    ``customer_ids`` (list or frame) restricts the ledger to these customers first. Several families, or the graph,
-    share one reading of the source (``read_once``), which runs when the plan is built, as PageRank does."""
+    ``customer_ids`` (list or frame) restricts the ledger to these customers first. All features share one reading of
+    the source (``read_once``), which runs when the plan is built, as PageRank does. Frames with a row per customer are
+    joined by their hashed partitions: broadcasts would send them, as they grow with the customers, through the driver."""
     from .graph import graph_features  # local import: graph depends on this module
 
     tx = by_customers(tx, customer_ids)
     fams = set(FAMILIES) if feature_set == "all" else {feature_set} & set(FAMILIES)
     if pattern_focus in FOCUS_FAMILY:
         fams.add(FOCUS_FAMILY[pattern_focus])
-    if graph or len(fams) > 1:
-        tx = read_once(tx)
-    base = base_aggregates(tx, cfg)
     has_cash = "is_cash" in tx.columns
     has_country = "counterparty_country" in tx.columns
+    tx = read_once(tx, fams | ({"graph"} if graph else set()))
+    base = base_aggregates(tx, cfg)
 
     feat = base
     if fams & {"velocity", "behavioral"}:   # min gap (A8) and dormancy (A12) need adjacency
-        feat = feat.join(timing_features(tx, cfg), "customer_id", "left")
+        feat = feat.join(timing_features(tx, cfg).hint("shuffle_hash"), "customer_id", "left")
         feat = feat.withColumn("min_gap_hours", F.when(F.col("_n_ts") < 2, F.lit(999.0))
                                .otherwise(F.col("min_gap_hours")))
         feat = feat.withColumn("dormancy_flag", F.when(F.col("_n_ts") < 2, F.lit(0))
                                .otherwise(F.col("dormancy_flag")))
     if "structuring" in fams and has_cash:
-        feat = feat.join(structuring_cluster(tx, cfg), "customer_id", "left")
+        feat = feat.join(structuring_cluster(tx, cfg).hint("shuffle_hash"), "customer_id", "left")
     if "behavioral" in fams:
-        feat = feat.join(rapid_movement(tx, cfg), "customer_id", "left")
+        feat = feat.join(rapid_movement(tx, cfg).hint("shuffle_hash"), "customer_id", "left")
     cols = list(CORE)
     if "structuring" in fams:
         cols += STRUCT if has_cash else []
@@ -368,7 +374,7 @@ def engineer_features(tx: DataFrame, customers: DataFrame | None = None, cfg: Ri
         cols += STRUCT
     feat = feat.select("customer_id", *cols)
     if graph:
-        feat = feat.join(graph_features(tx, cfg), "customer_id", "left")
+        feat = feat.join(graph_features(tx, cfg).hint("shuffle_hash"), "customer_id", "left")
         cols += GRAPH
     if customers is not None:
         feat = enrich_customers(feat, customers)
