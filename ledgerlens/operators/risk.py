@@ -32,7 +32,7 @@ def classify_risk(scores: DataFrame, features: Optional[DataFrame] = None,
         ctx_cols = [c for c in ("pep_flag", "kyc_status_encoded") if c in features.columns]
         if ctx_cols:
             ctx = features.select("customer_id", *[F.col(c).alias(f"_ctx_{c}") for c in ctx_cols])
-            df = df.join(ctx, "customer_id", "left")
+            df = df.join(ctx.hint("shuffle_hash"), "customer_id", "left")   # rows per customer: no broadcast
     if "pep_flag" in ctx_cols:
         pep = F.coalesce(F.col("_ctx_pep_flag") == 1, F.lit(False))
         lvl = F.when(pep & (lvl == "medium"), "high").otherwise(lvl)
@@ -47,7 +47,7 @@ def classify_risk(scores: DataFrame, features: Optional[DataFrame] = None,
                if c in customers.columns and c not in df.columns]
         if add:
             dim = customers.select("customer_id", *add).dropDuplicates(["customer_id"])
-            df = df.join(dim, "customer_id", "left")
+            df = df.join(dim.hint("shuffle_hash"), "customer_id", "left")
     return df
 
 

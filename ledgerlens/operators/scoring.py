@@ -185,7 +185,7 @@ def _scores(feat: DataFrame, cfg: RiskConfig, method: str, forest: bool) -> Data
     if method in ("isolation_forest", "ensemble") and forest:
         from .iforest import isolation_forest_scores
         ifs = isolation_forest_scores(feat, cols, cfg)
-        out = out.join(ifs, "customer_id", "left")
+        out = out.join(ifs.hint("shuffle_hash"), "customer_id", "left")
         keep.append("isolation_forest_score")
     if method in ("zscore", "ensemble"):
         out = zscore_columns(out, cols, cfg)

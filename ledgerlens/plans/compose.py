@@ -80,7 +80,8 @@ def pattern_search(features: DataFrame, classified: DataFrame, pattern: str, cfg
     rule = PATTERN_RULES[pattern]
     hit, contrib = rule_terms(features, cfg)[rule]
     f = features.select("customer_id", hit.alias("hit"), contrib.alias("contribution")).filter("hit")
-    out = f.join(classified.select("customer_id", "anomaly_score", "risk_level"), "customer_id")
+    # a row per customer on both sides: joined by hashed partitions, not sent through the driver
+    out = f.join(classified.select("customer_id", "anomaly_score", "risk_level").hint("shuffle_hash"), "customer_id")
     return out.select("customer_id", "contribution", "anomaly_score", "risk_level") \
         .orderBy(F.col("contribution").desc(), F.col("anomaly_score").desc(), F.col("customer_id"))
 
