@@ -5,9 +5,10 @@ ASCII signs or digits, single line feeds, and runs of spaces before one; no piec
 (checked), so units are encoded one by one, each distinct unit once:
 
 1. the distinct units of all documents;
-2. explode the substrings of up to the longest piece's length, and equi-join them to the piece table
-   (its size is that of the model file): the lattice's edges;
-3. group the edges by unit; 4. fold Viterbi over the positions with Spark's higher-order ``aggregate``.
+2. explode the substrings of up to the longest piece's length, and equi-join them (by hash, then compared) to the
+   piece table (its size is that of the model file): the lattice's edges;
+3. group the edges by unit, in tasks of ``PART`` code points; 4. fold Viterbi over the edges with Spark's higher-order
+   ``aggregate``.
 
 The segmentation has the highest sum of piece scores; ties go to the shorter last piece, then the larger id. A
 code point that no piece covers becomes its UTF-8 byte pieces at a fixed cost. For a model that was trained by
@@ -46,6 +47,8 @@ MARK = "▁"
 LONGEST = sys.maxsize
 #: units up to this length meet the piece table in the lattice, longer ones in ``long_paths``; the ids are the same
 LATTICE = 256
+#: code points of units whose lattices are built in one task (some 250 bytes of edges each), so that none is spilled
+PART = 1 << 17
 #: units in a broadcast dictionary (some 20 bytes each)
 BROADCAST_UNITS = 1 << 23
 #: letters (ASCII and Latin up to U+024F) and ASCII signs and digits: a unit is cut where one follows the other
@@ -85,8 +88,8 @@ class Pieces:
             self.bytes[i] = bytes([b])
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score), and the empty piece that keeps units without any edge."""
-        rows = [("", -1, 0.0)] + [(p, i, self.score[i]) for i, p in self.text.items()]
+        """(piece, id, score)."""
+        rows = [(p, i, self.score[i]) for i, p in self.text.items()]
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -110,52 +113,45 @@ def units(text: Column) -> Column:
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges array<struct<e, s, score, id>>): all pieces in each unit, from position s to e; none in long units."""
-    short = F.length("unit") <= LATTICE
-    starts = words.select("unit", F.explode(F.sequence(F.lit(1), F.when(short, F.length("unit")).otherwise(1))).alias("at"))
-    most = F.when(short, F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1)).otherwise(0)
-    subs = (starts.select("unit", "at", F.explode(F.sequence(F.when(F.col("at") == 1, 0).otherwise(1), most)).alias("n"))
-            .select("unit", "at", "n", F.col("unit").substr(F.col("at"), F.col("n")).alias("piece")))
-    edges = subs.join(F.broadcast(pieces.table(words.sparkSession)), "piece")
-    return edges.groupBy("unit").agg(F.collect_list(F.struct(
-        (F.col("at") - 1 + F.col("n")).alias("e"), (F.col("at") - 1).alias("s"), "score", "id")).alias("edges"))
-
-
-def best_path(unit: Column, edges: Column, pieces: Pieces) -> Column:
-    """Ids of the best segmentation: a fold over positions, then the walk back."""
-    node = lambda score, s, i: F.struct(score.alias("score"), s.alias("s"), i.alias("id"))
-    spell = F.transform(F.sequence(F.lit(1), F.length(unit)), lambda e: F.struct(
-        e.alias("e"), (e - F.lit(1)).alias("s"), F.lit(pieces.byte_cost).alias("score"), F.lit(-1).alias("id")))
-    by_end = F.sort_array(F.concat(F.filter(edges, lambda x: x["e"] > 0), spell))   # every position has its byte edge
-    none = node(F.lit(float("-inf")), F.lit(0), F.lit(-1))
-
-    def forward(state: Column, x: Column) -> Column:
-        """``done`` holds the best node of every position before ``e``, ``now`` the best so far at ``e``."""
-        new = x["e"] > state["e"]
-        done = F.when(new, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"])
-        return F.get(F.transform(F.array(done), lambda d: F.struct(
-            x["e"].alias("e"), d.alias("done"),
-            F.greatest(F.when(new, none).otherwise(state["now"]), node(F.get(d, x["s"])["score"] + x["score"], x["s"], x["id"])).alias("now"))), F.lit(0))
-
-    empty = F.expr("cast(array() as array<struct<score:double,s:int,id:int>>)")
-    best = F.aggregate(by_end, F.struct(F.lit(0).alias("e"), empty.alias("done"), node(F.lit(0.0), F.lit(0), F.lit(-1)).alias("now")), forward,
-                       lambda state: F.concat(state["done"], F.array(state["now"])))
+    """(unit, edges array<struct<e, s, id, score>>): all pieces in each unit, from position s to e, in this order.
+
+    Pieces are met by a 64-bit hash and compared. Every position has the edge of one code point: its bytes (id -1) where no
+    piece covers it or the bytes cost less.
+    """
+    ends = words.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("e"))
+    subs = (ends.select("unit", "e", F.explode(F.sequence(F.least(F.lit(pieces.longest), F.col("e")), F.lit(1), F.lit(-1))).alias("n"))
+            .withColumn("s", F.col("e") - F.col("n")).withColumn("part", F.col("unit").substr(F.col("s") + 1, F.col("n"))).withColumn("hash", F.xxhash64("part")))
+    table = pieces.table(words.sparkSession).withColumn("hash", F.xxhash64("piece"))
+    met = subs.join(F.broadcast(table), "hash", "left").withColumn("id", F.when(F.col("part").eqNullSafe(F.col("piece")), F.col("id"))).where("n = 1 or id is not null")
+    spelled = F.col("id").isNull() | ((F.col("n") == 1) & (F.col("score") < pieces.byte_cost))
+    return met.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct(
+        "e", "s", F.when(spelled, -1).otherwise(F.col("id")).alias("id"), F.when(spelled, pieces.byte_cost).otherwise(F.col("score")).alias("score")))).alias("edges"))
+
+
+def best_paths(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids): the best segmentations, by a fold over the edges and the walk back."""
+    unit, best = F.col("unit"), F.col("best")
+
+    def forward(done: Column, x: Column) -> Column:
+        """``done`` holds the best score of every position up to the last edge's end."""
+        score = F.get(done, x["s"]) + x["score"]
+        better = F.concat(F.slice(done, F.lit(1), x["e"]), F.array(score))
+        return F.when((x["e"] >= F.size(done)) | (score > F.get(done, x["e"])), better).otherwise(done)
+
+    scored = edges.select("unit", "edges", F.aggregate("edges", F.array(F.lit(0.0)), forward).alias("best"))
     to_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
     hexes = lambda s: F.hex(F.encode(unit.substr(s + F.lit(1), F.lit(1)), "UTF-8"))
     spelled = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.length(hexes(s)) / 2).cast("int") - F.lit(1)), lambda k: F.get(
         to_ids, F.conv(F.substring(hexes(s), k * F.lit(2) + F.lit(1), F.lit(2)), 16, 10).cast("int")))
 
-    def back(best: Column) -> Column:
-        start = F.struct(F.length(unit).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-
-        def step(state: Column, e: Column) -> Column:
-            b = F.get(best, e)
-            ids = F.when(b["id"] >= 0, F.array(b["id"])).otherwise(spelled(b["s"]))
-            return F.when(state["at"] == e, F.struct(b["s"].alias("at"), F.concat(ids, state["ids"]).alias("ids"))).otherwise(state)
-
-        return F.aggregate(F.sequence(F.length(unit), F.lit(1), F.lit(-1)), start, step, lambda state: state["ids"])
+    def back(state: Column, x: Column) -> Column:
+        """Of the edges that give a position its best score, the one that comes last: shorter, then larger id."""
+        taken = (x["e"] == state["at"]) & (F.get(best, x["s"]) + x["score"] == F.get(best, x["e"]))
+        ids = F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spelled(x["s"]))
+        return F.when(taken, F.struct(x["s"].alias("at"), F.concat(ids, state["ids"]).alias("ids"))).otherwise(state)
 
-    return F.get(F.transform(F.array(best), back), F.lit(0))
+    start = F.struct(F.length(unit).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
+    return scored.select("unit", F.aggregate(F.reverse("edges"), start, back, lambda state: state["ids"]).alias("ids"))
 
 
 def long_path(unit: str, pieces: Pieces, known: dict[str, int]) -> np.ndarray:
@@ -198,10 +194,12 @@ def long_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) for distinct, non-empty units."""
-    # one plan up to here: written in between, the units would lose the partitioning that the lattice's grouping needs
-    ids = F.when(F.length("unit") <= LATTICE, best_path(F.col("unit"), F.col("edges"), pieces))
-    done = settle(lattice(words, pieces).select("unit", ids.alias("ids")))
-    return done.where("ids is not null").unionByName(settle(long_paths(done.where("ids is null"), pieces)))
+    words = settle(words)
+    short, long = words.where(F.length("unit") <= LATTICE), words.where(F.length("unit") > LATTICE)
+    parts = -(-(short.agg(F.sum(F.length("unit"))).first()[0] or 1) // PART)
+    # the grouping of the edges keeps this partitioning
+    done = settle(best_paths(lattice(short.repartition(parts, "unit"), pieces), pieces))
+    return done.unionByName(settle(long_paths(long, pieces)))
 
 
 def lexicon(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -231,8 +229,8 @@ def _unit_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, end
 
 
-def _dictionary(words: DataFrame, n_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit hashes ascending, where their ids begin, ids: packed by tasks, fetched partition by partition."""
+def _dictionary(words: DataFrame, n_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit hashes ascending, where their ids begin, how many, ids: packed by tasks, fetched partition by partition."""
     small = np.uint16 if n_pieces <= 1 << 16 else np.int32
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +246,7 @@ def _dictionary(words: DataFrame, n_pieces: int) -> tuple[np.ndarray, np.ndarray
     h, n, ids = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in enumerate((U, np.uint32, small)))
     del parts
     o = np.argsort(h)
-    begin = (np.cumsum(n, dtype=np.int64) - n)[o]
-    n = n[o].astype(np.int64)
-    ends = np.cumsum(n, dtype=np.int64)
-    place = np.repeat(begin - (ends - n), n)
-    place += np.arange(len(place), dtype=np.int64)
-    return h[o], np.r_[0, ends], ids[place]
+    return h[o], (np.cumsum(n, dtype=np.int64) - n)[o], n[o], ids
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -273,14 +266,14 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str
     shared = sc.broadcast((_dictionary(words, len(pieces.bytes)), pieces))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, begin, flat), p = shared.value
+        (known, begin, count, flat), p = shared.value
         for b in batches:
             texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
             texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
             for i, j, data, offs in text_slices(texts, SLICE):
                 at, end = _unit_bounds(data, offs)
                 k = np.searchsorted(known, word_hashes(data, at, end, lower=False))
-                n = begin[k + 1] - begin[k]
+                n = count[k].astype(np.int64)
                 place = np.repeat(begin[k] - (np.cumsum(n) - n), n)
                 ids = flat[place + np.arange(len(place))]
                 bounds = np.r_[0, np.cumsum(n)][np.searchsorted(at, offs)]

@@ -174,6 +174,53 @@ def test_long_units_are_not_cut(spark, broadcast):
     assert got[0] != cut
 
 
+def test_lattices_are_built_in_small_tasks(spark, odd, monkeypatch):
+    """However few shuffle partitions there are, a task's lattices are those of about ``PART`` code points; same ids."""
+    pieces = sentencepieces.Pieces()
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    monkeypatch.setattr(sentencepieces, "PART", 500, raising=False)
+    widths = []
+    build = sentencepieces.lattice
+
+    def lattice(words, pieces):
+        own = words.select(F.spark_partition_id().alias("p"), F.length("unit").alias("n")).groupBy("p").sum("n").collect()
+        widths.extend(r[1] for r in own)
+        return build(words, pieces)
+
+    monkeypatch.setattr(sentencepieces, "lattice", lattice)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sentencepieces.encode_documents(docs, pieces)
+    assert sum(widths) > 15_000 and max(widths) < 4 * 500
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((i, plain_ids(pieces, t or ""))) for i, t in rows)
+
+
+def test_bytes_that_cost_less_than_a_piece(spark):
+    """A piece of one code point below the bytes' cost is spelled; one at the same cost is taken."""
+    pieces = sentencepieces.Pieces()
+    known = {p: i for i, p in pieces.text.items()}
+    pieces.score[known["q"]], pieces.score[known["z"]] = pieces.byte_cost - 1, pieces.byte_cost
+    text = "qz zq\u2581q z\u0e01"
+    (got,) = sentencepieces.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces).collect()
+    assert list(got.ids) == plain_ids(pieces, text)
+    assert pieces.byte_ids[ord("q")] in got.ids and known["z"] in got.ids
+
+
+def test_piece_digests_of_the_query(spark, odd, tmp_path):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    pieces = sentencepieces.Pieces()
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sentencepieces.op9(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = []
+    for i, t in rows:
+        ids = plain_ids(pieces, t or "")
+        want.append((i, len(ids), sha(np.array(ids, "<i4").tobytes()), sha((t or "").encode())))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own = {r.doc_id: r.text for r in docs.collect()}
