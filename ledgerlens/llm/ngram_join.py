@@ -12,6 +12,8 @@ one shingle; none: empty). Documents with equal sets form a *class* and are hand
    shingles allow it. First every class is tried against one pivot per shingle and size band (linear in the group,
    never all its pairs), and what one tree of candidates holds is connected there; then classes that still lie
    outside a large component meet it as a whole, tree by tree, and only classes of small components meet as pairs.
+   A pair is listed only under a shingle that can be its first common one, and by groups of bounded size; larger
+   groups are cut into blocks that meet in tasks of their own, which compare parity sketches and list near pairs only.
 4. ``verify_links`` stores a pivot's candidates as globally ordered sequences in a prefix tree and walks it once:
    the overlap along a shared path is counted once for all sequences below it, and a subtree ends as soon as
    overlap plus remaining length can't reach what the sizes require.
@@ -46,8 +48,10 @@ COUNT_TOKENS, FLUSH_RECORDS = 1 << 22, 1 << 20
 TREE = 128
 #: classes from which on a component meets others as a whole, tree by tree, and classes that meet one tree at once
 LARGE, BLOCK = 16, 512
+#: classes of small components under one shingle that list their pairs; places of a set's parity sketch
+CROWD, SKETCH = 16, 1024
 RECORD = np.dtype([("key", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("pos", "<i4")])
-DOC = np.dtype([("doc", "<i8"), ("cls", "<i8"), ("size", "<i8")])
+DOC = np.dtype([("doc", "<i8"), ("cls", "<i8"), ("size", "<i8"), ("sketch", f"V{SKETCH // 8}")])
 NULL_ID = -(1 << 63)
 
 
@@ -111,8 +115,20 @@ def common_shingles(docs: DataFrame) -> list[int]:
     return [r[0] for r in often.select("token").collect()]
 
 
+def parities(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The packed sketch of each set (its keys from ``at`` on): whether an odd number of them falls on each of ``SKETCH`` places."""
+    place = (mix(key ^ U(0x2545F4914F6CDD1D)) % U(SKETCH)).astype(np.int64)
+    out = np.zeros((len(at) - 1, SKETCH // 8), np.uint8)
+    for i in range(0, len(out), 512):
+        j = min(i + 512, len(out))
+        row = np.repeat(np.arange(j - i), np.diff(at[i: j + 1]))
+        odd = np.bincount(row * SKETCH + place[at[i]: at[j]], minlength=(j - i) * SKETCH) & 1
+        out[i:j] = np.packbits(odd.astype(np.uint8)).reshape(j - i, -1)
+    return out
+
+
 def signatures(docs: DataFrame, order, buckets: int, threshold: int = THRESHOLD) -> DataFrame:
-    """(bucket, records, docs): packed prefix records per bucket of shingles; ``docs`` has each document's class."""
+    """(bucket, records, docs): packed prefix records per bucket of shingles; ``docs`` has each document's class and sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -140,7 +156,7 @@ def signatures(docs: DataFrame, order, buckets: int, threshold: int = THRESHOLD)
             for i, j, data, offs in text_slices(b.column(1)):
                 key, at, size, cls = order.value.sets(data, offs)
                 own = np.empty(j - i, DOC)
-                own["doc"], own["cls"], own["size"] = ids[i:j], cls, size
+                own["doc"], own["cls"], own["size"], own["sketch"] = ids[i:j], cls, size, parities(key, at).view(DOC["sketch"])[:, 0]
                 members.append(own)
                 first = np.flatnonzero(size > 0)
                 _, once = np.unique(cls[first], return_index=True)   # copies in the slice sign once
@@ -170,16 +186,16 @@ def _may_link(size_a, pos_a, size_b, pos_b, threshold: int):
 
 
 def _shared(pairs: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, n, least, ok): signed shingles that two classes share, and how many of them a link takes at least.
+    """(a, b, n, least): signed shingles that two classes share, and how many of them a link takes at least.
 
     Every common shingle up to the lower of the two last signed ones is signed in both sets; at most the unsigned
     rest of one set can be common beyond it.
     """
     size = lambda c: F.min(f"size_{c}").cast("long")
-    total = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), size("a").alias("size_a"), size("b").alias("size_b"), F.max("ok").alias("ok"))
+    total = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), size("a").alias("size_a"), size("b").alias("size_b"))
     rest = lambda c: F.floor((threshold * F.col(f"size_{c}") + 99) / 100) - 1
     need = F.ceil(threshold * (F.col("size_a") + F.col("size_b")) / (100 + threshold))
-    return total.select("a", "b", "n", "ok", F.greatest(F.lit(1), need - F.greatest(rest("a"), rest("b"))).alias("least"))
+    return total.select("a", "b", "n", F.greatest(F.lit(1), need - F.greatest(rest("a"), rest("b"))).alias("least"))
 
 
 def star_pairs(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -188,21 +204,20 @@ def star_pairs(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return best.select(F.col("x.a").alias("a"), "b")
 
 
-def _distinct_pairs(a, b, size_a, size_b, ok) -> dict[str, np.ndarray]:
-    """Columns (a, b, n, size_a, size_b, ok): each pair once, with the number of shingles it was found under."""
+def _distinct_pairs(a, b, size_a, size_b) -> dict[str, np.ndarray]:
+    """Columns (a, b, n, size_a, size_b): each pair once, with the number of shingles it was found under."""
     o = np.lexsort((b, a))
-    a, b, size_a, size_b, ok = a[o], b[o], size_a[o], size_b[o], ok[o]
+    a, b, size_a, size_b = a[o], b[o], size_a[o], size_b[o]
     at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
     n = np.diff(np.r_[at, len(a)])
-    return {"a": a[at], "b": b[at], "n": n.astype(np.int32), "size_a": size_a[at].astype(np.int32), "size_b": size_b[at].astype(np.int32),
-            "ok": np.logical_or.reduceat(ok, at) if len(at) else ok}
+    return {"a": a[at], "b": b[at], "n": n.astype(np.int32), "size_a": size_a[at].astype(np.int32), "size_b": size_b[at].astype(np.int32)}
 
 
-_PAIRS = "a long, b long, n int, size_a int, size_b int, ok boolean"
+_PAIRS = "a long, b long, n int, size_a int, size_b int"
 
 
 def meet(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(kind, a, b, n, size_a, size_b, ok): document a of class b (0; size_a its size), candidate of pivot a (1),
+    """(kind, a, b, n, size_a, size_b, sketch): document a of class b (0; size_a its size), candidate of pivot a (1),
     class b under the shared shingle a (2; size_b its size, n the position)."""
 
     def group(key, table):
@@ -218,23 +233,23 @@ def meet(packed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         # a pivot per shingle and size band: the smallest class
         band = np.floor(np.log(np.maximum(rec["size"], 1)) / np.log(100 / threshold)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, (rec["key"][1:] != rec["key"][:-1]) | (band[1:] != band[:-1])])[: len(rec)]
-        star = _distinct_pairs(*(np.zeros(0, np.int64),) * 4, np.zeros(0, bool))
+        star = _distinct_pairs(*(np.zeros(0, np.int64),) * 4)
         if len(rec):
             lengths = np.diff(np.r_[edge, len(rec)])
             low = np.repeat(np.minimum.reduceat(rec["cls"], edge), lengths)
             pivot = rec[np.repeat(np.flatnonzero(rec["cls"] == low), lengths)]   # a class is once in a group
             far = rec["cls"] != low
             rec_, pivot = rec[far], pivot[far]
-            star = _distinct_pairs(pivot["cls"], rec_["cls"], pivot["size"], rec_["size"], _may_link(pivot["size"], pivot["pos"], rec_["size"], rec_["pos"], threshold))
+            star = _distinct_pairs(pivot["cls"], rec_["cls"], pivot["size"], rec_["size"])
         n, k, m = len(docs), len(star["a"]), len(rec)
         zero = lambda x: np.zeros(x, np.int32)
         return pa.table({
             "kind": np.repeat(np.array([0, 1, 2], np.int8), [n, k, m]), "a": np.r_[docs["doc"], star["a"], rec["key"].view(np.int64)],
             "b": np.r_[docs["cls"], star["b"], rec["cls"]], "n": np.r_[zero(n), star["n"], rec["pos"]],
             "size_a": np.r_[docs["size"].astype(np.int32), star["size_a"], zero(m)], "size_b": np.r_[zero(n), star["size_b"], rec["size"]],
-            "ok": np.r_[np.zeros(n, bool), star["ok"], np.zeros(m, bool)]})
+            "sketch": pa.array([x.tobytes() for x in docs["sketch"]] + [None] * (k + m), pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(group, f"kind tinyint, {_PAIRS}")
+    return packed.groupBy("bucket").applyInArrow(group, f"kind tinyint, {_PAIRS}, sketch binary")
 
 
 def in_tree_order(members: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
@@ -362,13 +377,14 @@ def verify_links(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD,
 
 
 def labelled(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, cls, size, pos, component, members): classes under the shingles that several components share;
-    ``members`` is the number of classes in the component."""
+    """(key, cls, size, pos, component, members, crowd): classes under the shingles that several components share;
+    ``members`` is the number of classes in the component, ``crowd`` that of small components under the shingle."""
     sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
     own = comp.join(sizes, "component").select(F.col("node").alias("cls"), "component", "members")
     rows = shared.join(own, "cls", "left").withColumns({"component": F.coalesce("component", "cls"), "members": F.coalesce("members", F.lit(1))})
-    mixed = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    return rows.join(mixed, "key").select("key", "cls", "size", "pos", "component", "members")
+    mixed = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"),
+                                    F.count_if(F.col("members") < LARGE).alias("crowd")).where("mixed").select("key", "crowd")
+    return rows.join(mixed, "key").select("key", "cls", "size", "pos", "component", "members", "crowd")
 
 
 def block_pairs(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -406,7 +422,8 @@ def block_links(blocks: DataFrame, sets: DataFrame, threshold: int = THRESHOLD)
 
 
 def residual_pairs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of classes of different, small components that share a prefix shingle and may link."""
+    """(a, b, size_a, size_b): pairs of classes of different, small components under shingles that up to ``CROWD`` of
+    them share, where the shingle may be the first common one of a link: half a ``CROWD`` of them a record at most."""
     buckets = 8 * partitions(rows.sparkSession)
 
     def group(key, table):
@@ -416,22 +433,79 @@ def residual_pairs(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         edge = np.flatnonzero(np.r_[True, col["key"][1:] != col["key"][:-1]])
         end = np.repeat(np.r_[edge[1:], len(o)], np.diff(np.r_[edge, len(o)]))
         # each record meets the later ones of its group whose size still allows a link, one distance at a time
-        found, at, gap = [], np.arange(len(o)), 1
+        found, at, gap = [np.zeros((0, 2), np.int64)], np.arange(len(o)), 1
         while len(at):
             at = at[at + gap < end[at]]
             at = at[threshold * col["size"][at + gap] <= 100 * col["size"][at]]
-            apart = at[col["component"][at] != col["component"][at + gap]]
-            x, y = apart, apart + gap
+            x, y = at, at + gap
+            keep = (col["component"][x] != col["component"][y]) & _may_link(col["size"][x], col["pos"][x], col["size"][y], col["pos"][y], threshold)
+            x, y = x[keep], y[keep]
             swap = col["cls"][x] > col["cls"][y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            found.append(np.stack([x, y], 1))
+            found.append(np.stack([np.where(swap, y, x), np.where(swap, x, y)], 1))
             gap += 1
-        x, y = np.concatenate(found).T if found else (np.zeros(0, np.int64),) * 2
-        return pa.table(_distinct_pairs(col["cls"][x], col["cls"][y], col["size"][x], col["size"][y],
-                                        _may_link(col["size"][x], col["pos"][x], col["size"][y], col["pos"][y], threshold)))
+        x, y = np.concatenate(found).T
+        out = _distinct_pairs(col["cls"][x], col["cls"][y], col["size"][x], col["size"][y])
+        return pa.table({c: out[c] for c in ("a", "b", "size_a", "size_b")})
+
+    met = rows.where((F.col("members") < LARGE) & F.col("crowd").between(2, CROWD)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return met.groupBy("bucket").applyInArrow(group, "a long, b long, size_a int, size_b int").distinct()
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """The rows of small components under shingles that more than ``CROWD`` of their classes share."""
+    return rows.where((F.col("members") < LARGE) & (F.col("crowd") > CROWD))
+
+
+def _words(sketch) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch.to_pylist()), U).reshape(-1, SKETCH // 64)
+
+
+def may_be_near(x, y, size_x, size_y, threshold: int = THRESHOLD):
+    """Could sets with these sketches link? Sketches differ in no more places than the sets in shingles."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= size_x + size_y - 2 * needed(size_x, size_y, threshold)
+
 
-    met = rows.where(F.col("members") < LARGE).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(group, _PAIRS)
-    return _shared(met, threshold).where("ok and n >= least").select("a", "b")
+def near_pairs(pairs: DataFrame, sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = [b.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b")]
+            yield b.select(["a", "b"]).filter(pa.array(may_be_near(_words(b.column("x")), _words(b.column("y")), *size, threshold)))
+
+    of = lambda c, to: sketch.select(F.col("cls").alias(c), F.col("sketch").alias(to))
+    met = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "size_a", "size_b", "x", "y")
+    return met.mapInArrow(scan, "a long, b long")
+
+
+def crowd_pairs(rows: DataFrame, sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of classes of different components among ``crowded`` rows whose sketches allow a link.
+
+    A crowd is cut into blocks of about ``BLOCK`` classes, and every two blocks meet in a task of their own.
+    """
+    blocks = F.ceil(F.col("crowd") / BLOCK)
+    each = (rows.withColumns({"mine": F.pmod(F.xxhash64("cls"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+            .withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).join(sketch, "cls"))
+
+    def group(key, table):
+        col = {c: table.column(c).to_numpy() for c in ("cls", "size", "pos", "component", "mine")}
+        col["size"], col["pos"] = col["size"].astype(np.int64), col["pos"].astype(np.int64)
+        bits = _words(table.column("sketch"))
+        mine, theirs = (np.flatnonzero(col["mine"] == k.as_py()) for k in key[1:])
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(mine), 64):
+            x, y = mine[k: k + 64, None], theirs[None]
+            size = [col["size"][x], col["size"][y]]
+            met = ((col["component"][x] != col["component"][y]) & (threshold * size[0] <= 100 * size[1]) & (threshold * size[1] <= 100 * size[0])
+                   & _may_link(size[0], col["pos"][x], size[1], col["pos"][y], threshold))
+            i, j = np.nonzero(met if key[1] != key[2] else met & (x < y))
+            i, j = mine[k + i], theirs[j]
+            near = may_be_near(bits[i], bits[j], col["size"][i], col["size"][j], threshold)
+            found.append(np.stack([i[near], j[near]], 1))
+        x, y = col["cls"][np.concatenate(found).T]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return each.groupBy("key", "low", "high").applyInArrow(group, "a long, b long").distinct()
 
 
 def class_components(own: DataFrame, threshold: int = THRESHOLD):
@@ -447,8 +521,11 @@ def class_components(own: DataFrame, threshold: int = THRESHOLD):
     comp = settle(components(links))
     rows = settle(labelled(shared, comp))
     blocks = settle(block_pairs(rows, comp))
-    rest = settle(residual_pairs(rows, threshold).join(
-        star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few, many = settle(residual_pairs(rows, threshold).join(tried, ["a", "b"], "left_anti")), crowded(rows)
+    met_again = few.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(many.select("cls")).distinct()
+    sketch = settle(met.where("kind = 0").select(F.col("b").alias("cls"), "sketch").join(met_again, "cls").dropDuplicates(["cls"]))
+    rest = settle(near_pairs(few, sketch, threshold).unionByName(crowd_pairs(many, sketch, threshold).join(tried, ["a", "b"], "left_anti")).distinct())
     wanted = blocks.select(F.array("cls").alias("c")).unionByName(rest.select(F.array("a", "b").alias("c")))
     sets = settle(sets_of(wanted, own, filled, order))
     more = block_links(blocks, sets, threshold).unionByName(verify_links(rest, sets, threshold))

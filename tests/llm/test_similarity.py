@@ -115,6 +115,58 @@ def test_prefix_tree_finds_all_links():
     assert sorted(ngram_join.linked(base, ngram_join.in_tree_order(dict(members)))) == want and 20 < len(want) < 180
 
 
+def crowd_rows(n, seed=3):
+    """Copies of one text with one to six words changed: all sign shingles of it, few link with each other."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.choice(len(base), 1 if k % 40 == 0 else int(rng.integers(4, 7)), replace=False):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    return rows + [(1000 + k, " ".join([*rows[k][1].split()[:-1], "end"])) for k in range(5, 25)]
+
+
+@pytest.mark.parametrize("crowd, block", [(64, 512), (8, 16)])
+def test_crowds_of_unlinked_near_copies(spark, monkeypatch, crowd, block):
+    """op5, pipeline: classes that sign one shingle are not listed as pairs by the square of their number, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows, tried = crowd_rows(160), []
+    verify = ngram_join.verify_links
+    monkeypatch.setattr(ngram_join, "verify_links", lambda pairs, *a, **k: tried.append(pairs.count()) or verify(pairs, *a, **k))
+    want = plain_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r[0]: r[2] for r in ngram_join.similar_components(docs).collect()} == {i: want[(True, i)][1] for i, _ in rows}
+    assert len(set(want.values())) > 100 and tried[-1] <= len(rows)
+
+
+def test_pairs_listed_under_one_shingle(spark):
+    """op5, pipeline: what a shingle's group lists is bounded per record; larger groups list what sketches can't tell apart."""
+    n, size = 300, 100
+    rng = np.random.default_rng(8)
+    sets = [(k, rng.integers(1, 1 << 62, size).astype(np.uint64)) for k in range(n)]
+    sets[7] = (7, np.r_[sets[6][1][:95], sets[7][1][95:]])
+    rows = spark.createDataFrame([(1, k, size, 0, k, 1, n) for k, _ in sets] + [(2, k, size, 0, k, 1, 3) for k in range(3)],
+                                 "key long, cls long, size int, pos int, component long, members long, crowd long")
+    bits = ngram_join.parities(np.concatenate([x for _, x in sets]), np.arange(n + 1) * size)
+    sketch = spark.createDataFrame([(k, bytearray(bits[k].tobytes())) for k in range(n)], "cls long, sketch binary")
+    assert sorted((r.a, r.b) for r in ngram_join.residual_pairs(rows).collect()) == [(0, 1), (0, 2), (1, 2)]
+    assert [tuple(r) for r in ngram_join.crowd_pairs(ngram_join.crowded(rows), sketch).collect()] == [(6, 7)]
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(9)
+    for size in (1, 4, 5, 30, 300, 3000):
+        base = rng.integers(1, 1 << 62, size).astype(np.uint64)
+        for drop in {0, size // 10, size // 9, size // 5}:
+            other = np.r_[base[drop:], rng.integers(1, 1 << 62, drop // 2).astype(np.uint64)]
+            x, y = ngram_join.parities(np.r_[base, other], np.array([0, size, size + len(other)])).view(np.uint64)
+            if 100 * (size - drop) >= 80 * (size + drop // 2):
+                assert ngram_join.may_be_near(x[None], y[None], size, len(other)).all()
+
+
 def plain_likeness(a, b):
     x, y = set((a or "").split("\n")), set((b or "").split("\n"))
     return len(x & y) / len(x | y)
