@@ -142,6 +142,17 @@ def test_crowds_of_unlinked_near_copies(spark, monkeypatch, crowd, block):
     assert len(set(want.values())) > 100 and tried[-1] <= len(rows)
 
 
+def rows_made(plan, node):
+    """Rows that the nodes of this kind made when the plan ran."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_made(plan.executedPlan(), node)
+    if kind.endswith("QueryStageExec"):
+        return rows_made(plan.plan(), node)
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if node in kind else 0
+    return own + sum(rows_made(plan.children().apply(k), node) for k in range(plan.children().size()))
+
+
 def test_pairs_listed_under_one_shingle(spark):
     """op5, pipeline: what a shingle's group lists is bounded per record; larger groups list what sketches can't tell apart."""
     n, size = 300, 100
@@ -150,9 +161,12 @@ def test_pairs_listed_under_one_shingle(spark):
     sets[7] = (7, np.r_[sets[6][1][:95], sets[7][1][95:]])
     rows = spark.createDataFrame([(1, k, size, 0, k, 1, n) for k, _ in sets] + [(2, k, size, 0, k, 1, 3) for k in range(3)],
                                  "key long, cls long, size int, pos int, component long, members long, crowd long")
+    few = ngram_join.residual_pairs(rows)
+    few.collect()
+    assert 0 < rows_made(few._jdf.queryExecution().executedPlan(), "FlatMapGroupsInArrow") < 10
     bits = ngram_join.parities(np.concatenate([x for _, x in sets]), np.arange(n + 1) * size)
     sketch = spark.createDataFrame([(k, bytearray(bits[k].tobytes())) for k in range(n)], "cls long, sketch binary")
-    assert sorted((r.a, r.b) for r in ngram_join.residual_pairs(rows).collect()) == [(0, 1), (0, 2), (1, 2)]
+    assert sorted((r.a, r.b) for r in few.collect()) == [(0, 1), (0, 2), (1, 2)]
     assert [tuple(r) for r in ngram_join.crowd_pairs(ngram_join.crowded(rows), sketch).collect()] == [(6, 7)]
 
 
