@@ -48,8 +48,9 @@ COUNT_TOKENS, FLUSH_RECORDS = 1 << 22, 1 << 20
 TREE = 128
 #: classes from which on a component meets others as a whole, tree by tree, and classes that meet one tree at once
 LARGE, BLOCK = 16, 512
-#: classes of small components under one shingle that list their pairs; places of a set's parity sketch
-CROWD, SKETCH = 16, 1024
+#: classes of small components under one shingle that list their pairs; places of a set's parity sketch, and of the
+#: finer one that pairs must pass before whole sets are sent to them
+CROWD, SKETCH, FINE = 16, 1024, 8192
 RECORD = np.dtype([("key", "<u8"), ("cls", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 DOC = np.dtype([("doc", "<i8"), ("cls", "<i8"), ("size", "<i8"), ("sketch", f"V{SKETCH // 8}")])
 NULL_ID = -(1 << 63)
@@ -115,14 +116,14 @@ def common_shingles(docs: DataFrame) -> list[int]:
     return [r[0] for r in often.select("token").collect()]
 
 
-def parities(key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The packed sketch of each set (its keys from ``at`` on): whether an odd number of them falls on each of ``SKETCH`` places."""
-    place = (mix(key ^ U(0x2545F4914F6CDD1D)) % U(SKETCH)).astype(np.int64)
-    out = np.zeros((len(at) - 1, SKETCH // 8), np.uint8)
+def parities(key: np.ndarray, at: np.ndarray, places: int = SKETCH) -> np.ndarray:
+    """The packed sketch of each set (its keys from ``at`` on): whether an odd number of them falls on each of ``places``."""
+    place = (mix(key ^ U(0x2545F4914F6CDD1D)) % U(places)).astype(np.int64)
+    out = np.zeros((len(at) - 1, places // 8), np.uint8)
     for i in range(0, len(out), 512):
         j = min(i + 512, len(out))
         row = np.repeat(np.arange(j - i), np.diff(at[i: j + 1]))
-        odd = np.bincount(row * SKETCH + place[at[i]: at[j]], minlength=(j - i) * SKETCH) & 1
+        odd = np.bincount(row * places + place[at[i]: at[j]], minlength=(j - i) * places) & 1
         out[i:j] = np.packbits(odd.astype(np.uint8)).reshape(j - i, -1)
     return out
 
@@ -456,8 +457,24 @@ def crowded(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("members") < LARGE) & (F.col("crowd") > CROWD))
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(cls, size, sketch): the size and the finer sketch of each set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(k, BLOCK)
+                own = [np.frombuffer(x, U) for x in b.column("keys").to_pylist()]
+                size = np.array([len(x) for x in own], np.int32)
+                bits = parities(np.concatenate(own), np.r_[0, np.cumsum(size)], FINE)
+                yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(size), pa.array([x.tobytes() for x in bits], pa.binary())], names=["cls", "size", "sketch"])
+
+    return sets.select("cls", "keys").mapInArrow(scan, "cls long, size int, sketch binary")
+
+
 def _words(sketch) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch.to_pylist()), U).reshape(-1, SKETCH // 64)
+    own = sketch.to_pylist()
+    return np.frombuffer(b"".join(own), U).reshape(len(own), -1 if own else 0)
 
 
 def may_be_near(x, y, size_x, size_y, threshold: int = THRESHOLD):
@@ -469,7 +486,8 @@ def near_pairs(pairs: DataFrame, sketch: DataFrame, threshold: int = THRESHOLD)
     """The pairs (a, b) whose sketches allow a link."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, k in ((b, k) for b in batches for k in range(0, b.num_rows, BLOCK)):
+            b = whole.slice(k, BLOCK)
             size = [b.column(c).to_numpy().astype(np.int64) for c in ("size_a", "size_b")]
             yield b.select(["a", "b"]).filter(pa.array(may_be_near(_words(b.column("x")), _words(b.column("y")), *size, threshold)))
 
@@ -528,6 +546,9 @@ def class_components(own: DataFrame, threshold: int = THRESHOLD):
     rest = settle(near_pairs(few, sketch, threshold).unionByName(crowd_pairs(many, sketch, threshold).join(tried, ["a", "b"], "left_anti")).distinct())
     wanted = blocks.select(F.array("cls").alias("c")).unionByName(rest.select(F.array("a", "b").alias("c")))
     sets = settle(sets_of(wanted, own, filled, order))
+    fine = settle(fine_sketches(sets.join(rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")))
+    of = lambda c: fine.select(F.col("cls").alias(c), F.col("size").alias(f"size_{c}"))
+    rest = settle(near_pairs(rest.join(of("a"), "a").join(of("b"), "b"), fine, threshold))
     more = block_links(blocks, sets, threshold).unionByName(verify_links(rest, sets, threshold))
     comp = settle(components(links.unionByName(more)))
     root = filled.groupBy("cls").agg(F.min("doc_id").alias("low")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
