@@ -19,7 +19,8 @@ each carry the whole unit. Decoding joins the pieces' bytes and drops the first
 (the model's own space mark is byte-encoded when it occurs in a text).
 
 ``encode_documents`` hands the encoded units back to the documents: as a broadcast dictionary while their number,
-which is counted first, is within ``BROADCAST_UNITS``; beyond it by a shuffled join of (document, position, unit).
+which is counted first, is within ``BROADCAST_UNITS``. Beyond it blocks of documents ask for their distinct units:
+the compressed texts move once, a request is the 64-bit hash of a unit in a block and the reply its ids (``_encode_by_blocks``).
 
 Defined cases: null and empty texts have no pieces; repeated rows and null ids each give their row; an empty table
 gives an empty result; further columns are never read, whatever their names.
@@ -28,6 +29,7 @@ gives an empty result; further columns are never read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -35,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import re
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,8 @@ LATTICE = 256
 PART = 1 << 17
 #: units in a broadcast dictionary (some 20 bytes each)
 BROADCAST_UNITS = 1 << 23
+#: beyond it: bytes of text that ask for their units together (no more than a task reads), units that meet the requests in a group
+BLOCK, SHARD = 1 << 26, 1 << 18
 #: letters (ASCII and Latin up to U+024F) and ASCII signs and digits: a unit is cut where one follows the other
 _LETTER, _SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-@\[-`{-~"
 #: one reluctant run up to a border: Java repeats a character class in a loop, but a group by recursion per character
@@ -229,6 +234,22 @@ def _unit_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, end
 
 
+def _unit_slices(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, UTF-8 bytes, offsets of the rows in them, starts, ends and hashes of their units) for runs of whole texts."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+    for i, j, data, offs in text_slices(texts, SLICE):
+        at, end = _unit_bounds(data, offs)
+        yield i, j, data, offs, at, end, word_hashes(data, at, end, lower=False)
+
+
+def _ids_of(k: np.ndarray, begin: np.ndarray, count: np.ndarray, flat: np.ndarray, at: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the units ``k`` one after the other, and where each text's begin."""
+    n = count[k].astype(np.int64)
+    place = np.repeat(begin[k] - (np.cumsum(n) - n), n)
+    return flat[place + np.arange(len(place))], np.r_[0, np.cumsum(n)][np.searchsorted(at, offs)]
+
+
 def _dictionary(words: DataFrame, n_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unit hashes ascending, where their ids begin, how many, ids: packed by tasks, fetched partition by partition."""
     small = np.uint16 if n_pieces <= 1 << 16 else np.int32
@@ -259,28 +280,22 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str
     pieces = pieces or Pieces()
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
     words = lexicon(own, pieces)
-    if words.count() > broadcast_units:
-        return _digests(_encode_by_join(own, words), pieces, kind) if digest else _encode_by_join(own, words)
+    n_units = words.count()
+    if n_units > broadcast_units:
+        return _encode_by_blocks(own, words, n_units, pieces, schema, digest)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((_dictionary(words, len(pieces.bytes)), pieces))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, begin, count, flat), p = shared.value
         for b in batches:
-            texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
-            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-            for i, j, data, offs in text_slices(texts, SLICE):
-                at, end = _unit_bounds(data, offs)
-                k = np.searchsorted(known, word_hashes(data, at, end, lower=False))
-                n = count[k].astype(np.int64)
-                place = np.repeat(begin[k] - (np.cumsum(n) - n), n)
-                ids = flat[place + np.arange(len(place))]
-                bounds = np.r_[0, np.cumsum(n)][np.searchsorted(at, offs)]
+            for i, j, _, offs, at, _, h in _unit_slices(b.column(1)):
+                ids, bounds = _ids_of(np.searchsorted(known, h), begin, count, flat, at, offs)
                 yield from _rows(b.column(0).slice(i, j - i), ids, bounds, p, digest)
 
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
-    return own.mapInArrow(scan, f"doc_id {kind}, {out}")
+    return own.mapInArrow(scan, schema)
 
 
 def _rows(doc_ids, ids: np.ndarray, bounds: np.ndarray, pieces: Pieces, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -293,26 +308,135 @@ def _rows(doc_ids, ids: np.ndarray, bounds: np.ndarray, pieces: Pieces, digest:
                                       pa.array([sha(pieces.decode(x)[1:]) for x in parts], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _encode_by_join(own: DataFrame, words: DataFrame) -> DataFrame:
-    """The way without a broadcast: every unit of every document meets its ids in a shuffled join."""
-    rows = own.withColumn("row", F.monotonically_increasing_id())
-    rows = settle(rows)   # row numbers must not change when a task is repeated
-    each = rows.select("row", F.posexplode(units(F.col("text"))).alias("pos", "unit")).join(words.hint("shuffle_merge"), "unit")
-    ids = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    none = F.expr("cast(array() as array<int>)")
-    return rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), none).alias("ids"))
-
-
-def _digests(encoded: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
+def _pressed(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(cell: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(cell.as_buffer()).read_next_batch()
+
+
+def _asked(parts: pa.ChunkedArray) -> np.ndarray:
+    """The distinct hashes of the units of a block, ascending."""
+    some = [np.unique(h) for x in parts for *_, h in _unit_slices(_opened(x).column(1))]
+    return np.unique(np.concatenate(some or [np.zeros(0, U)]))
+
+
+def _sum(h: np.ndarray) -> bytes:
+    return np.bitwise_xor.reduce(h, initial=U(0)).tobytes()
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """The group of each hash: ranges of hashes, in their order."""
+    return ((h >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+
+
+class Shard:
+    """The units of one range of hashes, from chunks of (units, ids)."""
+
+    def __init__(self, chunks: list[tuple[pa.Array, pa.Array]], small: type):
+        units = pa.concat_arrays([u.cast(pa.large_string()) for u, _ in chunks] or [pa.array([], pa.large_string())])
+        ids = pa.concat_arrays([x for _, x in chunks] or [pa.array([], pa.list_(pa.int32()))])
+        h = np.concatenate([word_hashes(data, offs[:-1], offs[1:], lower=False) for _, _, data, offs in text_slices(units, 1 << 40)] or [np.zeros(0, U)])
+        n = pc.list_value_length(ids).to_numpy().astype(np.uint32)
+        o = np.argsort(h)
+        self.flat, self.begin = ids.flatten().to_numpy().astype(small), (np.cumsum(n, dtype=np.int64) - n)[o]
+        self.hash, self.count = h[o], n[o]
+        same = np.r_[False, self.hash[1:] == self.hash[:-1]]
+        self.shared: dict[int, dict[bytes, np.ndarray]] = {}   # units that share a hash, told apart by their bytes
+        for k in np.flatnonzero(same | np.r_[same[1:], False]):
+            self.shared.setdefault(int(self.hash[k]), {})[units[int(o[k])].as_py().encode()] = self.flat[self.begin[k]: self.begin[k] + n[o[k]]]
+
+    def reply(self, asked: np.ndarray) -> bytes:
+        """How many ids each asked unit has (0: it shares its hash), the ids, and the units that share one with their ids."""
+        k = np.minimum(np.searchsorted(self.hash, asked), len(self.hash) - 1)
+        if not len(self.hash) or (self.hash[k] != asked).any():
+            raise RuntimeError("a unit of the documents is not among the encoded ones")
+        shared = [x for x in self.shared if x in asked]
+        n = np.where(np.isin(asked, np.array(shared, U)), 0, self.count[k]).astype(np.uint32)
+        place = np.repeat(self.begin[k] - (np.cumsum(n, dtype=np.int64) - n), n)
+        cells = (n.tobytes(), self.flat[place + np.arange(len(place))].tobytes(), pickle.dumps({u: ids for x in shared for u, ids in self.shared[x].items()}), _sum(asked))
+        return _pressed(pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in cells], names=["n", "ids", "shared", "sum"]))
+
+
+def _encode_block(parts: pa.ChunkedArray, replies: list[pa.BinaryScalar], pieces: Pieces, digest: bool, small: type) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, from its parts and the replies in the order of their shards."""
+    known, got = _asked(parts), [_opened(x) for x in replies]
+    count, flat = (np.concatenate([np.frombuffer(b.column(c)[0].as_buffer(), t) for b in got] or [np.zeros(0, t)]) for c, t in (("n", np.uint32), ("ids", small)))
+    sums = np.frombuffer(b"".join(b.column("sum")[0].as_py() for b in got), U)
+    if len(known) != len(count) or _sum(known) != _sum(sums):
+        raise RuntimeError("the documents changed while they were encoded")
+    shared = {u: ids for b in got for u, ids in pickle.loads(b.column("shared")[0].as_py()).items()}
+    number = {u: len(known) + k for k, u in enumerate(shared)}
+    count, flat = np.r_[count, np.array([len(x) for x in shared.values()], np.uint32)], np.concatenate([flat, *shared.values()])
+    begin = np.cumsum(count, dtype=np.int64) - count
+    for x in parts:
+        b = _opened(x)
+        for i, j, data, offs, at, end, h in _unit_slices(b.column(1)):
+            k = np.searchsorted(known, h)
+            for p in np.flatnonzero(count[k] == 0) if shared else ():
+                k[p] = number[data[at[p]: end[p]].tobytes()]
+            yield from _rows(b.column(0).slice(i, j - i), *_ids_of(k, begin, count, flat, at, offs), pieces, digest)
+
+
+def _encode_by_blocks(own: DataFrame, words: DataFrame, n_units: int, pieces: Pieces, schema: str, digest: bool) -> DataFrame:
+    """The way without a broadcast: blocks of documents ask shards of the units for the ids of their distinct units.
+
+    The blocks' exchange is one for requests and replies (Spark reuses it). Should a lost task make other blocks of
+    the same documents, the replies do not fit and the query fails rather than return other ids.
+    """
+    shards, small = -(-n_units // SHARD), np.uint16 if len(pieces.bytes) <= 1 << 16 else np.int32
+    shared = own.sparkSession.sparkContext.broadcast(pieces)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 33, 0
         for b in batches:
-            ids = b.column(1)
-            bounds = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())]
-            yield from _rows(b.column(0), ids.flatten().to_numpy(), bounds, shared.value, True)
+            for i, j, data, _ in text_slices(b.column(1), SLICE):
+                if size and size + len(data) > BLOCK:
+                    block, size = block + 1, 0
+                size += len(data)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pressed(b.slice(i, j - i))], pa.binary())], names=["block", "part"])
+
+    def ask(docs: pa.Table) -> pa.Table:
+        h = _asked(docs["part"])
+        shard = _shard(h, shards)
+        own_shards, first = np.unique(shard, return_index=True)
+        cells = [h[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(h)])]
+        return pa.table({"shard": pa.array(own_shards, pa.int64()), "block": pa.array([docs["block"][0].as_py()] * len(cells), pa.int64()), "asked": pa.array(cells, pa.binary())})
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [word_hashes(data, offs[:-1], offs[1:], lower=False) for _, _, data, offs in text_slices(b.column(0), 1 << 40)]
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(np.concatenate(h or [np.zeros(0, U)]), shards)), b.column(0), b.column(1)], names=["shard", "unit", "ids"])
 
-    return encoded.mapInArrow(scan, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by shard, its units (without a block) before the requests."""
+        now, chunks, units = None, [], None
+        for b in batches:
+            shard, is_unit = b.column("shard").to_numpy(), b.column("block").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (is_unit[1:] != is_unit[:-1])]) if len(shard) else []
+            for x, y in zip(cuts, [*cuts[1:], len(shard)]):
+                if shard[x] != now:
+                    now, chunks, units = shard[x], [], None
+                if is_unit[x]:
+                    chunks.append((b.column("unit").slice(x, y - x), b.column("ids").slice(x, y - x)))
+                    continue
+                units, chunks = units or Shard(chunks, small), []
+                replies = [units.reply(np.frombuffer(c.as_buffer(), U)) for c in b.column("asked").slice(x, y - x)]
+                yield pa.RecordBatch.from_arrays([b.column("block").slice(x, y - x), b.column("shard").slice(x, y - x), pa.array(replies, pa.binary())], names=["block", "shard", "reply"])
+
+    def encode(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        order = np.argsort(replies["shard"].to_numpy())
+        return pa.Table.from_batches(_encode_block(docs["part"], [replies["reply"][int(k)] for k in order], shared.value, digest, small))
+
+    blocks = own.mapInArrow(pack, "block long, part binary").groupBy("block")
+    asked = blocks.applyInArrow(ask, "shard long, block long, asked binary")
+    meet = words.select("unit", "ids").mapInArrow(spread, "shard long, unit string, ids array<int>").unionByName(asked, allowMissingColumns=True)
+    replies = meet.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, shard long, reply binary")
+    return blocks.cogroup(replies.groupBy("block")).applyInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Language identification, SentencePiece, and the pipeline."""
 
+import random
 import re
 import zlib
 
@@ -194,6 +195,79 @@ def test_lattices_are_built_in_small_tasks(spark, odd, monkeypatch):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((i, plain_ids(pieces, t or ""))) for i, t in rows)
 
 
+def shuffled(plan):
+    """Bytes that the exchanges of an executed plan have written, each exchange once."""
+    seen, left, n = set(), [plan], 0
+    while left:
+        p = left.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            left.append(p.plan() if "Stage" in kind else p.executedPlan())
+            continue
+        if kind == "ShuffleExchangeExec" and p.id() not in seen:
+            seen.add(p.id())
+            n += p.metrics().apply("shuffleBytesWritten").value()
+        left += [p.children().apply(k) for k in range(p.children().size())]
+    return n
+
+
+def test_many_units_move_less_than_the_texts(spark, tmp_path):
+    """Beyond the broadcast, neither a row of each unit of each document nor the texts as they are go through a shuffle."""
+    rng = random.Random(3)
+    known = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    rows = [(k, " ".join(rng.choices(known, k=1500))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "docs"))
+    pieces = sentencepieces.Pieces()
+    out = sentencepieces.encode_documents(spark.read.parquet(str(tmp_path / "docs")), pieces, broadcast_units=0)
+    got = {r.doc_id: list(r.ids) for r in out.collect()}
+    own = sum(len(t) for _, t in rows)
+    moved = shuffled(out._jdf.queryExecution().executedPlan())
+    assert 0 < moved < 0.8 * own, (moved, own)
+    for i, t in rows[::41]:
+        assert got[i] == plain_ids(pieces, t)
+
+
+def test_small_blocks_and_shards(spark, odd, monkeypatch):
+    """Many blocks that each ask many shards, in the order of their hashes; equal texts stand in several blocks."""
+    pieces = sentencepieces.Pieces()
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()] * 3
+    for name, n in (("BLOCK", 3000), ("SLICE", 1000), ("SHARD", 64)):
+        monkeypatch.setattr(sentencepieces, name, n, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sentencepieces.encode_documents(docs, pieces, broadcast_units=0)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr((i, plain_ids(pieces, t or ""))) for i, t in rows)
+    few = sentencepieces.encode_documents(docs, pieces, broadcast_units=0, digest=True).collect()
+    many = sentencepieces.encode_documents(docs, pieces, digest=True).collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, many)) and len(few) == len(rows)
+
+
+def test_units_that_share_a_hash(monkeypatch):
+    """Units of one hash are told apart by their bytes; a unit that nobody has encoded is an error."""
+    import pyarrow as pa
+
+    pieces, real = sentencepieces.Pieces(), sentencepieces.word_hashes
+    monkeypatch.setattr(sentencepieces, "word_hashes", lambda *a, **b: real(*a, **b) & np.uint64(0xE000000000000007))
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(60)) + " tail" for _ in range(5)] + ["", "tail tail"]
+    units = sorted({u for t in texts if t for u in re.findall(sentencepieces._UNIT, " " + t)})
+    ids = pa.array([plain_ids(pieces, u[1:]) if u[0] == " " else uncut_ids(pieces, u) for u in units], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = pa.chunked_array([pa.array([sentencepieces._pressed(batch.slice(0, 3)), sentencepieces._pressed(batch.slice(3))])])
+    asked = sentencepieces._asked(parts)
+    where = lambda h: sentencepieces._shard(h, 5)
+    hashes = np.array([sentencepieces.word_hashes(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u.encode())]), lower=False)[0] for u in units])
+    assert len(asked) < len(units) / 2
+    replies = []
+    for s in np.unique(where(asked)):
+        own = np.flatnonzero(where(hashes) == s)
+        shard = sentencepieces.Shard([(pa.array([units[k] for k in own[x]]), ids.take(pa.array(own[x]))) for x in (slice(0, 3), slice(3, None))], np.uint16)
+        replies.append(pa.scalar(shard.reply(asked[where(asked) == s]), pa.binary()))
+    got = pa.Table.from_batches(sentencepieces._encode_block(parts, replies, pieces, False, np.uint16)).to_pylist()
+    assert [r["ids"] for r in got] == [plain_ids(pieces, t) for t in texts]
+    with pytest.raises(RuntimeError):
+        shard.reply(np.array([12345], np.uint64))
+
+
 def test_bytes_that_cost_less_than_a_piece(spark):
     """A piece of one code point below the bytes' cost is spelled; one at the same cost is taken."""
     pieces = sentencepieces.Pieces()
