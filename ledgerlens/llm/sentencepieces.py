@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.sparkops import settle
+from ledgerlens.llm.sparkops import drop_settled, settle
 from ledgerlens.llm.textops import U, text_slices, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -199,12 +199,14 @@ def long_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) for distinct, non-empty units."""
-    words = settle(words)
+    words = settle(words, free=True)
     short, long = words.where(F.length("unit") <= LATTICE), words.where(F.length("unit") > LATTICE)
     parts = -(-(short.agg(F.sum(F.length("unit"))).first()[0] or 1) // PART)
     # the grouping of the edges keeps this partitioning
-    done = settle(best_paths(lattice(short.repartition(parts, "unit"), pieces), pieces))
-    return done.unionByName(settle(long_paths(long, pieces)))
+    done = settle(best_paths(lattice(short.repartition(parts, "unit"), pieces), pieces), free=True)
+    done = done.unionByName(settle(long_paths(long, pieces)))
+    drop_settled(words)
+    return done
 
 
 def lexicon(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -243,6 +245,12 @@ def _unit_slices(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.n
         yield i, j, data, offs, at, end, word_hashes(data, at, end, lower=False)
 
 
+def _places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash is among the known ones; each distinct one is looked up once."""
+    some, which = np.unique(h, return_inverse=True)
+    return np.searchsorted(known, some)[which]
+
+
 def _ids_of(k: np.ndarray, begin: np.ndarray, count: np.ndarray, flat: np.ndarray, at: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the units ``k`` one after the other, and where each text's begin."""
     n = count[k].astype(np.int64)
@@ -292,7 +300,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None, id_col: str
         (known, begin, count, flat), p = shared.value
         for b in batches:
             for i, j, _, offs, at, _, h in _unit_slices(b.column(1)):
-                ids, bounds = _ids_of(np.searchsorted(known, h), begin, count, flat, at, offs)
+                ids, bounds = _ids_of(_places(known, h), begin, count, flat, at, offs)
                 yield from _rows(b.column(0).slice(i, j - i), ids, bounds, p, digest)
 
     return own.mapInArrow(scan, schema)
@@ -376,7 +384,7 @@ def _encode_block(parts: pa.ChunkedArray, replies: list[pa.BinaryScalar], pieces
     for x in parts:
         b = _opened(x)
         for i, j, data, offs, at, end, h in _unit_slices(b.column(1)):
-            k = np.searchsorted(known, h)
+            k = _places(known, h)
             for p in np.flatnonzero(count[k] == 0) if shared else ():
                 k[p] = number[data[at[p]: end[p]].tobytes()]
             yield from _rows(b.column(0).slice(i, j - i), *_ids_of(k, begin, count, flat, at, offs), pieces, digest)

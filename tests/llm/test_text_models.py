@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -227,6 +228,25 @@ def test_many_units_move_less_than_the_texts(spark, tmp_path):
         assert got[i] == plain_ids(pieces, t)
 
 
+def test_shuffle_files_of_the_lattice_go(spark, tmp_path):
+    """When the units are encoded, the shuffle files of the way there are gone; those of two sums of one row may stay."""
+    spark.createDataFrame([(k, f"some words of {k}") for k in range(500)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [found.apply(k) for k in range(found.size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    before = files()
+    sentencepieces.encode_documents(spark.read.parquet(str(tmp_path / "docs")), broadcast_units=0)
+    for _ in range(50):
+        left = sum(n for f, n in files().items() if f not in before)
+        if left < 500:
+            break
+        time.sleep(0.1)
+    assert left < 500, left
+
+
 def test_small_blocks_and_shards(spark, odd, monkeypatch):
     """Many blocks that each ask many shards, in the order of their hashes; equal texts stand in several blocks."""
     pieces = sentencepieces.Pieces()
